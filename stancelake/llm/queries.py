@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import knn_queries
+from . import knn_queries, leakage_queries
 
-_MODULES = (knn_queries,)
+_MODULES = (knn_queries, leakage_queries)
 
 QUERIES = {k: f for m in _MODULES for k, f in m.QUERIES.items()}
 SQL = {k: s for m in _MODULES for k, s in m.SQL.items()}
