@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import duplicate_queries, knn_queries, leakage_queries
+from . import duplicate_queries, knn_queries, language_queries, leakage_queries
 
-_MODULES = (duplicate_queries, knn_queries, leakage_queries)
+_MODULES = (duplicate_queries, knn_queries, language_queries, leakage_queries)
 
 QUERIES = {k: f for m in _MODULES for k, f in m.QUERIES.items()}
 SQL = {k: s for m in _MODULES for k, s in m.SQL.items()}
