@@ -86,4 +86,4 @@ def any_timestamp(x: Column | str) -> Column:
     digits = s.rlike(r"^\d{9,14}$")
     n = F.when(digits, s).try_cast("bigint")
     epoch = F.when(n >= 100_000_000_000, F.timestamp_millis(n)).otherwise(F.timestamp_seconds(n))
-    return F.when(digits, epoch).otherwise(F.coalesce(s.try_cast("timestamp"), *[F.try_to_timestamp(s, F.lit(f)) for f in ("dd.MM.yyyy HH:mm", "dd.MM.yyyy", "MM/dd/yyyy HH:mm", "yyyy/MM/dd HH:mm:ss", "d MMM yyyy HH:mm", "EEE, d MMM yyyy HH:mm:ss Z")]))
+    return F.when(digits, epoch).otherwise(F.coalesce(s.try_cast("timestamp"), *[F.try_to_timestamp(s, F.lit(f)) for f in ("dd.MM.yyyy HH:mm", "dd.MM.yyyy", "MM/dd/yyyy HH:mm", "yyyy/MM/dd HH:mm:ss", "d MMM yyyy HH:mm", "d MMMM yyyy, HH:mm", "MMM d, yyyy")]))

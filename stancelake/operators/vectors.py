@@ -19,8 +19,6 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 BLOCK_ROWS = 32_768
 CELL_ROWS = 4_096
 MAX_PIVOTS = 512
-#: Up to this many multiply-adds a similarity join is one codegen stage without Python.
-SMALL_JOIN = 3_000_000
 
 
 def normalize(vec: Column | str) -> Column:
@@ -36,14 +34,6 @@ def cosine(a: Column | str, b: Column | str) -> Column:
     return F.aggregate(F.zip_with(normalize(a), normalize(b), lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 
 
-def dot(a: str, b: str, dim: int) -> Column:
-    """Unrolled dot product, which stays inside whole-stage codegen."""
-    out = F.lit(0.0)
-    for i in range(dim):
-        out = out + F.col(a)[i] * F.col(b)[i]
-    return out
-
-
 def mean_vector(*vecs: Column) -> Column:
     """Element-wise mean of vectors of the same length."""
     total = vecs[0]
@@ -118,11 +108,11 @@ def knn(queries: DataFrame, corpus: DataFrame, k: int, query_id: str, corpus_id:
     q = _usable(queries, vec).select(*by, F.col(query_id).alias("_q"), F.col(vec).alias("_v"), F.size(vec).alias("_d"))
     c = _usable(corpus, vec).select(*by, F.col(corpus_id).alias("_c"), F.col(vec).alias("_v"), F.size(vec).alias("_d"))
     blocks = max(1, math.ceil(corpus.count() / block_rows))
-    q = q.withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn("_s", F.lit(0))
+    q = q.withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     # many queries are cut as well: the grid of blocks is fixed by both counts
     qblocks = max(1, math.ceil(queries.count() / block_rows))
     q = q.withColumn("_s", F.pmod(F.xxhash64("_q"), F.lit(qblocks)))
-    c = c.withColumn("_b", F.pmod(F.xxhash64("_c"), F.lit(blocks)).cast("int")).withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(qblocks - 1))).cast("long"))
+    c = c.withColumn("_b", F.pmod(F.xxhash64("_c"), F.lit(blocks)).cast("int")).withColumn("_s", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(qblocks - 1).cast("long"))))
     keys = [*by, "_d", "_b", "_s"]
     qt, ct = queries.schema[query_id].dataType.simpleString(), corpus.schema[corpus_id].dataType.simpleString()
     bt = "".join(f"`{b}` {queries.schema[b].dataType.simpleString()}, " for b in by)
@@ -161,24 +151,29 @@ def knn(queries: DataFrame, corpus: DataFrame, k: int, query_id: str, corpus_id:
 def similarity_pairs(df: DataFrame, id_col: str, vec: str, threshold: float, seed: int = 7) -> DataFrame:
     """``(i, j, s)`` with i < j: all pairs of rows of cosine at least ``threshold`` (inclusive, in doubles), exactly.
 
-    Small inputs are one unrolled codegen join.  Larger ones are cut by at most MAX_PIVOTS pivots (a
+    Up to CELL_ROWS rows are one matrix product in one task.  Larger inputs are cut by at most MAX_PIVOTS pivots (a
     bounded sample of the rows): a row goes to its nearest pivot's cell and to every other cell that
     can hold a partner.  Large cells are split among tasks by salting, so a hot cell never meets one
     task.  Vectors without direction take no part; equal vectors are paired like any others.
     """
     rows = _usable(df, vec).select(F.col(id_col).alias("i"), normalize(vec).alias("v"))
-    stats = rows.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("d"), F.min(F.size("v")).alias("e")).first()
-    n, d = stats["n"], stats["d"] or 0
-    if n * n <= SMALL_JOIN * 2 and d == stats["e"]:
-        # bounded: n is counted above and n * n stays small
-        left, right = rows.select("i", F.col("v").alias("vi")), rows.select(F.col("i").alias("j"), F.col("v").alias("vj"))
-        return left.join(F.broadcast(right), F.col("i") < F.col("j")).select("i", "j", dot("vi", "vj", d).alias("s")).where(F.col("s") >= threshold)
+    n = rows.count()
+    kind = df.schema[id_col].dataType.simpleString()
+    if n <= CELL_ROWS:  # counted: a bounded group
+        one = rows.select(F.lit(0).alias("cell"), F.lit(0).alias("salt"), F.lit(0).alias("own"), F.lit(True).alias("at"), "i", "v")
+        return one.groupBy("cell", "salt", F.size("v").alias("d")).applyInPandas(_meet(threshold), f"i {kind}, j {kind}, s double")
+    lengths = sorted(r["d"] for r in rows.select(F.size("v").alias("d")).distinct().collect())  # a few models' lengths
+    if len(lengths) > 1:
+        each = [similarity_pairs(df.where(F.size(vec) == d), id_col, vec, threshold, seed) for d in lengths]
+        out = each[0]
+        for other in each[1:]:
+            out = out.unionByName(other)
+        return out
     pivots = min(MAX_PIVOTS, max(2, math.ceil(n / CELL_ROWS) * 2))
     sample = rows.sample(min(1.0, 4 * pivots / n), seed).limit(pivots).toPandas()  # at most MAX_PIVOTS rows
     p = np.stack(sample["v"].map(lambda v: np.asarray(v, np.float64)))
     theta = math.acos(max(-1.0, min(1.0, threshold))) + 1e-9
     held = df.sparkSession.sparkContext.broadcast(p)
-    kind = df.schema[id_col].dataType.simpleString()
 
     def route(batches: Iterable) -> Iterator:
         import pandas as pd
@@ -198,6 +193,11 @@ def similarity_pairs(df: DataFrame, id_col: str, vec: str, threshold: float, see
     salted = routed.join(F.broadcast(table), "cell")
     salted = salted.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
     salted = salted.withColumn("at", F.col("home") & (F.pmod(F.xxhash64("i"), F.col("salts")) == F.col("salt"))).drop("salts")
+    return salted.groupBy("cell", "salt").applyInPandas(_meet(threshold), f"i {kind}, j {kind}, s double")
+
+
+def _meet(threshold: float):
+    """Pairs of a cell's own rows with all its visitors, in blocks."""
 
     def meet(pdf):
         import pandas as pd
@@ -221,4 +221,4 @@ def similarity_pairs(df: DataFrame, id_col: str, vec: str, threshold: float, see
         out = pd.concat(parts) if parts else pd.DataFrame({"i": [], "j": [], "s": []})
         return out[out["s"] >= threshold]
 
-    return salted.groupBy("cell", "salt").applyInPandas(meet, f"i {kind}, j {kind}, s double")
+    return meet

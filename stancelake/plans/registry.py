@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import nested_queries
+from . import nested_queries, relational_queries, vector_queries
 
-_MODULES = (nested_queries,)
+_MODULES = (nested_queries, relational_queries, vector_queries)
 
 QUERIES = {k: f for m in _MODULES for k, f in m.QUERIES.items()}
 SQL = {k: s for m in _MODULES for k, s in m.SQL.items()}
-FLAGSHIP = "p1_found"
+FLAGSHIP = "stakeholder_positions"

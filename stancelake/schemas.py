@@ -4,26 +4,33 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F, types as T
 
-TARGET = T.StructType.fromDDL("predicate string, target string, stance_type string")
-SUPPORT = T.StructType.fromDDL("type string, content string")
-COUNTRY = T.StructType.fromDDL("name string, code string")
-POSITION = T.StructType([
-    *[T.StructField(n, T.StringType()) for n in ("stakeholder", "position", "stance", "sentiment", "emotion", "context")],
-    T.StructField("support", SUPPORT), T.StructField("targets", T.ArrayType(TARGET)), T.StructField("country", COUNTRY),
-])
-ARTICLE = T.StructType([T.StructField(n, T.StringType()) for n in ("id", "title", "author", "source", "summary", "body", "@timestamp")])
+_S, _L = T.StringType(), T.LongType()
+
+
+def _struct(**fields: T.DataType) -> T.StructType:
+    return T.StructType([T.StructField(k, v) for k, v in fields.items()])
+
+
+def _strings(*names: str) -> T.StructType:
+    return _struct(**{n: _S for n in names})
+
+
+TARGET = _strings("predicate", "target", "stance_type")
+SUPPORT = _strings("type", "content")
+COUNTRY = _strings("name", "code")
+POSITION = T.StructType([*_strings("stakeholder", "position", "stance", "sentiment", "emotion", "context").fields, *_struct(support=SUPPORT, targets=T.ArrayType(TARGET), country=COUNTRY).fields])
+ARTICLE = _strings("id", "title", "author", "source", "summary", "body", "@timestamp")
 REPORT = T.StructType([
-    *[T.StructField(n, T.StringType()) for n in ("id", "title", "author", "summary", "body", "timestamp", "political_issue")],
-    T.StructField("is_about_event", T.BooleanType()), T.StructField("positions", T.ArrayType(POSITION)),
-])
-ANCHOR = T.StructType.fromDDL("normalized_anchor_text string, target_item_id long, target_page_id long, target_page_views long")
-KB_ITEM = T.StructType.fromDDL("item_id long, main_label string, labels array<string>, description string, aliases array<string>, en_aliases array<string>")
-GOLD = T.ArrayType(T.ArrayType(T.StringType()))
-SUMMARY = T.StructType.fromDDL(
-    "title string, key_points array<struct<point:string,explanation:string>>, important_stakeholders_per_country map<string,array<struct<name:string,explanation:string>>>, "
-    "arguments_for struct<title:string,items:array<string>>, arguments_against struct<title:string,items:array<string>>, time_analysis string, "
-    "timeline array<struct<date:string,person:string,event:string>>")
-EVENT = T.StructType.fromDDL("key string, name string, description string, topic string, search_period string")
+    *_strings("id", "title", "author", "summary", "body", "timestamp", "political_issue").fields,
+    *_struct(is_about_event=T.BooleanType(), positions=T.ArrayType(POSITION)).fields])
+ANCHOR = _struct(normalized_anchor_text=_S, target_item_id=_L, target_page_id=_L, target_page_views=_L)
+KB_ITEM = _struct(item_id=_L, main_label=_S, labels=T.ArrayType(_S), description=_S, aliases=T.ArrayType(_S), en_aliases=T.ArrayType(_S))
+GOLD = T.ArrayType(T.ArrayType(_S))
+_ARGUMENTS = _struct(title=_S, items=T.ArrayType(_S))
+SUMMARY = _struct(
+    title=_S, key_points=T.ArrayType(_strings("point", "explanation")), important_stakeholders_per_country=T.MapType(_S, T.ArrayType(_strings("name", "explanation"))),
+    arguments_for=_ARGUMENTS, arguments_against=_ARGUMENTS, time_analysis=_S, timeline=T.ArrayType(_strings("date", "person", "event")))
+EVENT = _strings("key", "name", "description", "topic", "search_period")
 
 # The closed vocabularies of the report schema.
 VOCABULARY = {
