@@ -61,15 +61,21 @@ def index_keys(w: str, k: int) -> list[str]:
     return [f"{s}|{len(w)}|{w[c[s] : c[s + 1]]}" for s in range(k + 1)]
 
 
+def _swap(w: str, at: int) -> str:
+    return w[: at - 1] + w[at] + w[at - 1] + w[at + 1 :] if 0 < at < len(w) else w
+
+
 def query_keys(q: str, k: int) -> set[str]:
     """Shard keys under which every indexed word within k edits of q is found."""
     out = set()
     for n in range(max(len(q) - k, 1), len(q) + k + 1):
         c = _cuts(n, k)
-        forms = [q]
-        if n == len(q):
-            for b in c[1:-1]:
-                forms += [f[: b - 1] + f[b] + f[b - 1] + f[b + 1 :] for f in forms if 0 < b < len(q)]
+        forms = {q}
+        for b in c[1:-1]:
+            if n == len(q):  # swaps across any of the boundaries
+                forms |= {_swap(f, b) for f in forms}
+            if abs(n - len(q)) < k:  # a swap and other edits before it, which move the boundary
+                forms |= {_swap(q, b + d) for d in range(1 - k, k)}
         for f in forms:
             for s in range(k + 1):
                 size = c[s + 1] - c[s]
