@@ -52,7 +52,9 @@ class Trie:
 
 
 def _cuts(n: int, k: int) -> list[int]:
-    return [round(i * n / (k + 1)) for i in range(k + 2)]
+    """Ends of the segments. Words often share their endings, so the last segment is the longest."""
+    size = max(3, round(0.44 * n / k)) if k and n >= 3 * (k + 1) else n / (k + 1)
+    return [round(i * size) for i in range(k + 1)] + [n]
 
 
 def index_keys(w: str, k: int) -> list[str]:
@@ -84,10 +86,10 @@ def query_keys(q: str, k: int) -> set[str]:
     return out
 
 
-def trie_join(queries: DataFrame, index: DataFrame, k: int, shards: int = 48) -> DataFrame:
-    """``(query, word, distance)``: every word of ``index`` within k edits of a different word of ``queries``.
+def trie_join(queries: DataFrame, index: DataFrame, k: int, shards: int = 48, by: str | None = None) -> DataFrame:
+    """``(query, word, distance[, by])``: every word of ``index`` within k edits of a different word of ``queries``.
 
-    Both have one column ``word``; repeated, null and empty words count once or not at all.  Words of
+    Both have a column ``word``, and only words that agree in the column ``by`` are compared; repeated, null and empty words count once or not at all.  Words of
     fewer than k + 1 letters are never within the bound's guarantee and take no part.
     """
 
@@ -96,10 +98,10 @@ def trie_join(queries: DataFrame, index: DataFrame, k: int, shards: int = 48) ->
 
         for pdf in batches:
             rows = []
-            for w, ask in zip(pdf["word"], pdf["ask"]):
+            for w, g, ask in zip(pdf["word"], pdf["grp"], pdf["ask"]):
                 for key in query_keys(w, k) if ask else index_keys(w, k):
-                    rows.append((key, w, ask))
-            yield pd.DataFrame(rows, columns=["key", "word", "ask"])
+                    rows.append((f"{key}|{g}", w, g, ask))
+            yield pd.DataFrame(rows, columns=["key", "word", "grp", "ask"])
 
     def walk(pdf):
         import pandas as pd
@@ -108,16 +110,18 @@ def trie_join(queries: DataFrame, index: DataFrame, k: int, shards: int = 48) ->
         held = pdf[~pdf["ask"]].groupby("key")["word"].agg(list).to_dict()
         tries = {key: Trie(ws) for key, ws in held.items()}
         asked = pdf[pdf["ask"]]
-        for key, q in zip(asked["key"], asked["word"]):
+        for key, q, g in zip(asked["key"], asked["word"], asked["grp"]):
             t = tries.get(key)
             if t is not None:
-                rows.update((q, w, d) for w, d in t.near(q, k) if w != q)
-        return pd.DataFrame(list(rows), columns=["query", "word", "distance"])
+                rows.update((q, w, d, g) for w, d in t.near(q, k) if w != q)
+        return pd.DataFrame(list(rows), columns=["query", "word", "distance", "grp"])
 
-    both = queries.select("word", F.lit(True).alias("ask")).unionByName(index.select("word", F.lit(False).alias("ask")))
+    grp = F.coalesce(F.col(by).cast("string"), F.lit("")) if by else F.lit("")
+    both = queries.select("word", grp.alias("grp"), F.lit(True).alias("ask")).unionByName(index.select("word", grp.alias("grp"), F.lit(False).alias("ask")))
     both = both.where(F.length("word") > k).distinct()
-    rows = both.mapInPandas(keyed, "key string, word string, ask boolean")
+    rows = both.mapInPandas(keyed, "key string, word string, grp string, ask boolean")
     # queries whose shard holds no indexed word are dropped before the walk
     live = rows.where("not ask").select("key").distinct()
     rows = rows.join(live, "key", "left_semi").withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards)))
-    return rows.groupBy("shard").applyInPandas(walk, "query string, word string, distance int").distinct()
+    found = rows.groupBy("shard").applyInPandas(walk, "query string, word string, distance int, grp string").distinct()
+    return found.withColumnRenamed("grp", by) if by else found.drop("grp")
