@@ -79,6 +79,15 @@ def _drop(spark: SparkSession, path: str) -> None:
         pass
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` on at least as many partitions as there are cores, for work that is heavy on CPU.
+
+    A table in few small files would otherwise keep most cores idle; one with enough splits is left as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def release(*frames: DataFrame) -> None:
     """Delete tables made by ``materialize`` that no later step reads."""
     for df in frames:
