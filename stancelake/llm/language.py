@@ -44,10 +44,10 @@ def label_language(label: Column) -> Column:
 
 
 def paragraphs(docs: DataFrame, id_col: str, text_col: str, label_col: str) -> DataFrame:
-    """``(id, seg, text, label)``: the paragraphs that have at least one letter; seg counts all of them from 0."""
+    """``(id, seg, text, label)``: the paragraphs that have at least one letter; seg counts all of them from 0, a repeated document is repeated."""
     parts = F.split(F.regexp_replace(F.col(text_col), r"\r\n", "\n"), r"\n[^\S\n]*\n\s*")
     rows = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), label_language(F.col(label_col)).alias("label"), F.posexplode(parts).alias("seg", "text"))
-    return rows.where(F.col("text").rlike(r"\p{L}")).distinct()
+    return rows.where(F.col("text").rlike(r"\p{L}"))
 
 
 def _grams(text: str) -> np.ndarray:

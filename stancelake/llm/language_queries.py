@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..session import spread
 from ..sources.tables import table
 from .language import body_languages, classify, fit, paragraphs
 
 
 def _segments(spark: SparkSession, d: str) -> DataFrame:
-    rows = paragraphs(table(spark, d, "articles", "id", "body", "lang"), "id", "body", "lang")
+    rows = paragraphs(spread(table(spark, d, "articles", "id", "body", "lang")), "id", "body", "lang")
     return classify(rows, fit(rows))
 
 

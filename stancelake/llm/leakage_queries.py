@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..session import spread
 from ..sources.tables import table
 from .leakage import leaks
 
 
 def p9_leaks(spark: SparkSession, d: str) -> DataFrame:
     """Every leak with its field and extent."""
-    return leaks(table(spark, d, "documents", "doc_id", "text"), table(spark, d, "eval_items", "item_id", "passage", "question"), "doc_id", "text", "item_id", ["passage", "question"])
+    return leaks(spread(table(spark, d, "documents", "doc_id", "text")), table(spark, d, "eval_items", "item_id", "passage", "question"), "doc_id", "text", "item_id", ["passage", "question"])
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..session import spread
 from ..sources.tables import table
 from .packing import pack
 
 
 def p8_pack(spark: SparkSession, d: str) -> DataFrame:
     """The container of every document's pieces, for each window."""
-    return pack(table(spark, d, "documents", "doc_id", "text"), table(spark, d, "pack_windows"), "doc_id", "text")
+    return pack(spread(table(spark, d, "documents", "doc_id", "text")), table(spark, d, "pack_windows"), "doc_id", "text")
 
 
 def p8_fill(spark: SparkSession, d: str) -> DataFrame:
