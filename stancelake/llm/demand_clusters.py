@@ -24,6 +24,8 @@ from .trie_join import trie_join
 
 #: Bounds of the lexicons of acts and objects held by every task (most frequent first).
 ACTS, OBJECTS = 2_000, 10_000
+#: A place is read as one it is near if that has DOMINANT times the wordings, or if it has at most RARE wordings itself.
+RARE, DOMINANT = 2, 5
 # English function words that open the act, and those that end a noun phrase.
 OPENERS = frozenset("to must should shall ought will".split())
 ENDS = frozenset("to for with by using through in because as during within before after once ahead since given at on from under until of and or that which while if".split())
@@ -76,17 +78,20 @@ def parse(text: str) -> tuple[str, str, str]:
 
 
 def statement_features(rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``(id, text, place, act, object)`` of the statements that name a place; the others have no features."""
+    """``(id, wording, place, act, object)`` of the statements that name a place; the others have no features.
+
+    ``wording`` is the hash of the statement: copies of one text, with whatever misspellings, are one wording.
+    """
 
     def run(batches: Iterable) -> Iterator:
         import pandas as pd
 
         for pdf in batches:
             f = [parse(t) for t in pdf["text"]]
-            yield pd.DataFrame({"id": pdf["id"], "place": [x[0] for x in f], "act": [x[1] for x in f], "object": [x[2] for x in f]})
+            yield pd.DataFrame({"id": pdf["id"], "wording": pdf["wording"], "place": [x[0] for x in f], "act": [x[1] for x in f], "object": [x[2] for x in f]})
 
-    kept = rows.where(F.col(text_col).isNotNull() & (F.trim(text_col) != "")).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return kept.mapInPandas(run, "id long, place string, act string, object string").where("place <> '' and act <> ''")
+    kept = rows.where(F.col(text_col).isNotNull() & (F.trim(text_col) != "")).select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.lower(F.trim(text_col))).alias("wording"), F.col(text_col).alias("text"))
+    return kept.mapInPandas(run, "id long, wording long, place string, act string, object string").where("place <> '' and act <> ''")
 
 
 def _lexicon(rows: DataFrame, col: str, size: int, least: float) -> dict[str, int]:
@@ -129,9 +134,9 @@ def quantise(rows: DataFrame) -> DataFrame:
             return memo[(kind, w)]
 
         for pdf in batches:
-            yield pd.DataFrame({"id": pdf["id"], "place": pdf["place"], "act": [read(0, a) for a in pdf["act"]], "object": [read(1, o) if o else "" for o in pdf["object"]]})
+            yield pd.DataFrame({"id": pdf["id"], "wording": pdf["wording"], "place": pdf["place"], "act": [read(0, a) for a in pdf["act"]], "object": [read(1, o) if o else "" for o in pdf["object"]]})
 
-    return rows.select("id", "place", "act", "object").mapInPandas(run, "id long, place string, act string, object string")
+    return rows.select("id", "wording", "place", "act", "object").mapInPandas(run, "id long, wording long, place string, act string, object string")
 
 
 def act_classes(rows: DataFrame, share: float = 0.15) -> dict[str, str]:
@@ -180,16 +185,27 @@ def clusters(rows: DataFrame, id_col: str, text_col: str, least: int = 3) -> tup
     b = cells.select("place", "act_class", F.col("cell").alias("dst"), F.col("object").alias("ob"))
     alike = (F.levenshtein("oa", "ob") <= 2) | (F.col("oa") == "") | (F.col("ob") == "")
     along = a.join(b, ["place", "act_class"]).where("src < dst").where(alike).select("src", "dst")
-    # along the place's axis: near spellings, one of them rare
-    weight = cells.groupBy("place").agg(F.sum("n").alias("pn"))
-    pl = materialize(cells.join(weight, "place").where(F.length("place") >= 6).select(F.col("place").alias("word"), "act_class", "pn").distinct(), "demand-places")
-    rare = pl.where("pn <= 2").select("word", "act_class")
-    one = trie_join(rare, pl, 1, by="act_class").select("query", "word", "act_class")
-    two = trie_join(rare.where(F.length("word") >= 9), pl.where("pn >= 2"), 2, by="act_class").select("query", "word", "act_class")
-    near = materialize(one.unionByName(two).distinct(), "demand-near")
+    # along the place's axis: near spellings, one of them rare beside the other
+    weight = feats.groupBy("place").agg(F.count_distinct("wording").alias("pn"), F.count("*").alias("pr"))
+    pl = materialize(cells.join(weight, "place").where(F.length("place") >= 6).select(F.col("place").alias("word"), "act_class", "pn", "pr").distinct(), "demand-places")
+
+    def near_places(k: int, letters: int, rows: int) -> DataFrame:
+        """Rare places meet those of at least ``rows`` rows, the others only those that can dominate one of them."""
+        ask = pl.where(F.length("word") >= letters).select("word", F.concat(F.when(F.col("pn") <= RARE, F.lit("r")).otherwise(F.lit("f")), "act_class").alias("grp"))
+        frequent = pl.where(F.col("pn") >= DOMINANT * (RARE + 1)).select("word", F.concat(F.lit("f"), "act_class").alias("grp"))
+        held = pl.where(F.col("pr") >= rows).select("word", F.concat(F.lit("r"), "act_class").alias("grp")).unionByName(frequent)
+        return trie_join(ask, held, k, by="grp").select("query", "word", "distance", F.substring("grp", 2, 1 << 30).alias("act_class"))
+
+    found = near_places(1, 6, 1).unionByName(near_places(2, 9, 2)).groupBy("query", "word", "act_class").agg(F.min("distance").alias("distance"))
+    found = found.join(weight.select(F.col("place").alias("query"), F.col("pn").alias("qn")), "query").join(weight.select(F.col("place").alias("word"), "pn"), "word")
+    found = found.withColumn("dominant", F.col("pn") >= DOMINANT * F.col("qn"))
+    near = materialize(found.where((F.col("qn") <= RARE) | F.col("dominant")), "demand-near")
     x = cells.select(F.col("place").alias("query"), "act_class", F.col("object").alias("oa"), F.col("cell").alias("src"))
     y = cells.select(F.col("place").alias("word"), "act_class", F.col("object").alias("ob"), F.col("cell").alias("dst"))
-    across = near.join(x, ["query", "act_class"]).join(y, ["word", "act_class"]).where(alike).select("src", "dst")
+    across = materialize(near.join(x, ["query", "act_class"]).join(y, ["word", "act_class"]).where(alike).select("src", "dst", "dominant", F.struct("distance", -F.col("pn"), "word").alias("order")), "demand-across")
+    # of several places that dominate it, a spelling belongs to the nearest and joins none to another
+    nearest = across.where("dominant").groupBy("src").agg(F.min("order").alias("first"))
+    across = across.join(nearest, "src", "left").where("not dominant or order.word = first.word").select("src", "dst")
     # an act that is no known wording joins the place's only demand for that object
     known = cells.join(table.select("act_class").distinct(), "act_class", "left_semi")
     odd = cells.join(table.select("act_class").distinct(), "act_class", "left_anti").where("object <> ''").select("place", "object", F.col("cell").alias("src"))

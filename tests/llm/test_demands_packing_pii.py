@@ -40,6 +40,15 @@ def test_same_demands_meet(spark):
     assert set(d) == set(want.values()) and all(r.size >= 3 and r.typical for r in d.values())
 
 
+def test_repeated_misspellings_of_a_hot_place(spark):
+    ends = [f"to help {x} by {y}" for x in ("farmers", "bakers", "miners", "nurses", "pilots", "weavers") for y in ("payday", "spring", "autumn", "winter", "summer", "easter", "harvest")]
+    made = lambda place, n: [f"the state ought to ban the old lifts in {place} {e}" for e in ends[:n]]
+    # one edit and two edits, each in several wordings; one misspelt text copied often; a place of its own with half the rows
+    texts = made("kidritovleminster", 40) + made("kidritolveminster", 4) + made("kidrtovleminsterr", 3) + made("kudritovleminster", 1) * 9 + made("kidritovlemunster", 20)
+    m, _ = clusters(spark.createDataFrame(list(enumerate(texts)), "id long, text string"), "id", "text")
+    assert {r.id: r.cluster_id for r in m.collect()} == {i: 0 if i < 56 else 56 for i in range(76)}
+
+
 def test_no_demands(spark):
     m, c = clusters(spark.createDataFrame([], "id long, text string"), "id", "text")
     assert m.count() == c.count() == 0
