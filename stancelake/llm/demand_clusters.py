@@ -139,29 +139,23 @@ def quantise(rows: DataFrame) -> DataFrame:
     return rows.select("id", "wording", "place", "act", "object").mapInPandas(run, "id long, wording long, place string, act string, object string")
 
 
-def act_classes(rows: DataFrame, share: float = 0.15) -> dict[str, str]:
-    """Wordings of one act: acts that meet at the same place and object in at least ``share`` of the rarer one's places.
+def act_classes(rows: DataFrame, share: float = 0.15) -> DataFrame:
+    """``(act, act_class)``: acts that meet at the same place and object in at least ``share`` of the rarer one's places.
 
-    Counted over all rows; only the acts of the lexicon's size and their counts come to the driver.
+    Counted over all rows and pairs.  The table holds the acts that meet another one at two or more places, and those that
+    stand alone at more places than they share; the rest, odd wordings of a few demands, are no classes of their own.
     """
-    top = rows.groupBy("act").agg(F.count("*").alias("n")).where("n >= 3").orderBy(F.desc("n"), "act").limit(ACTS).select("act")
-    pa = materialize(rows.join(F.broadcast(top), "act").where("object <> ''").groupBy("place", "object", "act").agg(F.count("*").alias("n")), "demand-acts")
-    several = pa.groupBy("place", "object").agg(F.count("*").alias("acts")).where("acts > 1").drop("acts")
-    pa = materialize(pa.join(several, ["place", "object"]).select("place", "object", "act"), "demand-acts")
-    solo = {r["act"]: r["n"] for r in pa.groupBy("act").agg(F.count("*").alias("n")).collect()}  # at most ACTS rows
+    often = rows.groupBy("act").agg(F.count("*").alias("n")).where("n >= 3").select("act")
+    pa = materialize(rows.where("object <> ''").select("place", "object", "act").distinct().join(often, "act"), "demand-acts")
+    acts = pa.groupBy("place", "object").agg(F.count("*").alias("acts"))
+    shared = F.sum(F.when(F.col("acts") > 1, 1).otherwise(0))
+    solo = materialize(pa.join(acts, ["place", "object"]).groupBy("act").agg(shared.alias("met"), (F.count("*") - shared).alias("alone")), "demand-acts")
     both = pa.join(pa.withColumnRenamed("act", "other"), ["place", "object"]).where("act < other").groupBy("act", "other").agg(F.count("*").alias("n")).where("n >= 2")
-    parent = {a: a for a in solo}
-
-    def root(a: str) -> str:
-        while parent[a] != a:
-            a = parent[a]
-        return a
-
-    for r in both.orderBy(F.desc("n")).limit(ACTS * 20).toLocalIterator():
-        if r["n"] >= share * min(solo[r["act"]], solo[r["other"]]):
-            x, y = sorted((root(r["act"]), root(r["other"])))
-            parent[y] = x
-    return {a: root(a) for a in parent}
+    both = materialize(both, "demand-acts")
+    rarer = both.join(solo.select("act", F.col("met").alias("m")), "act").join(solo.select(F.col("act").alias("other"), F.col("met").alias("o")), "other")
+    comp = connected_components(rarer.where(F.col("n") >= share * F.least("m", "o")), "act", "other").withColumnsRenamed({"vertex": "act", "component": "act_class"})
+    known = both.select("act").unionByName(both.select(F.col("other").alias("act"))).unionByName(solo.where("alone > met").select("act")).distinct()
+    return materialize(known.join(comp, "act", "left").withColumn("act_class", F.coalesce("act_class", "act")), "demand-classes")
 
 
 def clusters(rows: DataFrame, id_col: str, text_col: str, least: int = 3) -> tuple[DataFrame, DataFrame]:
@@ -173,10 +167,8 @@ def clusters(rows: DataFrame, id_col: str, text_col: str, least: int = 3) -> tup
     """
     feats = materialize(statement_features(rows, id_col, text_col), "demand-features")
     feats = materialize(quantise(feats), "demand-features")
-    classes = act_classes(feats)
-    spark = rows.sparkSession
-    table = spark.createDataFrame(sorted(classes.items()) or [("", "")], "act string, act_class string")  # at most ACTS rows
-    f = feats.join(F.broadcast(table), "act", "left").withColumn("act_class", F.coalesce("act_class", "act"))
+    table = act_classes(feats)
+    f = feats.join(table, "act", "left").withColumn("act_class", F.coalesce("act_class", "act"))
     f = f.withColumn("cell", F.xxhash64("place", "act_class", "object"))
     f = materialize(f.select("id", "cell", "place", "act_class", "object"), "demand-rows")
     cells = materialize(f.groupBy("cell", "place", "act_class", "object").agg(F.count("*").alias("n"), F.min("id").alias("first")), "demand-cells")

@@ -96,7 +96,7 @@ def trie_join(queries: DataFrame, index: DataFrame, k: int, shards: int = 48, by
     def keyed(batches: Iterable) -> Iterator:
         import pandas as pd
 
-        for pdf in batches:
+        for pdf in (batch.iloc[a : a + 1_000] for batch in batches for a in range(0, len(batch), 1_000)):  # a word has up to hundreds of keys
             rows = []
             for w, g, ask in zip(pdf["word"], pdf["grp"], pdf["ask"]):
                 for key in query_keys(w, k) if ask else index_keys(w, k):

@@ -49,6 +49,21 @@ def test_repeated_misspellings_of_a_hot_place(spark):
     assert {r.id: r.cluster_id for r in m.collect()} == {i: 0 if i < 56 else 56 for i in range(76)}
 
 
+def test_odd_acts_of_a_hot_demand(spark):
+    places = ["bravohaven", "kumelahaven", "trisodahaven", "nolevihaven", "grupatahaven", "zedimohaven"]
+    say = lambda act, place: f"the state ought to {act} the old lifts in {place} to help farmers"
+    hot = [say(a, places[0]) for a in ["ban"] * 5 + ["put a full stop behind"] * 3 + ["make a clean sweep of"] * 4 + ["close the book on"]]
+    # a wording of its own class that meets the ban at one place only
+    own = [say("insure", p) for p in [places[1], "vorepihaven", "stulakohaven", "mavolirhaven"]]
+    rest = [say(a, p) for p in places for a in ("ban", "outlaw")]
+    texts = hot + rest + own + [say("insure", places[1])] * 2
+    m, _ = clusters(spark.createDataFrame(list(enumerate(texts)), "id long, text string"), "id", "text")
+    got = {r.id: r.cluster_id for r in m.collect()}
+    assert all(got[i] == 0 for i in [*range(len(hot)), len(hot), len(hot) + 1])
+    first = len(hot) + len(rest)
+    assert {i for i, c in got.items() if c == got[first]} == {first, len(texts) - 2, len(texts) - 1}
+
+
 def test_no_demands(spark):
     m, c = clusters(spark.createDataFrame([], "id long, text string"), "id", "text")
     assert m.count() == c.count() == 0
