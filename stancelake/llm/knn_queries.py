@@ -20,7 +20,7 @@ def vectors(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    near = nearest(vectors(spark, d), k=5, min_similarity=0.85, probes=32)
+    near = nearest(vectors(spark, d), k=5, min_similarity=0.85)
     return near.select("model", F.least("id", "other").alias("row_a"), F.greatest("id", "other").alias("row_b")).distinct()
 
 

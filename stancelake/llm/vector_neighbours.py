@@ -15,6 +15,7 @@ as float32 otherwise.
 from __future__ import annotations
 
 import itertools
+import math
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -29,6 +30,11 @@ SAMPLE_ROWS = 20_000
 SIDE = 8_192
 
 
+def probes_for(bits: int) -> int:
+    """Cells to visit so that recall holds as coordinates are added: 32 up to 10 coordinates, twice as many for every 3 more."""
+    return math.ceil(32 * 2 ** (max(bits - 10, 0) / 3))
+
+
 @dataclass(frozen=True)
 class Index:
     """Parameters of the hash: M coordinates, C of them name the part; splits: extra salting of hot parts."""
@@ -64,7 +70,8 @@ class Index:
         score = np.concatenate([inside**2, (1 - inside) ** 2], axis=1)
         score[:, :m][h == 0] = np.inf
         score[:, m:][h == 3] = np.inf
-        top = min(8, 2 * m)
+        # the 8 nearest boundaries, and more where they give too few perturbations
+        top = next((t for t in range(min(8, 2 * m), 2 * m) if sum(math.comb(t, k) for k in range(5)) >= self.probes), 2 * m)
         order = np.argsort(score, axis=1)[:, :top]
         s = np.take_along_axis(score, order, 1)
         axis = order % m
@@ -152,14 +159,14 @@ _ROUTED = "model string, dim int, part long, salt int, id long, home boolean, bl
 _FOUND = "model string, id long, other long, similarity double"
 
 
-def nearest(vectors: DataFrame, k: int = 5, min_similarity: float | None = None, probes: int = 32,
+def nearest(vectors: DataFrame, k: int = 5, min_similarity: float | None = None, probes: int | None = None,
             cell_rows: int = CELL_ROWS, part_rows: int = PART_ROWS, width: float = 3.0, seed: int = 11,
             query_modulus: int = 1, total: int | None = None) -> DataFrame:
     """``(model, id, other, similarity, rank)``: up to k nearest rows of every query row, by cosine.
 
     ``vectors`` has ``model, id, vec array<float>``.  Queries are the rows whose id is divisible by
     ``query_modulus``; all rows are indexed.  ``min_similarity`` (inclusive, checked in double) drops
-    weaker neighbours early.  Null, empty, all-zero and non-finite vectors take no part, vectors of
+    weaker neighbours early.  Without ``probes`` their number grows with the table (``probes_for``).  Null, empty, all-zero and non-finite vectors take no part, vectors of
     different length are never compared, equal similarities are ranked by smaller id, an empty table
     gives an empty result.  A part foreseen to be hot is split among several tasks, its queries going
     to each of them, so that no task holds an unbounded group and nothing is dropped.
@@ -168,6 +175,7 @@ def nearest(vectors: DataFrame, k: int = 5, min_similarity: float | None = None,
     n = vectors.where("vec is not null").count() if total is None else total
     bits = int(np.clip(np.ceil(np.log2(max(n, 1) / cell_rows)) if n else 1, 1, 30))
     part_bits = int(np.clip(np.ceil(np.log2(max(n, 1) / part_rows)), 0, bits))
+    probes = probes_for(bits) if probes is None else probes
     index = Index(bits, part_bits, width, seed, probes, {})
     frac = min(1.0, SAMPLE_ROWS / max(n, 1))
     if part_bits and n:

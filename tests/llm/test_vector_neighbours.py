@@ -33,6 +33,15 @@ def test_recall(spark, part_rows, splits):
     assert max(r["rank"] for r in got) <= 5
 
 
+def test_recall_holds_as_coordinates_are_added(spark):
+    x = blobs(1)
+    s, top = exact(x.astype(float), 5)
+    want = {(i, int(j)) for i in range(len(x)) for j in top[i] if s[i, j] >= 0.85}
+    for bits in (10, 16):
+        got = vn.nearest(frame(spark, x), 5, min_similarity=0.85, part_rows=1 << 40, total=64 << bits)
+        assert len({(r.id, r.other) for r in got.collect()} & want) >= 0.93 * len(want)
+
+
 def test_all_probes_are_exact(spark):
     x = blobs(2, 120, 8)
     s, top = exact(x.astype(float), 3)
