@@ -18,9 +18,6 @@ from pyspark.sql import DataFrame, functions as F
 
 from .names import KIND, PLACE, TITLE, Form, Roles, Tokens, country_of, form, full_names, kind_of, read, sound
 
-#: Most names of the reference list in one broadcast block (about 10 kB each with the index of their spellings); a longer list is
-#: matched in several passes and the best match of all passes is kept.
-BLOCK_NAMES = 10_000
 UNMATCHED = -1
 
 
@@ -222,30 +219,16 @@ def map_values(values: DataFrame, kb: DataFrame, column: str) -> DataFrame:
     spark = values.sparkSession
     v = F.regexp_replace(F.lower(F.col(column)), r"(?U)^\s+|\s+$", "")
     distinct = values.select(v.alias("value")).where("value is not null and value <> ''").distinct()
-    out, block, size = None, [], 0
-
-    def passed(entries: list) -> DataFrame:
-        held = spark.sparkContext.broadcast(entries)
-
-        def run(batches: Iterable) -> Iterator:
-            import pandas as pd
-
-            ref = Reference(held.value)
-            for pdf in batches:
-                got = [ref.match(x) for x in pdf["value"]]
-                yield pd.DataFrame({"value": pdf["value"], "item_id": [g[0] for g in got], "score": [g[1] for g in got]})
-
-        return distinct.mapInPandas(run, "value string, item_id long, score double")
-
-    for r in reference_rows(kb).orderBy("item_id").toLocalIterator():  # streamed in blocks
-        block.append((r["item_id"], list(r["names"]), r["country"], r["land"]))
-        size += len(r["names"])
-        if size >= BLOCK_NAMES:
-            out = passed(block) if out is None else out.unionByName(passed(block))
-            block, size = [], 0
-    if out is None:
-        return passed(block)
-    if block:
-        out = out.unionByName(passed(block))
-    best = out.groupBy("value").agg(F.max("score").alias("score")).join(out, ["value", "score"])
-    return best.groupBy("value", "score").agg(F.when(F.count_distinct("item_id") == 1, F.min("item_id")).otherwise(UNMATCHED).alias("item_id")).select("value", "item_id", "score")
+    # one list in every task: mentions, roles and spellings depend on all names together
+    entries = [(r["item_id"], list(r["names"]), r["country"], r["land"]) for r in reference_rows(kb).orderBy("item_id").toLocalIterator()]
+    held = spark.sparkContext.broadcast(entries)
+
+    def run(batches: Iterable) -> Iterator:
+        import pandas as pd
+
+        ref = Reference(held.value)
+        for pdf in batches:
+            got = [ref.match(x) for x in pdf["value"]]
+            yield pd.DataFrame({"value": pdf["value"], "item_id": [g[0] for g in got], "score": [g[1] for g in got]})
+
+    return distinct.mapInPandas(run, "value string, item_id long, score double")

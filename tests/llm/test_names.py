@@ -97,3 +97,11 @@ def test_mapping(spark):
     assert got.pop("x" * 50_000) == -1
     assert got == want
     assert {r.item_id for r in map_values(df, k.where("false"), "value").collect()} == {-1}
+
+
+def test_ambiguous_in_a_long_list(spark):
+    # more than 10,000 names between two equal entries and a weaker one
+    kb = [(1, "robert lindqvist"), (2, "robert lindqvist"), *((i, f"place{i}x") for i in range(3, 10_103)), (20_000, "robert lindqvest")]
+    k = spark.createDataFrame([(i, n, None, None, None, None) for i, n in kb], "item_id long, main_label string, labels array<string>, aliases array<string>, en_aliases array<string>, description string")
+    df = spark.createDataFrame([("minister robert lindqvist",), ("minister robert lindqvest",)], "value string")
+    assert {r.value: r.item_id for r in map_values(df, k, "value").collect()} == {"minister robert lindqvist": -1, "minister robert lindqvest": 20_000}
