@@ -61,8 +61,6 @@ WORD = re.compile(r"[^\W\d_]+(?:['’\-][^\W\d_]+)*")
 _GAP = re.compile(r"\s+")
 #: Kinds in order of precedence; a form is looked for where its cheap sign occurs.
 FORMS = (("EMAIL", _MAY_HAVE_EMAIL, EMAIL), ("ID_NUMBER", None, ID_NUMBER), ("PHONE", None, PHONE), *(("ADDRESS", sign, form) for sign, form in _ADDRESSES))
-#: Most terms, endings and common words held by a task (broadcast); chosen by weight over all texts.
-HELD = 20_000
 NEAR = 60
 
 
@@ -152,7 +150,7 @@ def learn(docs: DataFrame, text: str, bits: float = 1.0, entropy: float = 1.5) -
     """The lexicon and the table of terms ``(term, occurrences, near, bits, successors, entropy, ends)``.
 
     Counts cover all texts.  ``bits`` and ``entropy`` are the disclosure thresholds.  Only the terms
-    beyond them, at most HELD by weight, travel to the tasks.
+    beyond them, all of them, travel to the tasks.
     """
     raw = docs.where(F.col(text).isNotNull()).select(F.col(text).alias("text")).mapInPandas(_counts, "w string, nxt string, a long, b long, c long")
     from ..session import materialize
@@ -171,7 +169,7 @@ def learn(docs: DataFrame, text: str, bits: float = 1.0, entropy: float = 1.5) -
     # the successor ends the name, and most occurrences have one
     named = (F.col("ends") >= 0.6 * F.col("pairs")) & (F.col("cap") >= 0.6 * F.col("n")) & (F.col("pairs") >= 0.4 * F.col("cap"))
     given = terms.where((F.col("bits") >= bits) & enough & named & (F.col("pairs") >= 2) & (F.col("successors") >= 2) & (F.length("w") > 2) & ~F.col("w").isin(*TITLES) & ~F.col("w").isin(*NOT_PERSON))
-    top = given.orderBy(F.desc("n"), "w").limit(HELD).select("w", "bits").toPandas()  # at most HELD rows
+    top = given.orderBy(F.desc("n"), "w").select("w", "bits").toPandas()  # one row a given name
     first = dict(zip(top["w"], top["bits"].astype(float)))
     known = docs.sparkSession.createDataFrame(top[["w"]]) if len(top) else None
     endings: dict[str, float] = {}
@@ -182,9 +180,9 @@ def learn(docs: DataFrame, text: str, bits: float = 1.0, entropy: float = 1.5) -
         fam = pairs.join(F.broadcast(known), "w").where(~F.col("nxt").isin(*NOT_PERSON)).select(F.explode(F.array(*tails("nxt"))).alias("e"), "n").where("e is not null").groupBy("e").agg(F.sum("n").alias("f"))
         any_ = words.select(F.explode(F.array(*tails("w"))).alias("e"), "n").where("e is not null").groupBy("e").agg(F.sum("n").alias("n"))
         odds = fam.join(any_, "e").withColumn("odds", F.log2((F.col("f") + 0.25) / (F.greatest(F.col("n") - F.col("f"), F.lit(0)) + 0.5)))
-        e = odds.where("f >= 2").orderBy(F.desc("f"), "e").limit(HELD).select("e", "odds").toPandas()  # at most HELD rows
+        e = odds.where("f >= 2").orderBy(F.desc("f"), "e").select("e", "odds").toPandas()  # one row an ending of up to five letters
         endings = dict(zip(e["e"], e["odds"].astype(float)))
-    com = words.where((F.col("cap") < 0.5 * F.col("n")) & (F.col("n") >= 3)).orderBy(F.desc("n"), "w").limit(HELD).select("w").toPandas()  # at most HELD rows
+    com = words.where((F.col("cap") < 0.5 * F.col("n")) & (F.col("n") >= 3)).select("w").toPandas()  # one row a word of three uses
     return Lexicon(first, endings, frozenset(com["w"]) - frozenset(first)), terms
 
 
@@ -269,7 +267,7 @@ def find_spans(docs: DataFrame, doc_id: str, text: str, lexicon: Lexicon | None
     reported each time; whole texts are read.
     """
     lex = learn(docs, text)[0] if lexicon is None else lexicon
-    held = docs.sparkSession.sparkContext.broadcast(lex)  # three tables of at most HELD short words
+    held = docs.sparkSession.sparkContext.broadcast(lex)  # three tables of short words, whole
 
     def run(batches: Iterable) -> Iterator:
         import pandas as pd

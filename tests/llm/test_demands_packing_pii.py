@@ -3,7 +3,7 @@ import random
 import numpy as np
 import pytest
 
-from stancelake.llm import packing
+from stancelake.llm import packing, personal_data
 from stancelake.llm.demand_clusters import clusters, describe, parse
 from stancelake.llm.personal_data import find_spans, form_spans, sanitise
 
@@ -168,6 +168,13 @@ def test_persons(spark):
     assert len(got & want) >= 0.95 * len(want) and len(got - want) <= 0.03 * len(want)
 
 
+def test_lexicon_is_whole(spark, monkeypatch):
+    monkeypatch.setattr(personal_data, "HELD", 2, raising=False)  # the bound that tables once had
+    docs, _ = people(2, 300)
+    lex, _ = personal_data.learn(spark.createDataFrame(docs, "doc_id long, text string"), "text")
+    assert {"anna", "robert", "daniel", "irina", "kate"} <= set(lex.given) and {"board", "levy", "hearing", "bridge"} <= lex.common and len(lex.endings) > 2
+
+
 def test_sanitised(spark):
     docs, _ = people(1, 300)
     df = spark.createDataFrame(docs + [(10_000, None)], "doc_id long, text string")
