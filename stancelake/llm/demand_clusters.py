@@ -1,221 +1,181 @@
 """Similarity clusters of short statements: grid density clustering in SQL.
 
-A statement's features are the act it asks for, the object and the place.  Each
-feature is quantised to a lattice of categories: wordings of an act that keep
-turning up for the same place form one act class, and misspelt words fall on the
-word they are near.  A cell is one (place, act class, object); cells are counted,
-adjacent cells (same two coordinates, the third a near spelling or unknown) are
-joined, and the smallest label spreads until nothing changes.  A cluster is
-described by its size and by the wordings of its densest cell.
+A statement is read as its names and its informative words, whatever its
+sentence looks like.  Names are the words the corpus writes with a capital inside
+a sentence; informative are the words that few statements use.  Both are quantised:
+a word falls on the frequent word it is a misspelling of.  The grid has two axes,
+the name and a hashed pair of neighbouring informative words; a cell is one value of
+each.  Cells are counted over distinct wordings, a cell is dense if it holds far more
+than its two coordinates would give by chance, adjacent dense cells (they hold the
+same wordings) are joined, and the smallest label spreads until nothing changes.  A
+wording belongs to the label most of its cells carry.  A cluster is described by its
+size and by the wordings of its densest cell.
 """
 
 from __future__ import annotations
 
-import re
-from collections import defaultdict
-from collections.abc import Iterable, Iterator
-
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..operators.graph import connected_components
 from ..session import materialize
-from .reference_mapping import Spellings
-from .trie_join import trie_join
 
-#: Bounds of the lexicons of acts and objects held by every task (most frequent first).
-ACTS, OBJECTS = 2_000, 10_000
-#: A place is read as one it is near if that has DOMINANT times the wordings, or if it has at most RARE wordings itself.
+WORD = r"[\p{L}\p{N}]+"
+#: A word is common, and no coordinate, if more than this share of the wordings use it; the share counts PRIOR wordings more.
+COMMON, PRIOR = 0.05, 400
+#: From this share of the wordings on, a name's own wordings are left out when its words are told common.
+HOT = 0.005
+#: A word is a name if this share of its occurrences inside mixed-case statements has a capital.
+CAPITAL = 0.5
+#: A word is read as one that it is a single edit away from if that has DOMINANT times the wordings, or if it has at most RARE itself.
 RARE, DOMINANT = 2, 5
-# English function words that open the act, and those that end a noun phrase.
-OPENERS = frozenset("to must should shall ought will".split())
-ENDS = frozenset("to for with by using through in because as during within before after once ahead since given at on from under until of and or that which while if".split())
-_WORD = re.compile(r"[^\W_]+(?:['’\-][^\W_]+)*|[,;:.]")
-
-
-def _near_in(w: str) -> bool:
-    return w in ("in", "iin", "inn", "ni", "im", "on", "un", "ib", "jn", "i", "n")
-
-
-def parse(text: str) -> tuple[str, str, str]:
-    """(place, act, object) as written, each empty if not found; the statement is lower-cased.
-
-    The place is a possessive before the object or follows "in" after it; the act stands between the
-    clause's first opener ("to", "must", "should") and the object.
+#: A dense cell holds at least LIFT times what the rest of the corpus leads to expect; two dense cells are adjacent from this overlap on.
+LIFT, OVERLAP = 3.0, 0.25
+
+
+def wordings(rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``(wid, n, first, text)``: the distinct texts, lower-cased and stripped, with their number of rows and smallest id."""
+    t = F.trim(text_col)
+    kept = rows.where(F.col(text_col).isNotNull() & (t != "")).select(F.col(id_col).cast("long").alias("id"), t.alias("text"))
+    return kept.groupBy(F.xxhash64(F.lower("text")).alias("wid")).agg(F.count("*").alias("n"), F.min("id").alias("first"), F.max("text").alias("text"))
+
+
+def word_rows(texts: DataFrame) -> DataFrame:
+    """``(wid, pos, w, cap)``: the words of every wording; ``cap`` is null where the case says nothing."""
+    w = texts.select("wid", ((F.col("text") != F.lower("text")) & (F.col("text") != F.upper("text"))).alias("mixed"), F.posexplode(F.regexp_extract_all("text", F.lit(WORD), F.lit(0))).alias("pos", "raw"))
+    return w.select("wid", "pos", F.lower("raw").alias("w"), F.when(F.col("mixed") & (F.col("pos") > 0), (F.col("raw") != F.lower("raw")).cast("int")).alias("cap")).where(F.length("w") > 1)
+
+
+def vocabulary(words: DataFrame) -> DataFrame:
+    """``(w, canon, n, name)``: every word, the word it is read as, that word's wordings and whether it is a name."""
+    v = words.groupBy("w").agg(F.count("*").alias("n"), F.sum("cap").alias("caps"), F.count("cap").alias("seen"))
+    v = materialize(v, "demand-words")
+    near = _near(v.where(F.length("w") >= 4))
+    for _ in range(2):  # each step leads to a word at least DOMINANT times as frequent
+        up = near.select(F.col("w").alias("canon"), F.col("canon").alias("up"))
+        near = materialize(near.join(up, "canon", "left").select("w", F.coalesce("up", "canon").alias("canon")).where("w <> canon"), "demand-near")
+    full = v.join(near, "w", "left").withColumn("canon", F.coalesce("canon", "w"))
+    total = full.groupBy("canon").agg(F.sum("n").alias("n"), (F.sum("caps") >= CAPITAL * F.sum("seen")).alias("name"))
+    return materialize(full.select("w", "canon").join(total, "canon").select("w", "canon", "n", F.coalesce("name", F.lit(False)).alias("name")), "demand-vocabulary")
+
+
+def _near(v: DataFrame) -> DataFrame:
+    """``(w, canon)`` by what is left of two words after at most one deletion in each: an edit, or a letter that moved."""
+    cut = F.transform(F.sequence(F.lit(1), F.length("w")), lambda i: F.concat(F.substring("w", F.lit(1), i - 1), F.substring("w", i + 1, F.lit(1 << 20))))
+    rests = v.select("w", "n", F.explode(F.array_distinct(F.transform(F.concat(F.array("w"), cut), lambda x: F.xxhash64(x)))).alias("rest"))
+    # the words that share a rest differ in one letter, so there are at most a few hundred
+    met = rests.groupBy("rest").agg(F.max(F.struct("n", "w")).alias("top"), F.collect_list(F.struct("n", "w")).alias("all")).where("size(all) > 1")
+    met = met.select(F.explode("all").alias("x"), "top").select("x.w", "x.n", F.col("top.w").alias("canon"), F.col("top.n").alias("m")).where("w <> canon")
+    met = met.where((F.col("m") >= DOMINANT * F.col("n")) | (F.col("n") <= RARE))
+    return met.groupBy("w").agg(F.max_by("canon", F.struct("m", "canon")).alias("canon"))
+
+
+def _pair(a: Column, b: Column) -> Column:
+    return F.xxhash64(F.least(a, b), F.greatest(a, b))
+
+
+def grid(texts: DataFrame, total: int) -> tuple[DataFrame, DataFrame]:
+    """``(wid, names, pairs)``, the coordinates of every wording: its names and its hashed pairs of informative words; and ``(a, s)``, the names."""
+    words = word_rows(texts)
+    voc = vocabulary(words)
+    t = words.join(voc, "w").select("wid", "pos", F.xxhash64("canon").alias("h"), "name", F.col("n").alias("nv"))
+    limit = COMMON * (total + PRIOR)
+    kept = t.where(F.col("name") | (F.col("nv") <= limit))
+    # words that are frequent only because a name is: counted outside that name's wordings
+    hot = t.where(F.col("name") & (F.col("nv") >= HOT * total)).select("wid", F.col("h").alias("a"), F.col("nv").alias("na")).distinct()
+    usual = t.where(~F.col("name") & (F.col("nv") > limit)).join(hot, "wid")
+    usual = materialize(usual.select("wid", "pos", "h", "nv", "a", "na"), "demand-usual")
+    own = usual.groupBy("a", "h").agg(F.count_distinct("wid").alias("nav"), F.first("nv").alias("nv"), F.first("na").alias("na"))
+    own = own.where(F.col("nv") - F.col("nav") <= COMMON * (F.lit(total + PRIOR) - F.col("na"))).select("a", "h")
+    more = usual.join(own, ["a", "h"]).select("wid", "pos", "h", F.lit(False).alias("name"), "nv").distinct()
+    per = kept.unionByName(more).groupBy("wid").agg(
+        F.sort_array(F.collect_list(F.when(~F.col("name"), F.struct("pos", "h")))).alias("seq"), F.collect_set(F.when(F.col("name"), F.struct(F.col("h").alias("a"), F.col("nv").alias("na")))).alias("names"))
+    steps = F.when(F.size("seq") > 1, F.sequence(F.lit(1), F.size("seq") - 1)).otherwise(F.array().cast("array<int>"))
+    s = F.col("seq")
+    pairs = F.transform(steps, lambda i: F.when(s[i]["pos"] - s[i - 1]["pos"] <= 2, _pair(s[i]["h"], s[i - 1]["h"])))
+    return per.select("wid", "names", F.array_distinct(F.filter(pairs, lambda p: p.isNotNull())).alias("pairs")).where("size(names) > 0 and size(pairs) > 0"), voc.where("name").select(F.xxhash64("canon").alias("a"), F.col("canon").alias("s")).distinct()
+
+
+def dense_cells(coords: DataFrame, total: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``held (wid, a, b, cell, c)``, ``lone (wid, a, na, b)`` and ``cells (cell, a, na, b, c)``.
+
+    ``cells`` are the dense ones.  A wording is held by the dense cells of its principal name, the one
+    that its cells fill most; wordings without any are lone.
     """
-    w = _WORD.findall(text.lower())
-    clause: list[list[str]] = [[]]
-    for x in w:
-        if x in ",;:.":
-            clause.append([])
-        else:
-            clause[-1].append(x)
-    best = ("", "", "")
-    for c in clause:
-        start = next((i for i, x in enumerate(c) if x in OPENERS), None)
-        if start is None and len(c) > 4:
-            start = next((i for i, x in enumerate(c) if x in ("ot", "too", "tto", "muts", "mut", "mst", "shold", "shoud", "yo", "ti", "o", "t")), None)
-        if start is None:
-            continue
-        own = next((i for i in range(start + 1, len(c)) if re.search(r"['’]s$", c[i]) and len(c[i]) > 5), None)
-        if own is not None:
-            act = c[start + 1 : own]
-            end = own + 1
-            while end < len(c) and c[end] not in ENDS:
-                end += 1
-            got = (re.sub(r"['’]s$", "", c[own]), " ".join(act), c[end - 1] if end > own + 1 else "")
-        else:
-            at = [i for i in range(start + 2, len(c) - 1) if _near_in(c[i]) and c[i + 1] not in ("the", "teh", "hte", "th", "tthe", "thhe") and len(c[i + 1]) > 4]
-            if not at:
-                continue
-            i = at[-1] if len(at) == 1 else next((j for j in at if c[j + 1][0].isalpha()), at[0])
-            the = [j for j in range(start + 1, i) if c[j] in ("the", "teh", "hte", "tje", "th", "te", "he", "tthe", "rhe", "thr")]
-            if not the:
-                continue
-            got = (c[i + 1], " ".join(c[start + 1 : the[-1]]), c[i - 1])
-        if sum(map(bool, got)) > sum(map(bool, best)):
-            best = got
-    return best
-
-
-def statement_features(rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``(id, wording, place, act, object)`` of the statements that name a place; the others have no features.
-
-    ``wording`` is the hash of the statement: copies of one text, with whatever misspellings, are one wording.
+    each = coords.select("wid", F.explode("names").alias("x"), "pairs").select("wid", F.col("x.a").alias("a"), F.col("x.na").alias("na"), F.explode("pairs").alias("b"))
+    each = materialize(each.withColumn("cell", F.xxhash64("a", "b")), "demand-grid")
+    often = coords.select(F.explode("pairs").alias("b")).groupBy("b").agg(F.count("*").alias("nb")).where("nb > 1")
+    count = each.groupBy("cell", "a", "b").agg(F.count("*").alias("c"), F.first("na").alias("na")).where("c > 1").join(often, "b")
+    outside = (F.col("nb") - F.col("c") + COMMON * 10) / (F.greatest(F.lit(total) - F.col("na"), F.lit(0)) + 10)
+    cells = materialize(count.where(F.col("c") / F.col("na") >= LIFT * outside).select("cell", "a", "na", "b", "c"), "demand-cells")
+    full = each.join(cells.select("cell", "c"), "cell", "left")
+    per = full.groupBy("wid", "a", "na").agg(F.max(F.coalesce("c", F.lit(1))).alias("top"), F.collect_list(F.struct("b", "cell", "c")).alias("own"))
+    main = per.groupBy("wid").agg(F.max_by(F.struct("a", "na", "own"), F.struct(F.col("top") / F.col("na"), "top", "a")).alias("m"))
+    main = materialize(main.select("wid", "m.a", "m.na", F.filter("m.own", lambda x: x["c"].isNotNull()).alias("dense"), "m.own"), "demand-main")
+    held = main.select("wid", "a", F.explode("dense").alias("x")).select("wid", "a", "x.b", "x.cell", "x.c")
+    lone = main.where("size(dense) = 0").select("wid", "a", "na", F.explode("own").alias("x")).select("wid", "a", "na", "x.b")
+    return held, lone, cells
+
+
+def adjacent(held: DataFrame, cells: DataFrame) -> DataFrame:
+    """``(src, dst)``: dense cells of a name that hold the same wordings.
+
+    Every wording links its cells to its densest one; a link stands if it is seen in OVERLAP of the larger cell.
     """
-
-    def run(batches: Iterable) -> Iterator:
-        import pandas as pd
-
-        for pdf in batches:
-            f = [parse(t) for t in pdf["text"]]
-            yield pd.DataFrame({"id": pdf["id"], "wording": pdf["wording"], "place": [x[0] for x in f], "act": [x[1] for x in f], "object": [x[2] for x in f]})
-
-    kept = rows.where(F.col(text_col).isNotNull() & (F.trim(text_col) != "")).select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.lower(F.trim(text_col))).alias("wording"), F.col(text_col).alias("text"))
-    return kept.mapInPandas(run, "id long, wording long, place string, act string, object string").where("place <> '' and act <> ''")
-
-
-def _lexicon(rows: DataFrame, col: str, size: int, least: float) -> dict[str, int]:
-    """The most frequent values, at most ``size``; a value counts if it is used at ``least`` of the rows or thrice."""
-    c = rows.where(F.col(col) != "").groupBy(col).agg(F.count("*").alias("n")).orderBy(F.desc("n"), col).limit(size).toPandas()
-    total = max(int(c["n"].sum()), 1)
-    return {v: int(n) for v, n in zip(c[col], c["n"]) if n >= max(3, least * total)}
-
-
-def quantise(rows: DataFrame) -> DataFrame:
-    """The features with acts and objects read as the frequent ones they are near."""
-    acts, objects = _lexicon(rows, "act", ACTS, 1e-4), _lexicon(rows, "object", OBJECTS, 1e-5)
-    held = rows.sparkSession.sparkContext.broadcast((acts, objects))  # bounded lexicons
-
-    def run(batches: Iterable) -> Iterator:
-        import pandas as pd
-
-        tables = []
-        for lex in held.value:
-            top: dict[str, str] = {}
-            s = Spellings(sorted(lex))
-            for w in sorted(lex, key=lambda x: (-lex[x], x)):
-                # a frequent misspelling is read as the word it is near, too
-                big = [(d, -lex[x], x) for x, d in s.near(w, 1 if len(w) < 7 else 2) if lex[x] >= 10 * lex[w]]
-                top[w] = min(big)[2] if big and len(w) >= 4 else w
-            tables.append((top, s, lex))
-        memo: dict = {}
-
-        def read(kind: int, w: str) -> str:
-            if (kind, w) not in memo:
-                top, s, lex = tables[kind]
-                if w in top:
-                    v = top[w]
-                else:
-                    near = [(d, -lex[x], x) for x, d in s.near(w, 1 if len(w) < 7 else 2)] if 3 <= len(w) <= 40 else []
-                    v = top[min(near)[2]] if near else w
-                if len(memo) > 500_000:
-                    memo.clear()
-                memo[(kind, w)] = v
-            return memo[(kind, w)]
-
-        for pdf in batches:
-            yield pd.DataFrame({"id": pdf["id"], "wording": pdf["wording"], "place": pdf["place"], "act": [read(0, a) for a in pdf["act"]], "object": [read(1, o) if o else "" for o in pdf["object"]]})
-
-    return rows.select("id", "wording", "place", "act", "object").mapInPandas(run, "id long, wording long, place string, act string, object string")
+    per = held.groupBy("wid").agg(F.max_by("cell", F.struct("c", "cell")).alias("hub"), F.collect_list("cell").alias("own"))
+    seen = per.select("hub", F.explode("own").alias("dst")).where("hub <> dst").groupBy(F.least("hub", "dst").alias("src"), F.greatest("hub", "dst").alias("dst")).agg(F.count("*").alias("n"))
+    size = cells.select(F.col("cell").alias("src"), F.col("c").alias("cs"))
+    seen = seen.join(size, "src").join(size.toDF("dst", "cd"), "dst")
+    return seen.where(F.col("n") >= OVERLAP * F.greatest("cs", "cd")).select("src", "dst")
 
 
-def act_classes(rows: DataFrame, share: float = 0.15) -> DataFrame:
-    """``(act, act_class)``: acts that meet at the same place and object in at least ``share`` of the rarer one's places.
+def misspelt(asked: DataFrame, cells: DataFrame, names: DataFrame) -> DataFrame:
+    """``(key, cell)``: the dense cell along the name's axis that ``asked (key, a, na, b)`` is a misspelling of.
 
-    Counted over all rows and pairs.  The table holds the acts that meet another one at two or more places, and those that
-    stand alone at more places than they share; the rest, odd wordings of a few demands, are no classes of their own.
+    Both have the same pair of words, and the names are within two edits and agree in one of three
+    stretches of letters; of several cells the nearest and densest is taken.
     """
-    often = rows.groupBy("act").agg(F.count("*").alias("n")).where("n >= 3").select("act")
-    pa = materialize(rows.where("object <> ''").select("place", "object", "act").distinct().join(often, "act"), "demand-acts")
-    acts = pa.groupBy("place", "object").agg(F.count("*").alias("acts"))
-    shared = F.sum(F.when(F.col("acts") > 1, 1).otherwise(0))
-    solo = materialize(pa.join(acts, ["place", "object"]).groupBy("act").agg(shared.alias("met"), (F.count("*") - shared).alias("alone")), "demand-acts")
-    both = pa.join(pa.withColumnRenamed("act", "other"), ["place", "object"]).where("act < other").groupBy("act", "other").agg(F.count("*").alias("n")).where("n >= 2")
-    both = materialize(both, "demand-acts")
-    rarer = both.join(solo.select("act", F.col("met").alias("m")), "act").join(solo.select(F.col("act").alias("other"), F.col("met").alias("o")), "other")
-    comp = connected_components(rarer.where(F.col("n") >= share * F.least("m", "o")), "act", "other").withColumnsRenamed({"vertex": "act", "component": "act_class"})
-    known = both.select("act").unionByName(both.select(F.col("other").alias("act"))).unionByName(solo.where("alone > met").select("act")).distinct()
-    return materialize(known.join(comp, "act", "left").withColumn("act_class", F.coalesce("act_class", "act")), "demand-classes")
+    blocks = F.explode(F.array(F.xxhash64("b", F.substring("s", 1, 3)), F.xxhash64("b", F.expr("substring(s, -8, 4)"), F.lit(1)), F.xxhash64("b", F.expr("substring(s, -12, 4)"), F.lit(2))))
+    known = names.where(F.length("s") >= 8)
+    ask = asked.join(known, "a").select("key", "a", "na", "b", "s", blocks.alias("block"))
+    held = cells.join(known, "a").select(blocks.alias("block"), F.col("a").alias("ta"), F.col("na").alias("tn"), "cell", "c", F.col("b").alias("tb"), F.col("s").alias("t"))
+    met = ask.join(held, "block").where("a <> ta and b = tb").where((F.col("tn") >= DOMINANT * F.col("na")) | (F.col("na") <= RARE) & (F.col("tn") > F.col("na")))
+    met = met.withColumn("d", F.levenshtein("s", "t")).where("d <= 2")
+    return met.groupBy("key").agg(F.min_by("cell", F.struct("d", -F.col("c"), "cell")).alias("cell"))
 
 
 def clusters(rows: DataFrame, id_col: str, text_col: str, least: int = 3) -> tuple[DataFrame, DataFrame]:
-    """``members (id, cluster_id, cell)`` and ``cells (cell, place, act_class, object, n, cluster_id, size)``.
+    """``members (id, cluster_id, wid, cell)`` and ``found (cluster_id, size, wordings)``.
 
     ``cluster_id`` is the smallest id of the cluster; clusters of fewer than ``least`` rows are left
-    out.  Null and empty texts, and texts without a place and an act, are in no cluster; repeated
-    rows count each; an empty table gives empty results.
+    out.  Null and empty texts are in no cluster; copies of one text always meet; a text without a
+    name or without informative words meets only its copies; repeated rows count each; an empty table
+    gives empty results.
     """
-    feats = materialize(statement_features(rows, id_col, text_col), "demand-features")
-    feats = materialize(quantise(feats), "demand-features")
-    table = act_classes(feats)
-    f = feats.join(table, "act", "left").withColumn("act_class", F.coalesce("act_class", "act"))
-    f = f.withColumn("cell", F.xxhash64("place", "act_class", "object"))
-    f = materialize(f.select("id", "cell", "place", "act_class", "object"), "demand-rows")
-    cells = materialize(f.groupBy("cell", "place", "act_class", "object").agg(F.count("*").alias("n"), F.min("id").alias("first")), "demand-cells")
-    # along the object's axis: near spellings or unknown
-    a = cells.select("place", "act_class", F.col("cell").alias("src"), F.col("object").alias("oa"))
-    b = cells.select("place", "act_class", F.col("cell").alias("dst"), F.col("object").alias("ob"))
-    alike = (F.levenshtein("oa", "ob") <= 2) | (F.col("oa") == "") | (F.col("ob") == "")
-    along = a.join(b, ["place", "act_class"]).where("src < dst").where(alike).select("src", "dst")
-    # along the place's axis: near spellings, one of them rare beside the other
-    weight = feats.groupBy("place").agg(F.count_distinct("wording").alias("pn"), F.count("*").alias("pr"))
-    pl = materialize(cells.join(weight, "place").where(F.length("place") >= 6).select(F.col("place").alias("word"), "act_class", "pn", "pr").distinct(), "demand-places")
-
-    def near_places(k: int, letters: int, rows: int) -> DataFrame:
-        """Rare places meet those of at least ``rows`` rows, the others only those that can dominate one of them."""
-        ask = pl.where(F.length("word") >= letters).select("word", F.concat(F.when(F.col("pn") <= RARE, F.lit("r")).otherwise(F.lit("f")), "act_class").alias("grp"))
-        frequent = pl.where(F.col("pn") >= DOMINANT * (RARE + 1)).select("word", F.concat(F.lit("f"), "act_class").alias("grp"))
-        held = pl.where(F.col("pr") >= rows).select("word", F.concat(F.lit("r"), "act_class").alias("grp")).unionByName(frequent)
-        return trie_join(ask, held, k, by="grp").select("query", "word", "distance", F.substring("grp", 2, 1 << 30).alias("act_class"))
-
-    found = near_places(1, 6, 1).unionByName(near_places(2, 9, 2)).groupBy("query", "word", "act_class").agg(F.min("distance").alias("distance"))
-    found = found.join(weight.select(F.col("place").alias("query"), F.col("pn").alias("qn")), "query").join(weight.select(F.col("place").alias("word"), "pn"), "word")
-    found = found.withColumn("dominant", F.col("pn") >= DOMINANT * F.col("qn"))
-    near = materialize(found.where((F.col("qn") <= RARE) | F.col("dominant")), "demand-near")
-    x = cells.select(F.col("place").alias("query"), "act_class", F.col("object").alias("oa"), F.col("cell").alias("src"))
-    y = cells.select(F.col("place").alias("word"), "act_class", F.col("object").alias("ob"), F.col("cell").alias("dst"))
-    across = materialize(near.join(x, ["query", "act_class"]).join(y, ["word", "act_class"]).where(alike).select("src", "dst", "dominant", F.struct("distance", -F.col("pn"), "word").alias("order")), "demand-across")
-    # of several places that dominate it, a spelling belongs to the nearest and joins none to another
-    nearest = across.where("dominant").groupBy("src").agg(F.min("order").alias("first"))
-    across = across.join(nearest, "src", "left").where("not dominant or order.word = first.word").select("src", "dst")
-    # an act that is no known wording joins the place's only demand for that object
-    known = cells.join(table.select("act_class").distinct(), "act_class", "left_semi")
-    odd = cells.join(table.select("act_class").distinct(), "act_class", "left_anti").where("object <> ''").select("place", "object", F.col("cell").alias("src"))
-    only = known.where("object <> ''").groupBy("place", "object").agg(F.min("cell").alias("dst"), F.count("*").alias("c")).where("c = 1")
-    missing = odd.join(only, ["place", "object"]).select("src", "dst")
-    comp = connected_components(along.unionByName(across).unionByName(missing), "src", "dst").withColumnsRenamed({"vertex": "cell", "component": "label"})
-    cells = cells.join(comp, "cell", "left").withColumn("label", F.coalesce("label", "cell"))
-    size = cells.groupBy("label").agg(F.sum("n").alias("size"), F.min("first").alias("cluster_id")).where(F.col("size") >= least)
-    cells = materialize(cells.join(size, "label").drop("label", "first"), "demand-clusters")
-    return f.select("id", "cell").join(cells.select("cell", "cluster_id"), "cell"), cells
-
-
-def describe(members: DataFrame, cells: DataFrame, rows: DataFrame, id_col: str, text_col: str, top: int = 3) -> DataFrame:
-    """``(cluster_id, size, act_class, object, place, typical)``: size and the densest cell's most frequent wordings."""
-    w = Window.partitionBy("cluster_id").orderBy(F.desc("n"), "cell")
-    dense = cells.withColumn("r", F.row_number().over(w)).where("r = 1").drop("r")
-    texts = rows.select(F.col(id_col).cast("long").alias("id"), F.lower(F.trim(text_col)).alias("t")).join(members.join(dense.select("cell"), "cell", "left_semi"), "id")
-    count = texts.groupBy("cluster_id", "t").agg(F.count("*").alias("c"))
+    texts = materialize(wordings(rows, id_col, text_col), "demand-texts")
+    total = texts.count()
+    coords, names = grid(texts, total)
+    held, lone, cells = dense_cells(materialize(coords, "demand-coordinates"), total)
+    lone = lone.select(F.col("wid").alias("key"), "a", "na", "b")
+    spelt = materialize(misspelt(lone, cells, names), "demand-spelt")
+    turned = misspelt(cells.select(F.col("cell").alias("key"), "a", "na", "b"), cells, names).toDF("src", "dst")
+    comp = connected_components(adjacent(held, cells).unionByName(turned), "src", "dst").withColumnsRenamed({"vertex": "cell", "component": "label"})
+    every = held.select("wid", "cell", "c").unionByName(spelt.select(F.col("key").alias("wid"), "cell", F.lit(1).cast("long").alias("c")))
+    voted = every.join(comp, "cell", "left").withColumn("label", F.coalesce("label", "cell")).groupBy("wid", "label").agg(F.count("*").alias("k"), F.sum("c").alias("c"), F.max_by("cell", F.struct("c", "cell")).alias("cell"))
+    vote = voted.groupBy("wid").agg(F.max_by(F.struct("label", "cell"), F.struct("k", "c", "label")).alias("v")).select("wid", "v.label", "v.cell")
+    placed = materialize(texts.select("wid", "n", "first").join(vote, "wid", "left").withColumn("label", F.coalesce("label", "wid")), "demand-placed")
+    found = placed.groupBy("label").agg(F.sum("n").alias("size"), F.min("first").alias("cluster_id"), F.count("*").alias("wordings")).where(F.col("size") >= least)
+    found = materialize(found, "demand-clusters")
+    ids = rows.where(F.col(text_col).isNotNull() & (F.trim(text_col) != "")).select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.lower(F.trim(text_col))).alias("wid"))
+    members = ids.join(placed.join(found.select("label", "cluster_id"), "label").select("wid", "cluster_id", "cell"), "wid")
+    return members.select("id", "cluster_id", "wid", "cell"), found.select("cluster_id", "size", "wordings")
+
+
+def describe(members: DataFrame, found: DataFrame, rows: DataFrame, id_col: str, text_col: str, top: int = 3) -> DataFrame:
+    """``(cluster_id, size, wordings, typical)``: size and the most frequent wordings of the densest cell."""
+    per = members.groupBy("cluster_id", "cell").agg(F.count("*").alias("n"))
+    dense = per.groupBy("cluster_id").agg(F.max_by("cell", F.struct("n", "cell")).alias("dense"))
+    text = rows.select(F.col(id_col).cast("long").alias("id"), F.lower(F.trim(text_col)).alias("t"))
+    count = members.join(dense, "cluster_id").where("cell <=> dense").join(text, "id").groupBy("cluster_id", "t").agg(F.count("*").alias("c"))
     r = Window.partitionBy("cluster_id").orderBy(F.desc("c"), "t")
     typical = count.withColumn("r", F.row_number().over(r)).where(F.col("r") <= top).groupBy("cluster_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("r", "t"))), lambda x: x["t"]), " | ").alias("typical"))
-    return dense.join(typical, "cluster_id").select("cluster_id", "size", "act_class", "object", "place", "typical")
+    return found.join(typical, "cluster_id")

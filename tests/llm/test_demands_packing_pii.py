@@ -4,64 +4,88 @@ import numpy as np
 import pytest
 
 from stancelake.llm import packing, personal_data
-from stancelake.llm.demand_clusters import clusters, describe, parse
+from stancelake.llm.demand_clusters import clusters, describe
 from stancelake.llm.personal_data import find_spans, form_spans, sanitise
 
 ACTS = [("ban", "outlaw", "prohibit"), ("rename", "retitle", "give a new name to"), ("audit", "examine", "review")]
+SYLLABLES = [c + v for c in "bdgklmnprstvz" for v in "aeiou"]
 
 
-def demands():
-    r = random.Random(4)
+def words(r, n, end=""):
+    return ["".join(r.choice(SYLLABLES) for _ in range(3)) + end for _ in range(n)]
+
+
+def demands(seed=4, places=150):
+    """Sentences of several shapes about a thing in a place; each demand has its helpers and its date."""
+    r = random.Random(seed)
+    things = [f"{a} {b}" for a, b in zip(words(r, 60), words(r, 60, "s"))]
+    helped, dates = words(r, 60, "ers"), words(r, 60, "day")
     rows, truth = [], {}
     i = 0
-    for k in range(40):
-        place = "".join(r.choice("bdgklmnprstvz") + r.choice("aeiou") for _ in range(5)) + "haven"
-        act, thing = ACTS[k % 3], r.choice(["ski lifts", "salt works", "town halls"])
+    for k in range(places):
+        place = "".join(r.choice(SYLLABLES) for _ in range(5)).capitalize() + "haven"
+        act, thing, h, d = ACTS[k % 3], r.choice(things), r.choice(helped), r.choice(dates)
         for _ in range(r.choice([1, 2, 4, 6, 9])):
-            a = r.choice(act)
-            s = r.choice([f"the state ought to {a} the old {thing} in {place} to help farmers by payday", f"Since rents doubled, they want to {a} {place}'s {thing} for bakers", f"it is time to {a} {place}'s old {thing}, using tolls"])
+            a, who, by = r.choice(act), r.choice([f" to help {h}", f" for {h}", ""]), r.choice([f" by {d}", f" until {d}", ""])
+            s = r.choice([f"the state ought to {a} the old {thing} in {place}{who}{by}", f"Since rents doubled, they want to {a} {place}'s {thing}{by}{who}", f"We demand that {place} will {a} its {thing}{who}{by}", f"it is time to {a} {place}'s old {thing}{who}{by}, using tolls"])
             rows.append((i, s.upper() if r.random() < 0.1 else s))
-            truth[i] = (k % 3, place, thing)
+            truth[i] = k
             i += 1
     return rows, truth
 
 
+def agreement(got, truth, least=3):
+    """Share of the pairs of one demand that meet, and of the pairs that meet which are of one demand."""
+    groups = {}
+    for i, k in truth.items():
+        groups.setdefault(k, []).append(i)
+    want = {(a, b) for g in groups.values() if len(g) >= least for a in g for b in g if a < b}
+    met = {}
+    for i, c in got.items():
+        met.setdefault(c, []).append(i)
+    have = {(a, b) for g in met.values() for a in g for b in g if a < b}
+    return len(want & have) / len(want), len(want & have) / len(have)
+
+
 def test_same_demands_meet(spark):
     rows, truth = demands()
     df = spark.createDataFrame([(*x, "p") for x in rows] + [(9001, None, "p"), (9002, "", "p"), (9003, "no demand here", "p")], "id long, text string, place string")
     m, c = clusters(df, "id", "text")
     got = {r.id: r.cluster_id for r in m.collect()}
-    groups = {}
-    for i, k in truth.items():
-        groups.setdefault(k, []).append(i)
-    want = {i: min(g) for g in groups.values() if len(g) >= 3 for i in g}
-    assert got == want
+    found, right = agreement(got, truth)
+    assert found >= 0.95 and right == 1.0 and not {9001, 9002, 9003} & set(got)
+    assert all(min(i for i, x in got.items() if x == k) == k for k in set(got.values()))
     d = {r.cluster_id: r for r in describe(m, c, df, "id", "text").collect()}
-    assert set(d) == set(want.values()) and all(r.size >= 3 and r.typical for r in d.values())
+    assert set(d) == set(got.values()) and all(r.size == sum(x == r.cluster_id for x in got.values()) and r.typical for r in d.values())
+
 
+def test_any_sentence(spark):
+    rows, _ = demands(6)
+    said = ["the state must ban plastic bags in Paris", "We demand that Paris bans plastic bags", "Plastic bags should not be sold in Paris", "Paris needs trams", "Nobody in Rome sells plastic bags"]
+    m, _ = clusters(spark.createDataFrame(rows + [(9000 + i, t) for i, t in enumerate(said)], "id long, text string"), "id", "text")
+    assert {r.id: r.cluster_id for r in m.where("id >= 9000").collect()} == {9000: 9000, 9001: 9000, 9002: 9000}
 
-def test_repeated_misspellings_of_a_hot_place(spark):
+
+def test_misspelt_names(spark):
+    rows, truth = demands(7)
     ends = [f"to help {x} by {y}" for x in ("farmers", "bakers", "miners", "nurses", "pilots", "weavers") for y in ("payday", "spring", "autumn", "winter", "summer", "easter", "harvest")]
-    made = lambda place, n: [f"the state ought to ban the old lifts in {place} {e}" for e in ends[:n]]
+    made = lambda place, n: [f"the state ought to ban the broken escalators in {place} {e}" for e in ends[:n]]
     # one edit and two edits, each in several wordings; one misspelt text copied often; a place of its own with half the rows
-    texts = made("kidritovleminster", 40) + made("kidritolveminster", 4) + made("kidrtovleminsterr", 3) + made("kudritovleminster", 1) * 9 + made("kidritovlemunster", 20)
-    m, _ = clusters(spark.createDataFrame(list(enumerate(texts)), "id long, text string"), "id", "text")
-    assert {r.id: r.cluster_id for r in m.collect()} == {i: 0 if i < 56 else 56 for i in range(76)}
-
-
-def test_odd_acts_of_a_hot_demand(spark):
-    places = ["bravohaven", "kumelahaven", "trisodahaven", "nolevihaven", "grupatahaven", "zedimohaven"]
-    say = lambda act, place: f"the state ought to {act} the old lifts in {place} to help farmers"
-    hot = [say(a, places[0]) for a in ["ban"] * 5 + ["put a full stop behind"] * 3 + ["make a clean sweep of"] * 4 + ["close the book on"]]
-    # a wording of its own class that meets the ban at one place only
-    own = [say("insure", p) for p in [places[1], "vorepihaven", "stulakohaven", "mavolirhaven"]]
-    rest = [say(a, p) for p in places for a in ("ban", "outlaw")]
-    texts = hot + rest + own + [say("insure", places[1])] * 2
-    m, _ = clusters(spark.createDataFrame(list(enumerate(texts)), "id long, text string"), "id", "text")
+    texts = made("Kidritovleminster", 40) + made("Kidritolveminster", 4) + made("Kidrtovleminsterr", 3) + made("Kudritovleminster", 1) * 9 + made("Kidritovlemunster", 20)
+    m, _ = clusters(spark.createDataFrame(rows + [(9000 + i, t) for i, t in enumerate(texts)], "id long, text string"), "id", "text")
+    assert {r.id - 9000: r.cluster_id - 9000 for r in m.where("id >= 9000").collect()} == {i: 0 if i < 56 else 56 for i in range(76)}
+
+
+def test_a_hot_demand(spark):
+    rows, truth = demands(8)
+    r = random.Random(1)
+    hot = [f"{r.choice(['the state ought to', 'they want to', 'it is time to'])} {r.choice(ACTS[0])} the leaking reservoirs in Nolevihaven for {a} by {b}" for a in words(r, 12) for b in ("midsummer", "midwinter", "noon")] * 8
+    other = [f"the state ought to {a} the public swings in Nolevihaven {e}" for a in ACTS[2] for e in ("before dusk", "after dusk")]
+    texts = hot + other
+    m, _ = clusters(spark.createDataFrame(rows + [(9000 + i, t) for i, t in enumerate(texts)], "id long, text string"), "id", "text")
     got = {r.id: r.cluster_id for r in m.collect()}
-    assert all(got[i] == 0 for i in [*range(len(hot)), len(hot), len(hot) + 1])
-    first = len(hot) + len(rest)
-    assert {i for i, c in got.items() if c == got[first]} == {first, len(texts) - 2, len(texts) - 1}
+    found, right = agreement(got, truth | {9000 + i: -1 if i < len(hot) else -2 for i in range(len(texts))})
+    assert found >= 0.98 and right == 1.0
 
 
 def test_no_demands(spark):
@@ -69,12 +93,6 @@ def test_no_demands(spark):
     assert m.count() == c.count() == 0
 
 
-def test_parse():
-    assert parse("For bakers, it is time to cut red tape in Xavor's old mills, using tolls") == ("xavor", "cut red tape in", "mills")
-    assert parse("the authorities should take into public hands the rented salt works in Bramoville by payday") == ("bramoville", "take into public hands", "works")
-    assert parse("") == ("", "", "")
-
-
 @pytest.mark.parametrize("n", [1, 3, 7])
 def test_hilbert_neighbours_touch(n):
     levels = 3
