@@ -1,13 +1,16 @@
-"""Near-duplicate texts: exact set-similarity join by T-occurrence search.
-
-A text is the set of its word runs (shingles).  Two sets of Jaccard similarity t
-or more share at least ``T = ceil(t * max(|x|, |y|))`` shingles.  Following
-DivideSkip, the ``T - 1`` longest inverted lists of a text are put aside; a
-partner must then occur in at least one of the remaining short lists.  Short lists
-are merged inside token groups, where a parity bitmap of each set bounds the
-overlap from above without error, and what is left is probed against the long
-lists (the exact intersection).  Nothing is sampled or capped: the order of the
-lists decides only how much work there is, never which pairs are found.
+"""Near-duplicate texts: exact set-similarity join by T-occurrence search (DivideSkip).
+
+A text is the set of its word runs (shingles); every shingle has an inverted list.
+Two sets of Jaccard similarity t or more share at least ``T = ceil(t * n)``
+shingles, n being the size of either.  DivideSkip sets the L longest lists of a text
+aside, L = T / (mu * ln(longest list) + 1); a partner must then occur in at least
+``T - L`` of its short lists.  The short lists are merged inside token groups: their
+sorted runs fall into one order and equal entries are counted, the counts of a pair
+are added up over the groups, and pairs short of ``T - L`` end there.  The rest is
+probed in the long lists by binary search.  A parity bitmap of each set, which bounds
+the overlap from above without error, keeps hopeless pairs inside their group.
+Nothing is sampled or capped: the order of the lists decides only how much work there
+is, never which pairs are found.
 """
 
 from __future__ import annotations
@@ -24,9 +27,11 @@ from ..session import materialize
 #: Entries of the broadcast table of the most frequent shingles (16 bytes each).  Any order of the
 #: lists is exact, so shingles outside the table are simply taken as rare.
 FREQUENT = 200_000
-#: Postings that one token group aims at, and the length beyond which a list is split among groups.
-GROUP_POSTINGS = 400_000
-LONG_LIST = 4_096
+#: Postings and pairs of postings that one token group aims at, and the length beyond which a list is split among groups.
+GROUP_POSTINGS, GROUP_PAIRS = 400_000, 40_000_000
+LONG_LIST = 2_048
+#: DivideSkip's weight of the merge against the probes (a fixed value of the method).
+MU = 0.0085
 WORD_RUN = r"[\p{L}\p{N}]+"
 
 
@@ -35,13 +40,16 @@ def shingle_sets(docs: DataFrame, id_col: str, text_col: str, run: int) -> tuple
 
     ``key`` is the signature of the words.  Texts shorter than ``run`` words have no set.
     """
-    w = F.regexp_extract_all(F.lower(F.coalesce(F.col(text_col), F.lit(""))), F.lit(WORD_RUN), F.lit(0))
-    base = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), w.alias("words")).where(F.size("words") >= run)
+    text = F.lower(F.coalesce(F.col(text_col), F.lit("")))
+    w = F.regexp_extract_all(text, F.lit(WORD_RUN), F.lit(0))
+    base = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), text.alias("text"), w.alias("words")).where(F.size("words") >= run)
     base = base.withColumn("key", F.md5(F.concat_ws(" ", "words").cast("binary")))
-    members = base.select("id", "key").distinct()
+    members = materialize(base.select("id", "key").distinct(), "dup-members")
+    # one text of each key, chosen before the shingles are made; the text travels, not its words
+    one = base.select("key", "text").groupBy("key").agg(F.any_value("text").alias("text")).select("key", F.regexp_extract_all("text", F.lit(WORD_RUN), F.lit(0)).alias("words"))
     runs = F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("words") - (run - 1)), lambda i: F.xxhash64(*[F.element_at("words", i + j) for j in range(run)])))
-    sets = base.groupBy("key").agg(F.any_value("words").alias("words")).select("key", F.sort_array(runs).alias("sh"))
-    return materialize(members, "dup-members"), materialize(sets.select("key", "sh", F.size("sh").alias("n")), "dup-sets")
+    sets = one.select("key", F.sort_array(runs).alias("sh"))
+    return members, materialize(sets.select("key", "sh", F.size("sh").alias("n")), "dup-sets")
 
 
 def similar_pairs(sets: DataFrame, threshold: float) -> DataFrame:
@@ -51,17 +59,38 @@ def similar_pairs(sets: DataFrame, threshold: float) -> DataFrame:
     total = stats["n"] or 0
     bits = int(np.clip(2 ** math.ceil(math.log2(max(3 * (stats["p90"] or 1), 2))), 512, 8192))
     groups = max(8, math.ceil(total * (1 - threshold) / GROUP_POSTINGS))
-    common = sets.select(F.explode("sh").alias("s")).groupBy("s").agg(F.count("*").alias("df")).where("df > 2")
-    common = common.orderBy(F.desc("df"), "s").limit(FREQUENT).toPandas()  # at most FREQUENT rows
+    lists = sets.select(F.explode("sh").alias("s")).groupBy("s").agg(F.count("*").alias("df")).where("df > 2")
+    common = lists.orderBy(F.desc("df"), "s").limit(FREQUENT).toPandas()  # at most FREQUENT rows
     common = common.sort_values("s")
-    held = spark.sparkContext.broadcast((common["s"].to_numpy(np.int64), common["df"].to_numpy(np.int64)))
-    routed = sets.mapInArrow(_router(held, threshold, bits, groups), "g int, key string, n int, bitmap binary, lists array<long>, roles binary")
-    cand = routed.groupBy("g").applyInArrow(_merger(threshold), "key_a string, key_b string").distinct()
-    a = sets.select(F.col("key").alias("key_a"), F.col("sh").alias("sh_a"), F.col("n").alias("n_a"))
-    b = sets.select(F.col("key").alias("key_b"), F.col("sh").alias("sh_b"), F.col("n").alias("n_b"))
-    probed = cand.join(a, "key_a").join(b, "key_b").withColumn("shared", F.size(F.array_intersect("sh_a", "sh_b")))
-    sim = F.col("shared") / (F.col("n_a") + F.col("n_b") - F.col("shared"))
-    return probed.select("key_a", "key_b", "shared", sim.alias("similarity")).where(F.col("similarity") >= threshold - 1e-12)
+    df = common["df"].to_numpy(np.int64)
+    # pairs of postings that meet if every list is short, an upper bound of the merge's work
+    groups = max(groups, math.ceil(float((np.minimum(df, LONG_LIST) * df / 2).sum()) * (1 - threshold) / GROUP_PAIRS))
+    held = spark.sparkContext.broadcast((common["s"].to_numpy(np.int64), df))
+    routed = sets.mapInArrow(_router(held, threshold, bits, groups), "g int, key string, n int, need int, bitmap binary, lists array<long>, roles binary")
+    part = routed.groupBy("g").applyInArrow(_merger(threshold), "key_a string, key_b string, need int, c int")
+    cand = materialize(part.groupBy("key_a", "key_b", "need").agg(F.sum("c").cast("int").alias("c")).where("c >= need"), "dup-candidates")
+    # only sets of a candidate travel to be probed
+    live = cand.select(F.explode(F.array("key_a", "key_b")).alias("key")).distinct()
+    some = materialize(sets.join(live, "key", "left_semi"), "dup-probed")
+    a = some.select(F.col("key").alias("key_a"), F.col("sh").alias("sh_a"))
+    b = some.select(F.col("key").alias("key_b"), F.col("sh").alias("sh_b"))
+    met = cand.join(a, "key_a").join(b, "key_b")
+    return met.select("key_a", "key_b", "c", "sh_a", "sh_b").mapInArrow(_prober(held, threshold), "key_a string, key_b string, shared int, similarity double")
+
+
+def divide(df: np.ndarray, t: float) -> tuple[int, int]:
+    """DivideSkip's division of a set whose lists have the lengths ``df``: number of short lists, and how many of them a partner must be in."""
+    need = math.ceil(t * len(df) - 1e-9)
+    aside = min(int(need / (MU * math.log(max(int(df.max()), 1)) + 1)), need - 1)
+    return len(df) - aside, need - aside
+
+
+def _lengths(known: np.ndarray, df: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Lengths of the lists of the shingles ``x``; those outside the table count as 0."""
+    if not len(known):
+        return np.zeros(len(x), np.int64)
+    at = np.minimum(np.searchsorted(known, x), len(known) - 1)
+    return np.where(known[at] == x, df[at], 0)
 
 
 def _mix(x: np.ndarray, c: int = 0) -> np.ndarray:
@@ -86,12 +115,11 @@ def _router(held, t: float, bits: int, groups: int):
         known, df = held.value
         for batch in batches:
             keys, arrays = batch["key"].to_pylist(), batch["sh"]
-            out: dict[str, list] = {c: [] for c in ("g", "key", "n", "bitmap", "lists", "roles")}
+            out: dict[str, list] = {c: [] for c in ("g", "key", "n", "need", "bitmap", "lists", "roles")}
             for key, sh in zip(keys, arrays):
                 x = np.asarray(sh.values)
-                at = np.minimum(np.searchsorted(known, x), max(len(known) - 1, 0))
-                f = np.where(known[at] == x, df[at], 0) if len(known) else np.zeros(len(x), np.int64)
-                short = len(x) - math.ceil(t * len(x) - 1e-9) + 1
+                f = _lengths(known, df, x)
+                short, need = divide(f, t)
                 o = np.lexsort((x, f))[:short]
                 tok, f = x[o], f[o]
                 role = np.zeros(len(tok), np.uint8)
@@ -115,6 +143,7 @@ def _router(held, t: float, bits: int, groups: int):
                     out["g"].append(int(g[a]))
                     out["key"].append(key)
                     out["n"].append(len(x))
+                    out["need"].append(need)
                     out["bitmap"].append(image)
                     out["lists"].append(tok[a:b])
                     out["roles"].append(role[a:b].tobytes())
@@ -122,58 +151,106 @@ def _router(held, t: float, bits: int, groups: int):
             flat = np.concatenate(out["lists"]) if sizes else np.empty(0, np.int64)
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(flat, pa.int64()))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(out["g"], pa.int32()), pa.array(out["key"], pa.string()), pa.array(out["n"], pa.int32()), pa.array(out["bitmap"], pa.binary()), lists, pa.array(out["roles"], pa.binary())],
-                names=["g", "key", "n", "bitmap", "lists", "roles"])
+                [pa.array(out["g"], pa.int32()), pa.array(out["key"], pa.string()), pa.array(out["n"], pa.int32()), pa.array(out["need"], pa.int32()), pa.array(out["bitmap"], pa.binary()), lists, pa.array(out["roles"], pa.binary())],
+                names=["g", "key", "n", "need", "bitmap", "lists", "roles"])
 
     return run
 
 
 def _merger(t: float):
-    """Merge the short lists of one token group; pairs whose bitmaps leave enough overlap possible."""
+    """Merge the short lists of one token group: pairs with the number of lists they share, where their bitmaps allow enough overlap."""
 
     def run(table):
         import pyarrow as pa
 
         table = table.combine_chunks()
+        # texts by size: of a run, only the stretch of fitting sizes before an entry can hold a partner
+        table = table.sort_by([("n", "ascending"), ("key", "ascending")]).combine_chunks()
         keys = table["key"].to_pylist()
         n = table["n"].to_numpy().astype(np.int64)
+        need = table["need"].to_numpy()
         image = np.frombuffer(b"".join(table["bitmap"].to_pylist()), np.uint64).reshape(len(keys), -1)
         col = table["lists"].chunk(0)
         tok = np.asarray(col.flatten())
         doc = np.repeat(np.arange(len(keys)), np.diff(np.asarray(col.offsets)))
         role = np.frombuffer(b"".join(table["roles"].to_pylist()), np.uint8)
-        o = np.argsort(tok, kind="stable")
+        o = np.argsort(tok, kind="stable")  # every list is a run of ascending texts
         tok, doc, role = tok[o], doc[o], role[o]
         cut = np.flatnonzero(np.append(True, tok[1:] != tok[:-1]))
-        end = np.repeat(np.append(cut[1:], len(tok)), np.diff(np.append(cut, len(tok))))
-        left = end - np.arange(len(tok)) - 1
+        begin = np.repeat(cut, np.diff(np.append(cut, len(tok))))
+        # first entry of the list that is large enough for each entry, by one binary search over (list, size)
+        size = n[doc]
+        least = np.ceil(t * size - 1e-9).astype(np.int64)
+        wide = int(size.max()) + 1 if len(size) else 1
+        rank = np.searchsorted(begin * wide + size, begin * wide + least)
+        many = np.arange(len(tok)) - rank
         share = (1 - t) / (1 + t)
-        found: list[np.ndarray] = []
-        pos, step = np.flatnonzero(left > 0), 1
-        while len(pos):
-            for a in range(0, len(pos), 65_536):
-                p = pos[a : a + 65_536]
-                x, y = doc[p], doc[p + step]
-                nx, ny = n[x], n[y]
-                ok = (np.minimum(nx, ny) >= t * np.maximum(nx, ny) - 1e-9) & (x != y)
-                r, q = role[p], role[p + step]
-                ok &= (r == q) & (r == 0) | (r + q == 3)
-                x, y, most = x[ok], y[ok], (nx + ny)[ok] * share + 1e-9
-                far = np.bitwise_count(image[x] ^ image[y]).sum(axis=1, dtype=np.int64)
-                ok = far <= most
-                if ok.any():
-                    x, y = x[ok], y[ok]
-                    found.append(np.unique(np.minimum(x, y) * len(keys) + np.maximum(x, y)))
-            if len(found) > 256:
-                found = [np.unique(np.concatenate(found))]
-            step += 1
-            pos = pos[left[pos] >= step]
-        pair = np.unique(np.concatenate(found)) if found else np.empty(0, np.int64)
-        a = np.array(keys, dtype=object)[pair // max(len(keys), 1)]
-        b = np.array(keys, dtype=object)[pair % max(len(keys), 1)]
-        swap = a > b if len(pair) else np.empty(0, bool)
-        first, second = np.where(swap, b, a), np.where(swap, a, b)
-        return pa.table({"key_a": pa.array(first.tolist(), pa.string()), "key_b": pa.array(second.tolist(), pa.string())})
+        total: list[tuple[np.ndarray, np.ndarray]] = []
+        # one text after the other: its lists are merged and what occurs in them is counted
+        by = np.argsort(doc, kind="stable")
+        work = np.cumsum(many[by])
+        a = 0
+        while a < len(by):
+            b = max(int(np.searchsorted(work, (work[a - 1] if a else 0) + 2_000_000, "right")), a + 1)
+            while b < len(by) and doc[by[b]] == doc[by[b - 1]]:
+                b += 1
+            p = by[a:b]
+            k = many[p]
+            x = np.repeat(p, k)
+            y = np.arange(len(x)) - np.repeat(np.cumsum(k) - k, k) + np.repeat(rank[p], k)
+            r, q = role[x], role[y]
+            ok = (r == q) & (r == 0) | (r + q == 3)
+            pair, c = np.unique(doc[x[ok]] * len(keys) + doc[y[ok]], return_counts=True)
+            x, y = pair // max(len(keys), 1), pair % max(len(keys), 1)
+            far = np.bitwise_count(image[x] ^ image[y]).sum(axis=1, dtype=np.int64)
+            ok = (far <= (n[x] + n[y]) * share + 1e-9) & (x != y)
+            if ok.any():
+                total.append((pair[ok], c[ok]))
+            a = b
+        pair = np.concatenate([p for p, _ in total]) if total else np.empty(0, np.int64)
+        c = np.concatenate([c for _, c in total]) if total else np.empty(0, np.int64)
+        x, y = pair // max(len(keys), 1), pair % max(len(keys), 1)
+        names = np.array(keys, dtype=object)
+        first, second = names[x], names[y]
+        swap = first > second if len(pair) else np.empty(0, bool)
+        first, second = np.where(swap, second, first), np.where(swap, first, second)
+        return pa.table({"key_a": pa.array(first.tolist(), pa.string()), "key_b": pa.array(second.tolist(), pa.string()), "need": pa.array(np.minimum(need[x], need[y]), pa.int32()), "c": pa.array(c, pa.int32())})
+
+    return run
+
+
+def _prober(held, t: float):
+    """Look up the lists set aside by binary search and keep the pairs that share enough."""
+
+    def run(batches: Iterable) -> Iterator:
+        import pyarrow as pa
+
+        known, df = held.value
+
+        def sides(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            f = _lengths(known, df, x)
+            o = np.lexsort((x, f))
+            short = divide(f, t)[0]
+            return o[:short], o[short:]
+
+        def within(x: np.ndarray, y: np.ndarray) -> int:
+            at = np.minimum(np.searchsorted(y, x), len(y) - 1)
+            return int((y[at] == x).sum())
+
+        for batch in batches:
+            shared, sim = [], []
+            for c, x, y in zip(batch["c"].to_pylist(), batch["sh_a"], batch["sh_b"]):
+                x, y = np.asarray(x.values), np.asarray(y.values)
+                (xs, xl), (_, yl) = sides(x), sides(y)
+                # the merge counted short with short; the long lists of one side are probed in all of the other, those of the other in the short ones
+                both = c + within(x[xl], y) + within(y[yl], np.sort(x[xs]))
+                shared.append(both)
+                sim.append(both / (len(x) + len(y) - both))
+            ok = np.array(sim) >= t - 1e-12 if sim else np.empty(0, bool)
+            rows = np.flatnonzero(ok)
+            yield pa.RecordBatch.from_arrays(
+                [batch["key_a"].take(pa.array(rows)), batch["key_b"].take(pa.array(rows)), pa.array(np.array(shared, np.int32)[rows]), pa.array(np.array(sim, float)[rows])],
+                names=["key_a", "key_b", "shared", "similarity"])
 
     return run
 
