@@ -186,6 +186,27 @@ def test_persons(spark):
     assert len(got & want) >= 0.95 * len(want) and len(got - want) <= 0.03 * len(want)
 
 
+def test_shapes_unknown_beforehand_are_learned(spark):
+    r = random.Random(3)
+    digits = lambda n: "".join(r.choice("0123456789") for _ in range(n))
+    docs, want = [], set()
+    for i in range(120):
+        number, tel, order = f"K{digits(2)}-{digits(5)}-{digits(3)}", f"5{digits(2)}-{digits(3)}-{digits(4)}", f"7{digits(3)}-{digits(6)}"
+        text = r.choice([f"Issued with passport {number} in May", f"Listed as {number} | {tel}", f"Her personal number: {number}, phone {tel} by day"]) + f". Order {order} was filed."
+        docs.append((i, text))
+        want |= {(i, text.index(x), text.index(x) + len(x), k) for x, k in ((number, "ID_NUMBER"), (tel, "PHONE")) if x in text}
+    got = {tuple(x) for x in find_spans(spark.createDataFrame(docs, "doc_id long, text string"), "doc_id", "text").where("kind in ('ID_NUMBER', 'PHONE')").collect()}
+    assert got == want
+
+
+@pytest.mark.parametrize("text,span,kind", [
+    ("call 555-010-1234 now", "555-010-1234", "PHONE"), ("account number: QQ 12 34 56 C", "QQ 12 34 56 C", "ID_NUMBER"), ("IBAN DE89 3704 0044 0532 0130 00", "DE89 3704 0044 0532 0130 00", "ID_NUMBER"),
+    ("Passport AB1234567", "AB1234567", "ID_NUMBER"), ("lives at 12 Downing St, London", "12 Downing St, London", "ADDRESS"), ("wohnt Hauptstr. 5, 10115 Berlin", "Hauptstr. 5, 10115 Berlin", "ADDRESS"),
+])
+def test_captions_and_short_forms(text, span, kind):
+    assert [(text[a:b], k) for a, b, k in form_spans(text)] == [(span, kind)]
+
+
 def test_lexicon_is_whole(spark, monkeypatch):
     monkeypatch.setattr(personal_data, "HELD", 2, raising=False)  # the bound that tables once had
     docs, _ = people(2, 300)
