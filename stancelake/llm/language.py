@@ -50,11 +50,17 @@ def paragraphs(docs: DataFrame, id_col: str, text_col: str, label_col: str) -> D
     return rows.where(F.col("text").rlike(r"\p{L}"))
 
 
-def _grams(text: str) -> np.ndarray:
-    """Hashed character n-grams of the whole text, letters lower-cased, everything else one blank."""
-    s = re.sub(r"[\W\d_]+", " ", " " + text.lower() + " ")
-    c = np.frombuffer(s.encode("utf-32-le"), np.uint32).astype(np.uint64)
-    out = []
+def _letters(text: str) -> str:
+    """The text in lower case, everything but letters one blank."""
+    return re.sub(r"[\W\d_]+", " ", f" {text.lower()} ")
+
+
+def gram_counts(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text number, hashed character n-gram, occurrences) of whole texts, ordered by text and n-gram."""
+    s = [_letters(t) for t in texts]
+    c = np.frombuffer("".join(s).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    doc = np.repeat(np.arange(len(s)), [len(x) for x in s])
+    keys = []
     with np.errstate(over="ignore"):
         for n in ORDERS:
             if len(c) < n:
@@ -63,8 +69,24 @@ def _grams(text: str) -> np.ndarray:
             for j in range(n):
                 h = (h ^ c[j : len(c) - n + 1 + j]) * np.uint64(0x9E3779B97F4A7C15)
                 h ^= h >> np.uint64(29)
-            out.append(h & np.uint64((1 << BITS) - 1))
-    return np.concatenate(out).astype(np.int64)
+            own = doc[: len(doc) - n + 1]
+            inside = own == doc[n - 1 :]  # no n-gram reaches into the next text
+            keys.append((own[inside] << BITS) | (h[inside] & np.uint64((1 << BITS) - 1)).astype(np.int64))
+    key = np.sort(np.concatenate(keys)) if keys else np.empty(0, np.int64)
+    first = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.empty(0, np.int64)
+    return key[first] >> BITS, key[first] & ((1 << BITS) - 1), np.diff(np.append(first, len(key)))
+
+
+def _blocks(texts: list[str], letters: int = 500_000) -> Iterator[list[str]]:
+    """The texts in blocks of about that many characters."""
+    a = size = 0
+    for i, t in enumerate(texts):
+        size += len(t)
+        if size >= letters:
+            yield texts[a : i + 1]
+            a, size = i + 1, 0
+    if a < len(texts):
+        yield texts[a:]
 
 
 def document_frequencies(rows: DataFrame, text: str = "text") -> tuple[np.ndarray, int]:
@@ -75,9 +97,9 @@ def document_frequencies(rows: DataFrame, text: str = "text") -> tuple[np.ndarra
 
         df, n = np.zeros(1 << BITS, np.int64), 0
         for pdf in batches:
-            for t in pdf["text"]:
-                df[np.unique(_grams(t))] += 1
-                n += 1
+            for block in _blocks(pdf["text"].tolist()):
+                df += np.bincount(gram_counts(block)[1], minlength=1 << BITS)
+                n += len(block)
         at = np.flatnonzero(df)
         yield pd.DataFrame({"g": np.append(at, -1), "n": np.append(df[at], n)})
 
@@ -88,11 +110,17 @@ def document_frequencies(rows: DataFrame, text: str = "text") -> tuple[np.ndarra
     return df, int(n[g < 0].sum())
 
 
+def vectors(texts: list[str], idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text number, n-gram, value): sparse unit TF-IDF vectors."""
+    doc, g, tf = gram_counts(texts)
+    v = (1 + np.log(tf)) * idf[g]
+    norm = np.sqrt(np.bincount(doc, v * v, len(texts)))
+    return doc, g, v / np.maximum(norm, 1e-12)[doc]
+
+
 def features(text: str, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Sparse unit TF-IDF vector: indices and values."""
-    g, tf = np.unique(_grams(text), return_counts=True)
-    v = (1 + np.log(tf)) * idf[g]
-    return g, v / max(np.linalg.norm(v), 1e-12)
+    return vectors([text], idf)[1:]
 
 
 @dataclass
@@ -103,14 +131,15 @@ class Model:
     idf: np.ndarray
     temperature: float = 1.0
 
-    def scores(self, text: str) -> np.ndarray:
-        g, v = features(text, self.idf)
-        return v @ self.weights[g]
-
-    def probabilities(self, text: str) -> np.ndarray:
-        z = self.scores(text) / self.temperature
-        e = np.exp(z - z.max())
-        return e / e.sum()
+    def probabilities(self, texts: list[str]) -> np.ndarray:
+        """(texts, languages): calibrated probabilities."""
+        out = [np.empty((0, self.weights.shape[1]))]
+        for block in _blocks(texts):
+            doc, g, v = vectors(block, self.idf)
+            z = np.stack([np.bincount(doc, v * self.weights[g, k], len(block)) for k in range(self.weights.shape[1])], axis=1) / self.temperature
+            e = np.exp(z - z.max(axis=1, keepdims=True))
+            out.append(e / e.sum(axis=1, keepdims=True))
+        return np.concatenate(out)
 
 
 def ftrl(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, classes: int, epochs: int = 2, alpha: float = 2.0, beta: float = 1.0,
@@ -204,11 +233,12 @@ def classify(rows: DataFrame, model: Model) -> DataFrame:
 
         m = held.value
         for pdf in batches:
-            p = [m.probabilities(t) for t in pdf["text"]]
+            texts = pdf["text"].tolist()
+            p = m.probabilities(texts)
             yield pd.DataFrame({
                 "id": pdf["id"], "seg": pdf["seg"], "label": pdf["label"],
                 "lang": [LANGUAGES[int(q.argmax())] for q in p], "confidence": [float(q.max()) for q in p],
-                "n_letters": [sum(map(str.isalpha, t)) for t in pdf["text"]],
+                "n_letters": [len(x) - x.count(" ") for x in map(_letters, texts)],
             })
 
     return rows.select("id", "seg", "label", "text").mapInPandas(run, f"id {kind}, seg int, label string, lang string, confidence double, n_letters int")

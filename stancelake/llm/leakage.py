@@ -58,7 +58,7 @@ def leaks(docs: DataFrame, items: DataFrame, doc_id: str, text: str, item_id: st
     A document contains an item if it has at least ``run_words`` consecutive words of one of the
     item's ``fields``; case, punctuation, markup tags and kind of white space do not matter.
     ``windows`` counts the matching runs, ``first_word`` is the first one's word position.  Null and
-    short texts match nothing; repeated documents are reported each; without items the result is empty.
+    short texts match nothing; the windows of repeated documents are added up under their id; without items the result is empty.
 
     The items are the stated query set.  Their patterns are broadcast in blocks of at most ``block``,
     so a larger set costs further passes over the documents, never a larger broadcast.

@@ -25,9 +25,9 @@ def p9_items(spark: SparkSession, d: str) -> DataFrame:
 
 _PAIRS = r"""
 WITH it AS (SELECT item_id, unnest([passage, question]) AS s FROM eval_items),
-     iw AS (SELECT item_id, regexp_extract_all(lower(regexp_replace(s, '</?[A-Za-z][^<>]{0,80}>', ' ', 'g')), '[\p{L}\p{N}]+') AS w FROM it),
+     iw AS (SELECT item_id, regexp_extract_all(lower(regexp_replace(s, '</?[A-Za-z][^<>]*>', ' ', 'g')), '[\p{L}\p{N}]+') AS w FROM it),
      ig AS (SELECT DISTINCT item_id, array_to_string(w[i:i+7], ' ') AS g FROM iw, unnest(range(1, len(w) - 6)) AS t(i)),
-     dw AS (SELECT doc_id, regexp_extract_all(lower(regexp_replace(text, '</?[A-Za-z][^<>]{0,80}>', ' ', 'g')), '[\p{L}\p{N}]+') AS w FROM documents),
+     dw AS (SELECT doc_id, regexp_extract_all(lower(regexp_replace(text, '</?[A-Za-z][^<>]*>', ' ', 'g')), '[\p{L}\p{N}]+') AS w FROM documents),
      dg AS (SELECT doc_id, array_to_string(w[i:i+7], ' ') AS g FROM dw, unnest(range(1, len(w) - 6)) AS t(i)),
      hit AS (SELECT DISTINCT doc_id, item_id FROM dg JOIN ig USING (g))
 """

@@ -3,7 +3,8 @@
 Every text becomes a hashed word vector, projected to a few dimensions and placed
 on a Hilbert curve, so that texts with similar words lie close together.  The
 rows are range-partitioned and sorted by the curve's key; along the curve each
-block of neighbours is packed by best fit, longest first, and what lies in badly
+block of neighbours is packed by best fit, longest first (inside a block the order along
+the curve no longer matters), and what lies in badly
 filled containers moves on to the next block.  Blocks are packed independently of
 each other in every partition: no global order, no driver.
 
@@ -23,6 +24,7 @@ from functools import cache
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
+from ..session import materialize
 from .text import words
 
 #: Folder of the vocabulary files, and the file for each tokenizer name (cl100k_base has no file here;
@@ -33,6 +35,8 @@ FILES = {"gpt2": "byte_bpe_50k.tiktoken", "cl100k_base": "byte_bpe_multi_50k.tik
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 DIMS, LEVELS, HASHED = 3, 10, 256
 BLOCK, CARRY = 4_096, 0.97
+#: Documents of a range of the curve (one task).
+RANGE = 50_000
 
 
 @cache
@@ -80,10 +84,8 @@ def curve_keys(texts: Iterable[str | None], seed: int = 5) -> np.ndarray:
     plane = np.random.default_rng(seed).standard_normal((HASHED, DIMS))
     rows = []
     for t in texts:
-        v = np.zeros(HASHED)
-        for w in words(t):
-            h = xxhash.xxh32_intdigest(w)
-            v[h % HASHED] += 1.0 if h & 0x80000000 else -1.0
+        h = np.fromiter(map(xxhash.xxh32_intdigest, words(t)), np.uint32)
+        v = np.bincount(h % HASHED, np.where(h & np.uint32(0x80000000), 1.0, -1.0), HASHED)
         rows.append(np.sign(v) * np.sqrt(np.abs(v)))
     m = np.array(rows).reshape(-1, HASHED)
     z = m @ plane / np.maximum(np.linalg.norm(m, axis=1), 1e-9)[:, None]
@@ -126,13 +128,13 @@ def token_lengths(docs: DataFrame, doc_id: str, text: str, tokenizers: list[str]
 def pack(docs: DataFrame, windows: DataFrame, doc_id: str, text: str, folder: str = TOKENIZER_DIR, partitions: int | None = None) -> DataFrame:
     """``(window_id, container_id, doc_id, piece, token_start, tokens)``: every text's place for each window.
 
-    ``windows`` has ``window_id, tokenizer, capacity_tokens`` (a handful of rows).  Pieces of a text
+    ``windows`` has ``window_id, tokenizer, capacity_tokens``, one row a setting, and each is filled.  Pieces of a text
     are numbered from 0 and cover its tokens from ``token_start`` on without gap.  Null and empty
     texts are one piece of no tokens; repeated documents are placed each; an empty table gives an
     empty result.  Capacities that are null or not positive are refused.
     """
     spark = docs.sparkSession
-    wins = [(r["window_id"], r["tokenizer"], r["capacity_tokens"]) for r in windows.select("window_id", "tokenizer", "capacity_tokens").limit(1_000).collect()]
+    wins = [(r["window_id"], r["tokenizer"], r["capacity_tokens"]) for r in windows.select("window_id", "tokenizer", "capacity_tokens").collect()]  # the settings
     for _, t, c in wins:
         if not c or c <= 0 or t not in FILES:
             raise ValueError(f"no such window: {t} of {c} tokens")
@@ -141,8 +143,9 @@ def pack(docs: DataFrame, windows: DataFrame, doc_id: str, text: str, folder: st
     schema = f"window_id int, container_id long, doc_id {kind}, piece int, token_start int, tokens int"
     if not wins:
         return spark.createDataFrame([], schema)
-    sized = token_lengths(docs, doc_id, text, names, folder)
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    sized = materialize(token_lengths(docs, doc_id, text, names, folder), "pack-sized")  # the range sort reads it twice
+    count = sized.count()
+    n = partitions or max(math.ceil(count / RANGE), min(spark.sparkContext.defaultParallelism, math.ceil(count / BLOCK)), 1)
     ordered = sized.repartitionByRange(n, "key", "doc_id").sortWithinPartitions("key", "doc_id")
     plan = [(w, names.index(t), c) for w, t, c in wins]
 

@@ -6,7 +6,7 @@ import re
 
 #: A word: a run of letters and digits.
 WORD = re.compile(r"[^\W_]+")
-_TAG = re.compile(r"</?[A-Za-z][^<>]{0,80}>")
+_TAG = re.compile(r"</?[A-Za-z][^<>]*>")
 
 
 def words(text: str | None) -> list[str]:

@@ -138,6 +138,12 @@ def test_packing_round_trip(spark, vocabulary):
         packing.pack(df, w.selectExpr("window_id", "tokenizer", "0 as capacity_tokens"), "doc_id", "text")
 
 
+def test_every_window_is_filled(spark):
+    df = spark.createDataFrame([(i, "a b c " * i) for i in range(6)], "doc_id long, text string")
+    w = spark.range(1_200).selectExpr("cast(id as int) as window_id", "'gpt2' as tokenizer", "cast(id + 5 as int) as capacity_tokens")
+    assert packing.pack(df, w, "doc_id", "text").select("window_id").distinct().count() == 1_200
+
+
 def test_tokens_decode_to_the_text():
     enc = packing.encoder(f"{packing.TOKENIZER_DIR}/{packing.FILES['gpt2']}")
     t = "Grüße, 42 Katzen!\n\n  They're <|endoftext|> here."
