@@ -27,9 +27,9 @@ from ..session import materialize
 #: Entries of the broadcast table of the most frequent shingles (16 bytes each).  Any order of the
 #: lists is exact, so shingles outside the table are simply taken as rare.
 FREQUENT = 200_000
-#: Postings and pairs of postings that one token group aims at, and the length beyond which a list is split among groups.
-GROUP_POSTINGS, GROUP_PAIRS = 400_000, 40_000_000
-LONG_LIST = 2_048
+#: Postings and pairs of postings that one token group aims at, pairs counted at a time, and the length beyond which a list is split among groups.
+GROUP_POSTINGS, GROUP_PAIRS, CHUNK_PAIRS = 400_000, 200_000_000, 500_000
+LONG_LIST = 4_096
 #: DivideSkip's weight of the merge against the probes (a fixed value of the method).
 MU = 0.0085
 WORD_RUN = r"[\p{L}\p{N}]+"
@@ -66,7 +66,7 @@ def similar_pairs(sets: DataFrame, threshold: float) -> DataFrame:
     # pairs of postings that meet if every list is short, an upper bound of the merge's work
     groups = max(groups, math.ceil(float((np.minimum(df, LONG_LIST) * df / 2).sum()) * (1 - threshold) / GROUP_PAIRS))
     held = spark.sparkContext.broadcast((common["s"].to_numpy(np.int64), df))
-    routed = sets.mapInArrow(_router(held, threshold, bits, groups), "g int, key string, n int, need int, bitmap binary, lists array<long>, roles binary")
+    routed = sets.mapInArrow(_router(held, threshold, bits, groups), _ROUTED)
     part = routed.groupBy("g").applyInArrow(_merger(threshold), "key_a string, key_b string, need int, c int")
     cand = materialize(part.groupBy("key_a", "key_b", "need").agg(F.sum("c").cast("int").alias("c")).where("c >= need"), "dup-candidates")
     # only sets of a candidate travel to be probed
@@ -78,11 +78,11 @@ def similar_pairs(sets: DataFrame, threshold: float) -> DataFrame:
     return met.select("key_a", "key_b", "c", "sh_a", "sh_b").mapInArrow(_prober(held, threshold), "key_a string, key_b string, shared int, similarity double")
 
 
-def divide(df: np.ndarray, t: float) -> tuple[int, int]:
-    """DivideSkip's division of a set whose lists have the lengths ``df``: number of short lists, and how many of them a partner must be in."""
-    need = math.ceil(t * len(df) - 1e-9)
-    aside = min(int(need / (MU * math.log(max(int(df.max()), 1)) + 1)), need - 1)
-    return len(df) - aside, need - aside
+def divide(n: np.ndarray, longest: np.ndarray, t: float) -> tuple[np.ndarray, np.ndarray]:
+    """DivideSkip's division of sets of ``n`` lists: how many are short, and in how many of those a partner must be."""
+    need = np.ceil(t * n - 1e-9).astype(np.int64)
+    aside = np.minimum((need / (MU * np.log(np.maximum(longest, 1)) + 1)).astype(np.int64), need - 1)
+    return n - aside, need - aside
 
 
 def _lengths(known: np.ndarray, df: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -102,57 +102,69 @@ def _mix(x: np.ndarray, c: int = 0) -> np.ndarray:
         return z ^ (z >> np.uint64(31))
 
 
+def bitmaps(sh: np.ndarray, doc: np.ndarray, docs: int, bits: int) -> np.ndarray:
+    """Parity bitmaps of sets: bits set an odd number of times; the distance of two bitmaps is at most the sets' difference."""
+    out = []
+    at = (_mix(sh) & np.uint64(bits - 1)).astype(np.int64)
+    step = max(1, 4_000_000 // bits)
+    for a in range(0, docs, step):
+        b = min(a + step, docs)
+        lo, hi = np.searchsorted(doc, [a, b])
+        odd = np.bincount((doc[lo:hi] - a) * bits + at[lo:hi], minlength=(b - a) * bits) & 1
+        out.append(np.packbits(odd.astype(np.uint8).reshape(b - a, bits), axis=1))
+    return np.concatenate(out) if out else np.empty((0, bits // 8), np.uint8)
+
+
 def bitmap(sh: np.ndarray, bits: int) -> np.ndarray:
-    """Parity bitmap: bits set an odd number of times; the distance of two bitmaps is at most the sets' difference."""
-    odd = np.bincount((_mix(sh) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
-    return np.packbits(odd.astype(np.uint8))
+    """The parity bitmap of one set."""
+    return bitmaps(sh, np.zeros(len(sh), np.int64), 1, bits)[0]
+
+
+_ROUTED = "g int, keys binary, n binary, need binary, images binary, tok binary, doc binary, role binary"
 
 
 def _router(held, t: float, bits: int, groups: int):
+    """One message a batch and token group: its texts (key, size, need, bitmap) and its postings (list, text, role)."""
+
     def run(batches: Iterable) -> Iterator:
         import pyarrow as pa
 
         known, df = held.value
         for batch in batches:
-            keys, arrays = batch["key"].to_pylist(), batch["sh"]
-            out: dict[str, list] = {c: [] for c in ("g", "key", "n", "need", "bitmap", "lists", "roles")}
-            for key, sh in zip(keys, arrays):
-                x = np.asarray(sh.values)
-                f = _lengths(known, df, x)
-                short, need = divide(f, t)
-                o = np.lexsort((x, f))[:short]
-                tok, f = x[o], f[o]
-                role = np.zeros(len(tok), np.uint8)
-                if (f > LONG_LIST).any():
-                    own = int(key[:12], 16)
-                    parts = []
-                    for s, c in zip(tok, -(-f // LONG_LIST)):
-                        if c <= 1:
-                            parts.append((np.array([s]), np.zeros(1, np.uint8)))
-                            continue
-                        mine, j = own % int(c), np.arange(int(c))
-                        pair = np.minimum(j, mine) * int(c) + np.maximum(j, mine)
-                        parts.append((_mix(np.full(int(c), s), 3).view(np.int64) ^ _mix(pair, 5).view(np.int64), np.where(j == mine, 0, np.where(mine < j, 1, 2)).astype(np.uint8)))
-                    tok, role = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
-                g = (_mix(tok, 7) % np.uint64(groups)).astype(np.int64)
-                o = np.argsort(g, kind="stable")
-                g, tok, role = g[o], tok[o], role[o]
-                cut = np.flatnonzero(np.append(True, g[1:] != g[:-1]))
-                image = bitmap(x, bits).tobytes()
-                for a, b in zip(cut, np.append(cut[1:], len(g))):
-                    out["g"].append(int(g[a]))
-                    out["key"].append(key)
-                    out["n"].append(len(x))
-                    out["need"].append(need)
-                    out["bitmap"].append(image)
-                    out["lists"].append(tok[a:b])
-                    out["roles"].append(role[a:b].tobytes())
-            sizes = [len(v) for v in out["lists"]]
-            flat = np.concatenate(out["lists"]) if sizes else np.empty(0, np.int64)
-            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(flat, pa.int64()))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(out["g"], pa.int32()), pa.array(out["key"], pa.string()), pa.array(out["n"], pa.int32()), pa.array(out["need"], pa.int32()), pa.array(out["bitmap"], pa.binary()), lists, pa.array(out["roles"], pa.binary())],
-                names=["g", "key", "n", "need", "bitmap", "lists", "roles"])
+            keys = np.frombuffer("".join(batch["key"].to_pylist()).encode(), "S32") if len(batch) else np.empty(0, "S32")
+            col = batch["sh"]
+            x = np.asarray(col.flatten())
+            n = np.diff(np.asarray(col.offsets)).astype(np.int64)
+            doc = np.repeat(np.arange(len(n)), n)
+            images = bitmaps(x, doc, len(n), bits)
+            f = _lengths(known, df, x)
+            o = np.lexsort((x, f, doc))
+            first = np.cumsum(n) - n
+            short, need = divide(n, f[o][first + n - 1], t)  # the longest list comes last
+            o = o[np.arange(len(x)) - np.repeat(first, n) < np.repeat(short, n)]
+            tok, d, f = x[o], doc[o], f[o]
+            role = np.zeros(len(tok), np.uint8)
+            c = -(-f // LONG_LIST)
+            if (c > 1).any():  # a long list is cut into chunks of texts, and every two chunks meet in one list
+                split = np.flatnonzero(c > 1)
+                k = c[split]
+                own = np.array([int(y[:12], 16) for y in keys], np.int64)[d[split]] % k
+                row, mine = np.repeat(split, k), np.repeat(own, k)
+                j = np.arange(len(row)) - np.repeat(np.cumsum(k) - k, k)
+                pair = np.minimum(j, mine) * np.repeat(k, k) + np.maximum(j, mine)
+                some = _mix(tok[row], 3).view(np.int64) ^ _mix(pair, 5).view(np.int64)
+                rest = np.flatnonzero(c <= 1)
+                tok, d, role = np.concatenate([tok[rest], some]), np.concatenate([d[rest], d[row]]), np.concatenate([role[rest], np.where(j == mine, 0, np.where(mine < j, 1, 2)).astype(np.uint8)])
+            g = (_mix(tok, 7) % np.uint64(groups)).astype(np.int64)
+            o = np.lexsort((d, g))
+            g, tok, d, role = g[o], tok[o], d[o], role[o]
+            cut = np.flatnonzero(np.append(True, g[1:] != g[:-1])) if len(g) else np.empty(0, np.int64)
+            rows: list[tuple] = []
+            for a, b in zip(cut, np.append(cut[1:], len(g))):
+                who, local = np.unique(d[a:b], return_inverse=True)
+                rows.append((int(g[a]), keys[who].tobytes(), n[who].astype(np.int32).tobytes(), need[who].astype(np.int32).tobytes(), images[who].tobytes(), tok[a:b].tobytes(), local.astype(np.int32).tobytes(), role[a:b].tobytes()))
+            cols = list(zip(*rows)) or [()] * 8
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *[pa.array(v, pa.binary()) for v in cols[1:]]], names=["g", "keys", "n", "need", "images", "tok", "doc", "role"])
 
     return run
 
@@ -163,58 +175,67 @@ def _merger(t: float):
     def run(table):
         import pyarrow as pa
 
-        table = table.combine_chunks()
-        # texts by size: of a run, only the stretch of fitting sizes before an entry can hold a partner
-        table = table.sort_by([("n", "ascending"), ("key", "ascending")]).combine_chunks()
-        keys = table["key"].to_pylist()
-        n = table["n"].to_numpy().astype(np.int64)
-        need = table["need"].to_numpy()
-        image = np.frombuffer(b"".join(table["bitmap"].to_pylist()), np.uint64).reshape(len(keys), -1)
-        col = table["lists"].chunk(0)
-        tok = np.asarray(col.flatten())
-        doc = np.repeat(np.arange(len(keys)), np.diff(np.asarray(col.offsets)))
-        role = np.frombuffer(b"".join(table["roles"].to_pylist()), np.uint8)
-        o = np.argsort(tok, kind="stable")  # every list is a run of ascending texts
+        def column(name: str, kind) -> np.ndarray:
+            return np.frombuffer(b"".join(table[name].to_pylist()), kind)
+
+        keys, n, need, tok, role = column("keys", "S32"), column("n", np.int32).astype(np.int64), column("need", np.int32), column("tok", np.int64), column("role", np.uint8)
+        many_docs = [len(x) // 4 for x in table["n"].to_pylist()]
+        doc = np.concatenate([np.frombuffer(x, np.int32).astype(np.int64) + a for x, a in zip(table["doc"].to_pylist(), np.cumsum([0, *many_docs]))])
+        image = column("images", np.uint64).reshape(len(keys), -1)
+        # texts by size: of a list, only the stretch of fitting sizes before an entry can hold a partner
+        o = np.lexsort((keys, n))
+        place = np.empty(len(o), np.int64)
+        place[o] = np.arange(len(o))
+        keys, n, need, image, doc = keys[o], n[o], need[o], image[o], place[doc]
+        layers = np.ascontiguousarray(image.T)  # one word of every bitmap after the other
+        half = max(len(layers) // 2, 1)
+
+        def apart(x: np.ndarray, y: np.ndarray, words: np.ndarray) -> np.ndarray:
+            far = np.zeros(len(x), np.int32)
+            for w in words:
+                far += np.bitwise_count(w[x] ^ w[y])
+            return far
+
+        o = np.lexsort((doc, tok))  # every list is a run of ascending texts
         tok, doc, role = tok[o], doc[o], role[o]
         cut = np.flatnonzero(np.append(True, tok[1:] != tok[:-1]))
         begin = np.repeat(cut, np.diff(np.append(cut, len(tok))))
         # first entry of the list that is large enough for each entry, by one binary search over (list, size)
         size = n[doc]
         least = np.ceil(t * size - 1e-9).astype(np.int64)
-        wide = int(size.max()) + 1 if len(size) else 1
+        wide = int(size.max()) + 1
         rank = np.searchsorted(begin * wide + size, begin * wide + least)
         many = np.arange(len(tok)) - rank
         share = (1 - t) / (1 + t)
-        total: list[tuple[np.ndarray, np.ndarray]] = []
-        # one text after the other: its lists are merged and what occurs in them is counted
+        found: list[np.ndarray] = []
+        # one text after the other: its lists are merged, entries whose bitmaps are too far apart fall out, the rest is counted
         by = np.argsort(doc, kind="stable")
+        by = by[many[by] > 0]
         work = np.cumsum(many[by])
         a = 0
         while a < len(by):
-            b = max(int(np.searchsorted(work, (work[a - 1] if a else 0) + 2_000_000, "right")), a + 1)
-            while b < len(by) and doc[by[b]] == doc[by[b - 1]]:
-                b += 1
+            b = max(int(np.searchsorted(work, (work[a - 1] if a else 0) + CHUNK_PAIRS, "right")), a + 1)
             p = by[a:b]
             k = many[p]
             x = np.repeat(p, k)
             y = np.arange(len(x)) - np.repeat(np.cumsum(k) - k, k) + np.repeat(rank[p], k)
-            r, q = role[x], role[y]
-            ok = (r == q) & (r == 0) | (r + q == 3)
-            pair, c = np.unique(doc[x[ok]] * len(keys) + doc[y[ok]], return_counts=True)
-            x, y = pair // max(len(keys), 1), pair % max(len(keys), 1)
-            far = np.bitwise_count(image[x] ^ image[y]).sum(axis=1, dtype=np.int64)
-            ok = (far <= (n[x] + n[y]) * share + 1e-9) & (x != y)
-            if ok.any():
-                total.append((pair[ok], c[ok]))
+            r = role[x]
+            if r.any() or role[y].any():
+                q = role[y]
+                ok = (r == q) & (r == 0) | (r + q == 3)
+                x, y = x[ok], y[ok]
+            x, y = doc[x], doc[y]
+            most = (n[x] + n[y]) * share + 1e-9
+            far = apart(x, y, layers[:half])
+            ok = (far <= most) & (x != y)
+            x, y, far, most = x[ok], y[ok], far[ok], most[ok]
+            ok = far + apart(x, y, layers[half:]) <= most
+            found.append(x[ok] * len(keys) + y[ok])
             a = b
-        pair = np.concatenate([p for p, _ in total]) if total else np.empty(0, np.int64)
-        c = np.concatenate([c for _, c in total]) if total else np.empty(0, np.int64)
+        pair, c = np.unique(np.concatenate(found), return_counts=True) if found else (np.empty(0, np.int64), np.empty(0, np.int64))
         x, y = pair // max(len(keys), 1), pair % max(len(keys), 1)
-        names = np.array(keys, dtype=object)
-        first, second = names[x], names[y]
-        swap = first > second if len(pair) else np.empty(0, bool)
-        first, second = np.where(swap, second, first), np.where(swap, first, second)
-        return pa.table({"key_a": pa.array(first.tolist(), pa.string()), "key_b": pa.array(second.tolist(), pa.string()), "need": pa.array(np.minimum(need[x], need[y]), pa.int32()), "c": pa.array(c, pa.int32())})
+        first, second = np.where(keys[x] > keys[y], keys[y], keys[x]), np.where(keys[x] > keys[y], keys[x], keys[y])
+        return pa.table({"key_a": pa.array(first.astype(str).tolist(), pa.string()), "key_b": pa.array(second.astype(str).tolist(), pa.string()), "need": pa.array(np.minimum(need[x], need[y]), pa.int32()), "c": pa.array(c, pa.int32())})
 
     return run
 
@@ -230,7 +251,7 @@ def _prober(held, t: float):
         def sides(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             f = _lengths(known, df, x)
             o = np.lexsort((x, f))
-            short = divide(f, t)[0]
+            short = int(divide(np.array([len(x)]), f[o[-1:]], t)[0][0])
             return o[:short], o[short:]
 
         def within(x: np.ndarray, y: np.ndarray) -> int:
