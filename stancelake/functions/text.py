@@ -56,6 +56,12 @@ def q_id(x: Column | str) -> Column:
     return F.concat(F.lit("Q"), c(x).cast("string"))
 
 
+def order_key(*numbers: Column | str) -> Column:
+    """A text that orders and tells apart rows as their whole numbers do: fixed-width digits of each, shifted to be positive; null if one is null."""
+    shift = F.lit("9223372036854775808").cast("decimal(20,0)")
+    return F.concat(*[F.lpad((c(n).cast("decimal(20,0)") + shift).cast("decimal(20,0)").cast("string"), 20, "0") for n in numbers])
+
+
 def percent(part: Column, whole: Column, digits: int = 2) -> Column:
     """``100 * part / whole`` rounded, 0 where the whole is 0."""
     return F.when(whole == 0, F.lit(0.0)).otherwise(F.round(100.0 * part.cast("double") / whole.cast("double"), digits))

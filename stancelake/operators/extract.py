@@ -17,7 +17,7 @@ Extractor = Callable[[str], str]
 def stub_extractor(prompt: str) -> str:
     """A deterministic offline extractor: every sentence "X said/wants/called ... Y" becomes a position of X."""
     rows = []
-    for m in re.finditer(r"([A-Z][^.!?\n]{2,60}?) (rejected|criticised|praised|defended|demanded|questioned|endorsed) ([^.!?\n]{3,200})", prompt):
+    for m in re.finditer(r"([A-Z][^.!?\n]{2,}?) (rejected|criticised|praised|defended|demanded|questioned|endorsed) ([^.!?\n]{3,})", prompt):
         good = m[2] in ("praised", "defended", "endorsed")
         rows.append({
             "stakeholder": m[1].strip(), "position": f"{m[2]} {m[3]}".strip(), "stance": "Pro" if good else "Con", "sentiment": "Positive" if good else "Negative", "emotion": None,

@@ -8,7 +8,7 @@ from dataclasses import dataclass, field
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
-from ..functions.text import augmented_entity, kb_description_text
+from ..functions.text import augmented_entity, kb_description_text, order_key
 from ..session import materialize
 from .clustering import METHODS, cluster, conflicting, propagate
 from .vectors import embed, hashed_embedding, joint_models, knn, similarity_pairs
@@ -73,7 +73,7 @@ def link_entities(occurrences: DataFrame, anchors: DataFrame, kb: DataFrame, cfg
     texts = F.concat(F.coalesce("labels", empty), F.array(kb_description_text("main_label", "description")), F.coalesce("aliases", empty))
     found = link1.groupBy("item_id").agg(F.min("page_id").alias("page_id"))
     corpus = found.join(kb, "item_id").select("item_id", "page_id", F.posexplode(texts).alias("pos", "text")).where("text is not null and text <> ''")
-    corpus = materialize(corpus.withColumn("row_id", F.xxhash64("item_id", "pos")), "link-kb")
+    corpus = materialize(corpus.withColumn("row_id", order_key("item_id", "pos")), "link-kb")
     missing = uniq.join(link1, "u", "left_anti").select("u", F.col("name").alias("text"))
     link2 = elect_links(missing, corpus, cfg).join(corpus.select("row_id", "item_id", "page_id"), "row_id").select("u", "item_id", "page_id")
     link = link1.unionByName(link2)
@@ -105,9 +105,8 @@ def hit_rate(names: DataFrame, count: str = "cnt") -> DataFrame:
 def cluster_texts(texts: DataFrame, col: str, threshold: float, encoder: Encoder, method: str = "fast") -> DataFrame:
     """``(item, canonical)`` texts: distinct texts clustered by one model, degrees weighted by occurrence."""
     uniq = texts.where(F.col(col).isNotNull()).groupBy(F.col(col).alias("text")).agg(F.count("*").alias("w"))
-    uniq = materialize(uniq.withColumn("i", F.xxhash64("text")), "texts")
+    uniq = materialize(uniq.withColumn("i", F.col("text")), "texts")
     v = materialize(embed(uniq.select("i", "text"), "text", {"m": encoder}).select("i", "embedding"), "text-vectors")
     pairs = materialize(similarity_pairs(v, "i", "embedding", 1.0 - threshold), "text-pairs")
     m = cluster(uniq.select("i", "w"), pairs, threshold, method, weight="w")
-    name = uniq.select("i", "text")
-    return m.join(name.select(F.col("i").alias("item"), F.col("text").alias("item_text")), "item").join(name.select(F.col("i").alias("canonical"), F.col("text").alias("canonical_text")), "canonical").select(F.col("item_text").alias("item"), F.col("canonical_text").alias("canonical"))
+    return m.select("item", "canonical")

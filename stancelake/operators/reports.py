@@ -32,9 +32,10 @@ def colour_range(heatmap: DataFrame) -> DataFrame:
 def topic_summary_input(positions: DataFrame, topics: DataFrame, key: str, time: str) -> DataFrame:
     """``(topic, first_time, last_time, n, records)``: the members of each topic as JSON records, with their time range.
 
-    ``records`` is an array bounded by the topic's own size; outliers have no summary.
+    ``records`` holds the whole topic, as a summariser is handed it; the columns beside it are aggregates
+    and cost nothing more if ``records`` is not asked for.  Outliers (-1) have no summary.
     """
-    m = positions.join(topics.where("topic >= 0"), key)
+    m = positions.join(topics.where("topic is not null and topic <> '-1'"), key)
     rec = F.to_json(F.struct(F.col("stakeholder"), F.col("position"), F.col("stance"), F.col("country_code").alias("country"), F.col("support_type"), F.col(time).cast("string").alias("time")))
     rows = F.transform(F.sort_array(F.collect_list(F.struct(key, rec.alias("r")))), lambda x: x["r"])
     return m.groupBy("topic").agg(F.min(time).alias("first_time"), F.max(time).alias("last_time"), F.count("*").alias("n"), rows.alias("records"))

@@ -11,11 +11,14 @@ its ordinal.
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from ..session import materialize
+
 
 @dataclass(frozen=True)
 class Level:
@@ -54,6 +57,7 @@ def _object(pairs: list[tuple[str, object]]) -> dict:
     return out
 
 
+_BLANKS = re.compile(r"[ \t\r\n]*")
 _DECODER = json.JSONDecoder(parse_constant=_refuse, object_pairs_hook=_object)
 
 
@@ -71,8 +75,8 @@ def outermost_json(text: str | None) -> object:
         if not starts:
             raise ValueError("no JSON value")
         at = min(starts)
-        rest = text[at + 1 : at + 200].lstrip(" \t\r\n")
-        opens = text[at] == "{" and (not rest or rest[0] in '"}') or text[at] == "[" and (not rest or rest[0] in '{["]')
+        first = text[_BLANKS.match(text, at + 1).end() :][:1]
+        opens = text[at] == "{" and (not first or first in '"}') or text[at] == "[" and (not first or first in '{["]')
         try:
             return _DECODER.raw_decode(text, at)[0]
         except (ValueError, RecursionError):
@@ -264,9 +268,10 @@ def flatten_records(df: DataFrame, key: str, payload: str, spec: NestedSpec = RE
     Every table carries ``root_key``; a table of level i carries the ordinals ``<level>_no`` of
     levels 1..i (from 0), its own surrogate key ``<level>_key`` and ``parent_key``.  Structs are
     flattened to ``a_b`` columns.  The root table has one row per payload with ``is_record``
-    false where there is no complete record.  Records without members have no child rows.
+    false where there is no complete record.  Records without members have no child rows.  The payloads
+    are parsed once: their canonical form is written to the shared folder and read for schema and tables.
     """
-    recs = canonical_records(df, key, payload, spec) if records is None else records
+    recs = materialize(canonical_records(df, key, payload, spec), "records") if records is None else records
     schema = merged_schema(recs, spec=spec) if schema is None else schema
     base = recs.select(F.col("key").alias("root_key"), F.col("canon").isNotNull().alias("is_record"), F.from_json("canon", schema).alias("r"))
     out = {"root": base.select("root_key", "is_record", *_flat("r", schema, skip={spec.levels[0].name}))}
@@ -310,15 +315,16 @@ def _flat(prefix: str, st: T.StructType, skip: set[str]) -> list[Column]:
 
 
 def member_ordinals(df: DataFrame, key: str, payload: str, spec: NestedSpec = REPORT_SPEC) -> DataFrame:
-    """``(key, <level>_no ...)``: one row per innermost member, -1 where a level has none, -2 where there is no record."""
-    recs = canonical_records(df, key, payload, spec)
-    st: T.DataType = T.StructType()
-    for lv in reversed(spec.levels):
-        st = T.StructType([T.StructField(lv.name, T.ArrayType(st if st.fields else T.StructType([T.StructField(lv.bare, T.StringType())])))])
-    cur = recs.select("key", F.col("canon").isNotNull().alias("ok"), F.from_json("canon", st).alias("m"))
+    """``(root_key, <level>_no ...)`` from the flat tables: one row per innermost member, -1 where a level has none, -2 where there is no record.
+
+    Payloads under one key count as one; each of their rows is given once.
+    """
+    tables = flatten_records(df, key, payload, spec)
+    cur = tables["root"].select("root_key", F.col("is_record").alias("ok"), F.col("root_key").cast("string").alias("own")).distinct()
     ords: list[str] = []
     for lv in spec.levels:
         n = f"{lv.name}_no"
-        cur = cur.select("key", "ok", *ords, F.posexplode_outer(F.col("m")[lv.name]).alias(n, "m"))
+        child = tables[lv.name].select(F.col("parent_key").alias("own"), F.col(f"{lv.name}_key").alias("below"), n).distinct()
+        cur = cur.join(child, "own", "left").select("root_key", "ok", *ords, n, F.col("below").alias("own"))
         ords.append(n)
-    return cur.select("key", *[F.when(~F.col("ok"), -2).otherwise(F.coalesce(F.col(n), F.lit(-1))).cast("int").alias(n) for n in ords])
+    return cur.select("root_key", *[F.when(~F.col("ok"), -2).otherwise(F.coalesce(F.col(n), F.lit(-1))).cast("int").alias(n) for n in ords])

@@ -8,9 +8,9 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..session import materialize
-from .vectors import knn, normalize
+from .vectors import euclidean_score, knn, mean_pool, normalize
 
-#: Topics that hierarchies and keyword re-rankers may hold on the driver.
+#: Topics of a hierarchy: its tree is built on the driver from one number for every two topics, so more are refused.
 MAX_TOPICS = 5_000
 TOKEN_SPLIT = r"[^\p{L}\p{N}]+"
 
@@ -106,17 +106,11 @@ def density_clusters(points: DataFrame, id_col: str, vec: str, min_cluster_size:
 
 
 def _euclid_knn(points: DataFrame, id_col: str, vec: str, k: int) -> DataFrame:
-    """``(i, j, d, rank)`` by Euclidean distance: cosine neighbours after lifting each point to a common length."""
-    far = points.agg(F.max(F.aggregate(vec, F.lit(0.0), lambda a, x: a + x * x)).alias("m")).first()["m"] or 1.0
-    sq = F.aggregate(F.col(vec), F.lit(0.0), lambda a, x: a + x * x)
-    lifted = points.select(F.col(id_col).alias("i"), F.concat(vec, F.array(F.sqrt(F.greatest(F.lit(float(far)) - sq, F.lit(0.0))))).alias("v"))
-    # a lift that changes distances only by the lifted coordinate keeps near points near; exact distances follow
-    near = knn(lifted, lifted.withColumnRenamed("i", "j"), 4 * k, "i", "j", "v").where("i <> j")
-    p = points.select(F.col(id_col).alias("i"), F.col(vec).alias("a"))
-    q = points.select(F.col(id_col).alias("j"), F.col(vec).alias("b"))
-    d = F.sqrt(F.aggregate(F.zip_with("a", "b", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))
-    w = Window.partitionBy("i").orderBy("d", "j")
-    return near.select("i", "j").join(p, "i").join(q, "j").select("i", "j", d.alias("d")).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    """``(i, j, d, rank)``: the k nearest other points by Euclidean distance, exactly; the origin is a point like any other."""
+    # one more coordinate keeps the origin from being a vector without direction and changes no distance
+    p = points.select(F.col(id_col).alias("i"), F.concat(vec, F.array(F.lit(1.0))).alias("v"))
+    near = knn(p, p.withColumnRenamed("i", "j"), k, "i", "j", "v", exclude_self=True, score=euclidean_score)
+    return near.select("i", "j", (-F.col("score")).alias("d"), "rank")
 
 
 def condensed(ids: np.ndarray, edges: np.ndarray, min_size: int) -> np.ndarray:
@@ -220,9 +214,7 @@ def condensed(ids: np.ndarray, edges: np.ndarray, min_size: int) -> np.ndarray:
 
 def centroids(docs: DataFrame, topic: str, vec: str) -> DataFrame:
     """``(topic, centroid)``: mean vector of each topic; the outlier topic -1 has none."""
-    each = docs.where((F.col(topic) >= 0) & F.col(vec).isNotNull()).select(F.col(topic).alias("topic"), F.posexplode(vec).alias("p", "x"))
-    mean = each.groupBy("topic", "p").agg(F.avg("x").alias("x"))
-    return mean.groupBy("topic").agg(F.transform(F.sort_array(F.collect_list(F.struct("p", "x"))), lambda s: s["x"]).alias("centroid"))
+    return mean_pool(docs.where(F.col(topic) >= 0).select(F.col(topic).alias("topic"), vec), ["topic"], vec, "centroid")
 
 
 def reduce_outliers(docs: DataFrame, id_col: str, topic: str, vec: str) -> DataFrame:
@@ -275,10 +267,11 @@ def rerank_terms(weights: DataFrame, encoder: Callable[[list[str]], np.ndarray],
 
 
 def topic_hierarchy(weights: DataFrame, members: DataFrame, topic: str, id_col: str) -> DataFrame:
-    """``(Parent_ID, Topics, left, right, distance, sentences_in_topic, sentence_count)``: average linkage of the topics.
+    """``(Parent_ID, Topics, left, right, distance, sentence_count)``: average linkage of the topics.
 
     Distance is 1 - clip(cosine) of their c-TF-IDF vectors.  The tree is as large as the number of
-    topics, which is bounded by MAX_TOPICS; members are joined to it by key, never collected.
+    topics, which is bounded by MAX_TOPICS; members are counted per topic before they meet it
+    (``hierarchy_members`` lists them, one row each).
     """
     spark = weights.sparkSession
     ids = [r["topic"] for r in weights.select("topic").distinct().orderBy("topic").limit(MAX_TOPICS + 1).collect()]
@@ -294,11 +287,16 @@ def topic_hierarchy(weights: DataFrame, members: DataFrame, topic: str, id_col:
         dist[at[r["topic"]], at[r["other"]]] = dist[at[r["other"]], at[r["topic"]]] = 1 - min(1.0, max(-1.0, r["s"]))
     rows = average_linkage(ids, dist)
     tree = spark.createDataFrame(rows, "Parent_ID int, left int, right int, distance double, Topics array<int>") if rows else spark.createDataFrame([], "Parent_ID int, left int, right int, distance double, Topics array<int>")
-    leaf = tree.select("Parent_ID", F.explode("Topics").alias("topic")).join(members.select(F.col(topic).alias("topic"), id_col), "topic")
-    sent = leaf.groupBy("Parent_ID").agg(F.sort_array(F.collect_list(id_col)).alias("sentences_in_topic"), F.count("*").alias("sentence_count"))
+    size = members.where(F.col(topic).isNotNull()).groupBy(F.col(topic).alias("topic")).agg(F.count("*").alias("n"))
+    sent = tree.select("Parent_ID", F.explode("Topics").alias("topic")).join(size, "topic").groupBy("Parent_ID").agg(F.sum("n").alias("sentence_count"))
     return tree.join(sent, "Parent_ID", "left")
 
 
+def hierarchy_members(tree: DataFrame, members: DataFrame, topic: str, id_col: str) -> DataFrame:
+    """``(Parent_ID, id)``: the sentences below every node of the tree, one row each."""
+    return tree.select("Parent_ID", F.explode("Topics").alias("topic")).join(members.select(F.col(topic).alias("topic"), id_col), "topic").select("Parent_ID", id_col)
+
+
 def average_linkage(ids: list[int], dist: np.ndarray) -> list[tuple]:
     """Merges of average linkage as (parent, left, right, distance, leaves); parents are numbered after the topics."""
     d = dist.astype(float).copy()
@@ -326,7 +324,8 @@ def average_linkage(ids: list[int], dist: np.ndarray) -> list[tuple]:
 
 def topic_grid(spark: SparkSession, points: DataFrame, id_col: str, vec: str, settings: list[dict], done: DataFrame | None = None) -> DataFrame:
     """One row of outlier statistics and topic counts per setting; a failing setting gives a row of -1, finished ones are skipped."""
-    keys = ["n_components", "min_cluster_size", "min_samples"]
+    keys = ["n_neighbors", "n_components", "min_cluster_size", "min_samples"]
+    settings = [{"n_neighbors": 15, **s} for s in settings]
     seen = {tuple(r[k] for k in keys) for r in done.select(*keys).distinct().collect()} if done is not None else set()  # a few settings
     rows = []
     for s in settings:
@@ -334,10 +333,10 @@ def topic_grid(spark: SparkSession, points: DataFrame, id_col: str, vec: str, se
             continue
         try:
             low = materialize(reduce_dims(points, id_col, vec, s["n_components"]), "grid")
-            t = density_clusters(low, id_col, vec, s["min_cluster_size"], s["min_samples"])
+            t = density_clusters(low, id_col, vec, s["min_cluster_size"], s["min_samples"], s["n_neighbors"])
             st = outlier_stats(t, "topic").first()
             rows.append((*[s[k] for k in keys], st["outlier_count"], float(st["outlier_percentage"]), t.where("topic >= 0").select("topic").distinct().count()))
         except Exception:
             rows.append((*[s[k] for k in keys], -1, -1.0, -1))
-    new = spark.createDataFrame(rows, "n_components int, min_cluster_size int, min_samples int, outlier_count long, outlier_percentage double, original_topic_count long")
+    new = spark.createDataFrame(rows, "n_neighbors int, n_components int, min_cluster_size int, min_samples int, outlier_count long, outlier_percentage double, original_topic_count long")
     return new if done is None else done.unionByName(new)

@@ -42,6 +42,33 @@ def mean_vector(*vecs: Column) -> Column:
     return F.transform(total, lambda x: x / F.lit(float(len(vecs))))
 
 
+def mean_pool(df: DataFrame, keys: list[str], vec: str, out: str = "embedding", mask: str | None = None) -> DataFrame:
+    """``(keys, out)``: the mean of each key's vectors (of tokens, say), element by element; rows with a false or null ``mask`` do not count.
+
+    Sums per partition in whole vectors, so one row a key and partition is shuffled.  Keys without any
+    vector have no row; vectors of a key must be of one length.
+    """
+    rows = df.where(F.col(vec).isNotNull() & (F.col(mask) if mask else F.lit(True))).select(*keys, F.col(vec).cast("array<double>").alias("_v"))
+    kinds = ", ".join(f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in keys)
+
+    def part(batches: Iterable) -> Iterator:
+        import pandas as pd
+
+        for pdf in batches:
+            if len(pdf):
+                g = pdf.groupby(keys, dropna=False, sort=False)
+                idx = g.ngroup().to_numpy()
+                x = np.stack(pdf["_v"].map(np.asarray))
+                total = np.zeros((idx.max() + 1, x.shape[1]))
+                np.add.at(total, idx, x)
+                first = pdf[keys].iloc[np.unique(idx, return_index=True)[1]].reset_index(drop=True)
+                yield first.assign(_n=np.bincount(idx), _v=list(total))
+
+    sums = rows.mapInPandas(part, f"{kinds}, _n long, _v array<double>")
+    long = sums.select(*keys, "_n", F.posexplode("_v").alias("_p", "_x")).groupBy(*keys, "_p").agg((F.sum("_x") / F.sum("_n")).alias("_x"))
+    return long.groupBy(*keys).agg(F.transform(F.sort_array(F.collect_list(F.struct("_p", "_x"))), lambda s: s["_x"]).alias(out))  # one number a dimension
+
+
 def joint_models(vecs: list[Column | str]) -> Column:
     """One vector whose dot product is the mean cosine over the models: unit vectors side by side, scaled by 1/sqrt(M)."""
     scale = 1 / math.sqrt(len(vecs))
@@ -86,8 +113,22 @@ def embed(df: DataFrame, text: str, models: dict[str, Callable[[list[str]], np.n
     return df.mapInPandas(run, f"{ddl}, model string, {out} array<float>")
 
 
+def _raw(rows) -> np.ndarray:
+    return np.array([np.asarray(r, np.float64) for r in rows])
+
+
+def dot_score(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Dot product of raw vectors."""
+    return a @ b.T
+
+
+def euclidean_score(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Negative Euclidean distance."""
+    return -np.sqrt(np.maximum((a * a).sum(1)[:, None] + (b * b).sum(1)[None] - 2 * a @ b.T, 0))
+
+
 def _unit(rows) -> np.ndarray:
-    x = np.array([np.asarray(r, np.float64) for r in rows])
+    x = _raw(rows)
     return x / np.linalg.norm(x, axis=1)[:, None]
 
 
@@ -96,13 +137,14 @@ def _usable(df: DataFrame, vec: str) -> DataFrame:
 
 
 def knn(queries: DataFrame, corpus: DataFrame, k: int, query_id: str, corpus_id: str, vec: str, by: list[str] | None = None,
-        min_score: float | None = None, block_rows: int = BLOCK_ROWS, exclude_self: bool = False) -> DataFrame:
+        min_score: float | None = None, block_rows: int = BLOCK_ROWS, exclude_self: bool = False, score: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None) -> DataFrame:
     """``(by, query_id, corpus_id, score, rank)``: the k most similar corpus rows of every query, in doubles.
 
     ``by`` (e.g. the model) must agree between the sides.  The corpus is cut into hashed blocks of about
     ``block_rows`` and each query visits every block once, so no side is broadcast; a block keeps k
     rows a query and the best of all blocks are merged.  Ties go to the smaller corpus id.  Vectors
-    without direction take no part; vectors of different length are never compared.
+    without direction take no part; vectors of different length are never compared.  ``score`` takes two
+    matrices of raw vectors and gives their similarities, larger for nearer; the cosine is the default.
     """
     by = by or []
     q = _usable(queries, vec).select(*by, F.col(query_id).alias("_q"), F.col(vec).alias("_v"), F.size(vec).alias("_d"))
@@ -124,17 +166,17 @@ def knn(queries: DataFrame, corpus: DataFrame, k: int, query_id: str, corpus_id:
         if not len(left) or not len(right):
             return pd.DataFrame({x: [] for x in cols})
         right = right.sort_values("_c", kind="stable")
-        x = _unit(right["_v"])
+        x = _unit(right["_v"]) if score is None else _raw(right["_v"])
         ids = right["_c"].to_numpy()
         parts = []
         for a in range(0, len(left), 1_024):
             part = left.iloc[a : a + 1_024]
-            s = _unit(part["_v"]) @ x.T
+            s = _unit(part["_v"]) @ x.T if score is None else np.array(score(_raw(part["_v"]), x), np.float64)
             if exclude_self:
                 s[part["_q"].to_numpy()[:, None] == ids[None]] = -np.inf
             n = min(k, s.shape[1])
             kth = -np.partition(-s, n - 1, axis=1)[:, n - 1]
-            i, j = np.nonzero((s >= kth[:, None]) & np.isfinite(s) & (s >= (-2 if min_score is None else min_score)))
+            i, j = np.nonzero((s >= kth[:, None]) & np.isfinite(s) & (s >= (-np.inf if min_score is None else min_score)))
             f = pd.DataFrame({query_id: part["_q"].to_numpy()[i], corpus_id: ids[j], "score": s[i, j]})
             f = f.sort_values([query_id, "score", corpus_id], ascending=[True, False, True], kind="stable").groupby(query_id, sort=False).head(n)
             parts.append(f)

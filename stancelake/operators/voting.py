@@ -7,6 +7,18 @@ from pyspark.sql import DataFrame, Window, functions as F
 MODES = ("all", "majority", "any")
 
 
+def single_model(matches: DataFrame, query: str, candidate: str, model_rank: int, threshold: float) -> DataFrame:
+    """The best candidate ``(query, candidate, score)`` of one model alone, at least ``1 - threshold``."""
+    own = matches.where((F.col("model_rank") == model_rank) & (F.col("rank") == 1))
+    return own.where(F.col("score") >= F.lit(1.0) - F.lit(float(threshold))).select(query, candidate, "score")
+
+
+def agreeing(matches: DataFrame, query: str, candidate: str, models: int, threshold: float) -> DataFrame:
+    """The candidate that every model ranks first, each with at least ``1 - threshold``: ``(query, candidate, score)``, the highest score."""
+    first = matches.where("rank = 1").groupBy(query, candidate).agg(F.count("*").alias("n"), F.min("score").alias("mn"), F.max("score").alias("score"))
+    return first.where((F.col("n") == models) & (F.col("mn") >= F.lit(1.0) - F.lit(float(threshold)))).select(query, candidate, "score")
+
+
 def votes(matches: DataFrame, query: str, candidate: str, top_k: int, model_rank: str = "model_rank") -> DataFrame:
     """``(query, candidate, n, mn, mx, first)`` of matches ``(query, candidate, model_rank, rank, score)``.
 

@@ -6,7 +6,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..functions.text import normalize_text
+from ..functions.text import normalize_text, order_key
 from ..operators.clustering import replace_by_canonical
 from ..operators.dedup import best_per_key, keep_first
 from ..operators.linking import LinkConfig, cluster_texts, link_entities
@@ -42,7 +42,7 @@ def post_process(reports: DataFrame, anchors: DataFrame, kb: DataFrame, cfg: Pos
     cfg = cfg or PostProcessConfig()
     keep = [c for c in reports.columns if c != "positions"]
     pos = with_members(explode_positions(reports.select(*[F.col(f"`{c}`") for c in keep], "positions"), [f"`{c}`" for c in keep]), "targets")
-    pos = pos.withColumn("ord", F.col("report_key") * 100_000 + F.col("pos_no")).withColumn("stakeholder", normalize_text("stakeholder"))
+    pos = pos.withColumn("ord", order_key("report_key", "pos_no")).withColumn("stakeholder", normalize_text("stakeholder"))
     pos = materialize(pos, "pp-positions")
     table = materialize(anchor_table(anchors), "pp-anchors")
     link = lambda occ, t: link_entities(occ, table, kb, LinkConfig(threshold=t, voting=cfg.voting, method=cfg.method))
@@ -50,7 +50,7 @@ def post_process(reports: DataFrame, anchors: DataFrame, kb: DataFrame, cfg: Pos
     pos = pos.join(who["occurrences"].select("ord", "final", F.struct("item_id", "page_id").alias("linked")), "ord", "left").withColumn("stakeholder", F.coalesce("final", "stakeholder")).drop("final")
     pmap = materialize(cluster_texts(pos, "position", cfg.positions, cfg.encoder, cfg.method), "pp-position-map")
     pos = materialize(replace_by_canonical(pos, "position", pmap), "pp-replaced")
-    t = explode_targets(pos, ["ord"]).withColumn("t_ord", F.col("ord") * 1_000 + F.col("target_no"))
+    t = explode_targets(pos, ["ord"]).withColumn("t_ord", F.concat("ord", order_key("target_no")))
     t = materialize(t, "pp-targets")
     whom = link(t.select(F.col("t_ord").alias("ord"), F.col("target").alias("name")), cfg.targets)
     t = t.join(whom["occurrences"].select(F.col("ord").alias("t_ord"), "final"), "t_ord", "left").withColumn("target", F.coalesce("final", "target")).drop("final")

@@ -61,17 +61,21 @@ def multi_model_avg(spark: SparkSession, d: str) -> DataFrame:
 _MODELS = {"m0": (1, 21), "m1": (22, 21), "m2": (43, 22)}
 _VOTE_T, _VOTE_K = 0.6, 10
 _VOTES = f"""{_E}, w AS (SELECT vec_id, v, unnest([0, 1, 2]) AS m FROM e), x AS (SELECT vec_id, m, v[[1, 22, 43][m + 1]:[21, 42, 64][m + 1]] AS u FROM w),
-n AS (SELECT a.vec_id AS q, b.vec_id AS c, a.m, list_cosine_similarity(a.u, b.u) AS s FROM x a JOIN x b ON a.m = b.m AND a.vec_id <> b.vec_id WHERE a.vec_id % 5 = 0),
+n AS (SELECT a.vec_id AS q, b.vec_id AS c, a.m, list_cosine_similarity(a.u, b.u) AS s FROM x a JOIN x b ON a.m = b.m AND a.vec_id <> b.vec_id),
 k AS (SELECT *, row_number() OVER (PARTITION BY q, m ORDER BY s DESC, c) AS r FROM n QUALIFY r <= {_VOTE_K}),
 g AS (SELECT q, c, count(*) AS n, min(s) AS mn, max(s) AS mx, min(m * {_VOTE_K} + r) AS f FROM k GROUP BY 1, 2)"""
 _RULE = {"all": f"n = 3 AND mn >= 1 - {_VOTE_T}", "majority": f"n > 1 AND mn >= 1 - {_VOTE_T}", "any": f"mx >= 1 - {_VOTE_T}"}
 
 
-def _vote(spark: SparkSession, d: str, mode: str) -> DataFrame:
+def _matches(spark: SparkSession, d: str) -> DataFrame:
+    """The ten most similar other rows of every row, by each of three models."""
     e = _embeddings(spark, d)
     long = e.select("vec_id", F.explode(F.array(*[F.struct(F.lit(i).alias("model_rank"), F.slice("embedding", a, n).alias("v")) for i, (a, n) in enumerate(_MODELS.values())])).alias("x")).select("vec_id", "x.*")
-    q = long.where("vec_id % 5 = 0").withColumnRenamed("vec_id", "query_id")
-    near = vectors.knn(q, long, _VOTE_K, "query_id", "vec_id", "v", by=["model_rank"], exclude_self=True)
+    return vectors.knn(long.withColumnRenamed("vec_id", "query_id"), long, _VOTE_K, "query_id", "vec_id", "v", by=["model_rank"], exclude_self=True)
+
+
+def _vote(spark: SparkSession, d: str, mode: str) -> DataFrame:
+    near = _matches(spark, d)
     won = voting.elect(voting.votes(near, "query_id", "vec_id", _VOTE_K), "query_id", "vec_id", 3, _VOTE_T, mode)
     return won.select("query_id", "vec_id", F.col("n").alias("votes"), F.round("mx", 6).alias("score"))
 
@@ -87,6 +91,44 @@ def _vote_query(mode: str):
 for _mode in voting.MODES:
     _vote_query(_mode)
 
+
+@query(f"WITH {_VOTES} SELECT q AS query_id, c AS vec_id, round(s, 6) AS score FROM k WHERE m = 1 AND r = 1 AND s >= 1 - {_VOTE_T}")
+def vote_single(spark: SparkSession, d: str) -> DataFrame:
+    """The second model's first choice alone."""
+    return voting.single_model(_matches(spark, d), "query_id", "vec_id", 1, _VOTE_T).withColumn("score", F.round("score", 6))
+
+
+@query(f"WITH {_VOTES} SELECT q AS query_id, c AS vec_id, round(max(s), 6) AS score FROM k WHERE m < 2 AND r = 1 GROUP BY q, c HAVING count(*) = 2 AND min(s) >= 1 - {_VOTE_T}")
+def vote_both(spark: SparkSession, d: str) -> DataFrame:
+    """What the first two models both rank first."""
+    return voting.agreeing(_matches(spark, d).where("model_rank < 2"), "query_id", "vec_id", 2, _VOTE_T).withColumn("score", F.round("score", 6))
+
+
+_DOT = f"{_E}, n AS (SELECT a.vec_id AS q, b.vec_id AS c, list_dot_product([x * (1 + a.vec_id % 3) for x in a.v], [x * (1 + b.vec_id % 3) for x in b.v]) AS s FROM e a JOIN e b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0)"
+
+
+@query(f"WITH {_DOT} SELECT q AS query_id, c AS vec_id, CAST(row_number() OVER (PARTITION BY q ORDER BY s DESC, c) AS INTEGER) AS rank, round(s, 6) AS score FROM n QUALIFY rank <= 5")
+def knn_dot(spark: SparkSession, d: str) -> DataFrame:
+    """Nearest rows by a score function handed in: the dot product of vectors of different length."""
+    e = _embeddings(spark, d).select("vec_id", F.transform("embedding", lambda x: x.cast("double") * (1 + F.col("vec_id") % 3)).alias("v"))
+    near = vectors.knn(e.where("vec_id % 50 = 0").withColumnRenamed("vec_id", "query_id"), e, 5, "query_id", "vec_id", "v", exclude_self=True, score=vectors.dot_score)
+    return near.select("query_id", "vec_id", "rank", F.round("score", 6).alias("score"))
+
+
+@query(f"WITH {_E}, t AS (SELECT label, unnest(v) AS x, unnest(range(64)) AS p FROM e WHERE vec_id % 3 <> 0), m AS (SELECT label, p, avg(x) AS x FROM t GROUP BY 1, 2) SELECT label, CAST(p AS INTEGER) AS pos, round(x, 9) AS x FROM m")
+def mean_pooling(spark: SparkSession, d: str) -> DataFrame:
+    """Mean vector of each label over the rows its mask admits."""
+    e = _embeddings(spark, d).withColumn("counts", F.col("vec_id") % 3 != 0)
+    return vectors.mean_pool(e, ["label"], "embedding", "m", "counts").select("label", F.posexplode("m").alias("pos", "x")).withColumn("x", F.round("x", 9))
+
+
+@query(f"WITH {_E}, t AS (SELECT vec_id, unnest(range(21)) AS p, v FROM e) SELECT vec_id, CAST(p AS INTEGER) AS pos, round((v[p + 1] + v[p + 22] + v[p + 43]) / 3, 9) AS x FROM t")
+def mean_of_models(spark: SparkSession, d: str) -> DataFrame:
+    """Element-wise mean of three models' vectors."""
+    v = F.transform("embedding", lambda x: x.cast("double"))
+    m = vectors.mean_vector(*[F.slice(v, a, 21) for a in (1, 22, 43)])
+    return _embeddings(spark, d).select("vec_id", F.posexplode(m).alias("pos", "x")).withColumn("x", F.round("x", 9))
+
 _CLUSTERS = f"""{_PAIRS}, b AS (SELECT i, j, s FROM s UNION ALL SELECT j, i, s FROM s UNION ALL SELECT vec_id, vec_id, 1.0 FROM e),
 deg AS (SELECT i, count(*) AS deg FROM b GROUP BY 1),
 m AS (SELECT b.j AS item, b.i AS center, b.s FROM b JOIN deg USING (i) QUALIFY row_number() OVER (PARTITION BY b.j ORDER BY deg.deg DESC, b.i) = 1),
@@ -150,6 +192,12 @@ def gold_pairs(spark: SparkSession, d: str) -> DataFrame:
     return evaluate.positive_pairs(_gold(spark, d), "cluster_id", "name")
 
 
+@query(f"WITH {_GOLD} SELECT count(*) AS n FROM gn")
+def negative_count(spark: SparkSession, d: str) -> DataFrame:
+    """The number of negative pairs without making them."""
+    return evaluate.negative_count(_gold(spark, d), "cluster_id", "name")
+
+
 @query(f"WITH {_GOLD} SELECT count(*) AS n, min(a) AS first_a, max(b) AS last_b FROM gn")
 def negative_pairs(spark: SparkSession, d: str) -> DataFrame:
     return evaluate.negative_pairs(_gold(spark, d), "cluster_id", "name").agg(F.count("*").alias("n"), F.min("a").alias("first_a"), F.max("b").alias("last_b"))
@@ -165,7 +213,7 @@ def cluster_metrics(spark: SparkSession, d: str) -> DataFrame:
     """How well the first word of a name tells the gold clusters."""
     g = _gold(spark, d)
     pred = evaluate.positive_pairs(g.withColumn("t", F.split("name", " ")[0]), "t", "name")
-    return evaluate.metrics(evaluate.confusion(evaluate.positive_pairs(g, "cluster_id", "name"), evaluate.negative_pairs(g, "cluster_id", "name"), pred))
+    return evaluate.metrics(evaluate.confusion_closed(g, "cluster_id", "name", pred))
 
 
 @query("""SELECT i AS threshold_pct, m AS models, v AS voting FROM range(5, 31, 5) t(i), (SELECT b AS m FROM range(0, 64) u(b) WHERE bit_count(CAST(b AS INTEGER)) >= 3) s, (SELECT unnest(['all', 'majority', 'any']) AS v) w""")
@@ -185,14 +233,34 @@ count(*) AS pairs FROM y GROUP BY 1""")
 def grid_threshold_sweep(spark: SparkSession, d: str) -> DataFrame:
     """All thresholds in one pass over the same edges; the labels of the fixed embeddings sample are the gold."""
     e = _embeddings(spark, d).select("vec_id", "label")
-    a, b = e.toDF("a", "la"), e.toDF("b", "lb")
-    both = a.join(b, F.col("a") < F.col("b"))  # the stated gold pairs of a fixed-size table
-    pos, neg = both.where("la = lb").select("a", "b"), both.where("la <> lb").select("a", "b")
-    s = _pairs(spark, d).select(F.col("i").alias("a"), F.col("j").alias("b"), "s")
-    m = evaluate.threshold_sweep(s, pos, neg, [0.6, 0.65, 0.7])
+    m = evaluate.label_sweep(_pairs(spark, d).select(F.col("i").alias("a"), F.col("j").alias("b"), "s"), e, "vec_id", "label", [0.6, 0.65, 0.7])
     return m.select("threshold", "tp", "fp", (F.col("tp") + F.col("fn") + F.col("fp") + F.col("tn")).alias("pairs"))
 
 
+_GRID_T = (0.55, 0.6, 0.65, 0.7, 0.75, 0.8)
+_SIX = [(1 + 10 * i, 10) for i in range(6)]
+_LGRID = f"""{_E}, w AS (SELECT a.label = b.label AS g, [{", ".join(f"list_cosine_similarity(a.v[{s}:{s + n - 1}], b.v[{s}:{s + n - 1}])" for s, n in _SIX)}] AS s FROM e a JOIN e b ON a.label // 4 = b.label // 4 AND a.vec_id < b.vec_id),
+t AS (SELECT unnest([{", ".join(map(str, _GRID_T))}]) AS threshold), m AS (SELECT b AS models FROM range(0, 64) u(b) WHERE bit_count(CAST(b AS INTEGER)) >= 3), q AS (SELECT g, t.threshold, list_sum([CASE WHEN s[i] >= 1 - CAST(t.threshold AS DOUBLE) THEN CAST(1 << (i - 1) AS INTEGER) ELSE 0 END for i in [1, 2, 3, 4, 5, 6]]) AS bits, count(*) AS n FROM w, t GROUP BY ALL),
+y AS (SELECT threshold, models, g, n, bit_count(CAST(bits AS INTEGER) & CAST(models AS INTEGER)) AS agree, bit_count(CAST(models AS INTEGER)) AS k FROM q, m),
+z AS (SELECT threshold, models, v.voting, g, n, CASE v.voting WHEN 'all' THEN agree = k WHEN 'majority' THEN agree * 2 > k ELSE agree > 0 END AS h FROM y, (SELECT unnest(['all', 'majority', 'any']) AS voting) v)"""
+
+
+@query(f"""WITH {_LGRID} SELECT CAST(threshold AS DOUBLE) AS threshold, models, voting, CAST(coalesce(sum(n) FILTER (g AND h), 0) AS BIGINT) AS tp, CAST(coalesce(sum(n) FILTER (g AND NOT h), 0) AS BIGINT) AS fn,
+CAST(coalesce(sum(n) FILTER (NOT g AND h), 0) AS BIGINT) AS fp, CAST(coalesce(sum(n) FILTER (NOT g AND NOT h), 0) AS BIGINT) AS tn FROM z GROUP BY 1, 2, 3""")
+def link_grid(spark: SparkSession, d: str) -> DataFrame:
+    """All 756 settings of thresholds, subsets of six models and votings over the pairs within groups of labels."""
+    e = _embeddings(spark, d).withColumn("block", F.expr("label div 4"))
+    names = [f"m{i}" for i in range(6)]
+    units = [vectors.normalize(F.slice("embedding", s, n)).alias(m) for m, (s, n) in zip(names, _SIX)]
+    a = e.select("block", "vec_id", "label", *units)
+    b = a.select("block", F.col("vec_id").alias("o"), F.col("label").alias("lo"), *[F.col(m).alias(f"o{m}") for m in names])
+    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v)
+    pairs = a.join(b, "block").where("vec_id < o").select((F.col("label") == F.col("lo")).alias("gold"), *[dot(m, f"o{m}").alias(m) for m in names])
+    g = evaluate.link_grid(pairs, names, "gold", list(_GRID_T))
+    bits = F.expr("aggregate(models, 0L, (s, m) -> s + shiftleft(1L, int(substring(m, 2, 1))))")
+    return g.select("threshold", bits.alias("models"), "voting", "tp", "fn", "fp", "tn")
+
+
 _TF = r"""k AS (SELECT doc_kind AS topic, unnest(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+')) AS term FROM documents WHERE doc_kind IS NOT NULL), tf AS (SELECT topic, term, count(*) AS tf FROM k WHERE term <> '' GROUP BY 1, 2),
 f AS (SELECT term, sum(tf) AS f FROM tf GROUP BY 1), a AS (SELECT sum(tf) / count(DISTINCT topic) AS a FROM tf)"""
 
@@ -231,16 +299,16 @@ def representative_docs(spark: SparkSession, d: str) -> DataFrame:
 @query("""WITH t AS (SELECT label // 2 AS parent, label, vec_id FROM embeddings) SELECT parent, string_agg(DISTINCT CAST(label AS VARCHAR), ',' ORDER BY CAST(label AS VARCHAR)) AS topics, count(*) AS sentence_count, min(vec_id) AS first_sentence FROM t GROUP BY 1""")
 def topic_members(spark: SparkSession, d: str) -> DataFrame:
     """Members of parent topics, flattened from their leaves."""
-    leaf = _embeddings(spark, d).groupBy("label").agg(F.sort_array(F.collect_list("vec_id")).alias("ids"))
-    up = leaf.groupBy(F.expr("label div 2").cast("int").alias("parent")).agg(F.sort_array(F.collect_list(F.col("label").cast("string"))).alias("t"), F.flatten(F.collect_list("ids")).alias("s"))
-    return up.select("parent", F.array_join("t", ",").alias("topics"), F.size("s").cast("bigint").alias("sentence_count"), F.array_min("s").alias("first_sentence"))
+    leaf = _embeddings(spark, d).groupBy("label").agg(F.count("*").alias("n"), F.min("vec_id").alias("first"))
+    up = leaf.groupBy(F.expr("label div 2").cast("int").alias("parent")).agg(F.sort_array(F.collect_list(F.col("label").cast("string"))).alias("t"), F.sum("n").alias("sentence_count"), F.min("first").alias("first_sentence"))
+    return up.select("parent", F.array_join("t", ",").alias("topics"), "sentence_count", "first_sentence")
 
 
 @query()
 def topic_hierarchy(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents", "doc_id", "source", "text").where("source is not null")
     src = docs.select("source").distinct().withColumn("topic", F.dense_rank().over(Window.orderBy("source")).cast("int"))
-    d2 = docs.join(F.broadcast(src), "source")
+    d2 = docs.join(src, "source")
     return topics.topic_hierarchy(topics.class_tfidf(d2, "topic", "text"), d2, "topic", "doc_id").select("Parent_ID", "left", "right", F.round("distance", 6).alias("distance"), "Topics", "sentence_count")
 
 
@@ -280,3 +348,17 @@ def extracted_reports(spark: SparkSession, d: str) -> DataFrame:
 
     r = reports_from_articles(table(spark, d, "articles", "id", "title", "author", "source", "summary", "body", "@timestamp"))
     return r.select("id", "author", "is_about_event", F.size("positions").alias("positions"))
+
+
+@query()
+def reranked_terms(spark: SparkSession, d: str) -> DataFrame:
+    """Keywords of the kinds of documents by maximal marginal relevance over hashed term vectors."""
+    w = topics.class_tfidf(table(spark, d, "documents", "doc_kind", "text"), "doc_kind", "text")
+    return topics.rerank_terms(w, vectors.hashed_embedding(64), 10, 30, 0.3)
+
+
+@query()
+def topic_grid(spark: SparkSession, d: str) -> DataFrame:
+    """Outliers and topics at several settings of all four parameters."""
+    settings = [{"n_neighbors": n, "n_components": c, "min_cluster_size": s, "min_samples": m} for n in (10, 15) for c in (5,) for s in (5, 8) for m in (3,)]
+    return topics.topic_grid(spark, _embeddings(spark, d), "vec_id", "embedding", settings)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 _S, _L = T.StringType(), T.LongType()
 
@@ -41,6 +41,52 @@ VOCABULARY = {
 STANCE_TYPES = ("Positive", "Negative", "Neutral")
 
 
+def from_json_schema(schema: dict) -> T.DataType:
+    """The Spark type of a JSON Schema: objects, arrays and simple types, also where ``type`` allows null; ``$ref`` points into ``$defs``."""
+    root = schema
+
+    def typ(s: dict) -> T.DataType:
+        while "$ref" in s:
+            node = root
+            for part in s["$ref"].lstrip("#/").split("/"):
+                node = node[part]
+            s = node
+        kind = s.get("type") or next((x.get("type") for x in s.get("anyOf", ()) if x.get("type") != "null"), "string")
+        if isinstance(kind, list):
+            kind = next((k for k in kind if k != "null"), "string")
+        if kind == "object":
+            if "properties" not in s and isinstance(s.get("additionalProperties"), dict):
+                return T.MapType(_S, typ(s["additionalProperties"]))
+            return T.StructType([T.StructField(k, typ(v)) for k, v in s.get("properties", {}).items()])
+        if kind == "array":
+            return T.ArrayType(typ(s.get("items", {})))
+        return {"integer": _L, "number": T.DoubleType(), "boolean": T.BooleanType()}.get(kind, _S)
+
+    return typ(schema)
+
+
+def read_json_schema(path: str) -> T.DataType:
+    """The Spark type of a JSON Schema file, bare or wrapped as ``{"schema": ...}``."""
+    import json
+    from pathlib import Path
+
+    s = json.loads(Path(path).read_text())
+    return from_json_schema(s.get("schema", s) if isinstance(s.get("schema", s), dict) else s)
+
+
+def conforms(col: str, schema: dict) -> Column:
+    """Whether a struct column fits an object of a JSON Schema: required fields set, closed vocabularies kept; null structs do not fit."""
+    ok = F.col(col).isNotNull()
+    for name in schema.get("required", ()):
+        ok = ok & F.col(col)[name].isNotNull()
+    for name, s in schema.get("properties", {}).items():
+        if "enum" in s:
+            ok = ok & (F.col(col)[name].isNull() | F.col(col)[name].isin(*[v for v in s["enum"] if v is not None]))
+        if s.get("type") == "object":
+            ok = ok & (F.col(col)[name].isNull() | conforms(f"{col}.{name}", s))
+    return F.coalesce(ok, F.lit(False))
+
+
 def vocabulary_violations(positions: DataFrame) -> DataFrame:
     """``(field, value, n)``: values outside the closed vocabularies; null values are no violation."""
     parts = [F.struct(F.lit(f).alias("field"), F.col(f).alias("value"), (F.col(f).isNotNull() & ~F.col(f).isin(*vs)).alias("bad")) for f, vs in VOCABULARY.items()]

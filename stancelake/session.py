@@ -13,7 +13,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 _scratch: dict[str, str] = {}
 
@@ -79,6 +79,12 @@ def _drop(spark: SparkSession, path: str) -> None:
         pass
 
 
+def observed(df: DataFrame, name: str, **measures: Column) -> tuple[DataFrame, Observation]:
+    """``df`` with an observation: its measures are known once ``df`` has been computed, without another pass."""
+    seen = Observation(name)
+    return df.observe(seen, *[c.alias(k) for k, c in measures.items()]), seen
+
+
 def spread(df: DataFrame) -> DataFrame:
     """``df`` on at least as many partitions as there are cores, for work that is heavy on CPU.
 

@@ -16,10 +16,10 @@ from ..schemas import ANCHOR, GOLD, REPORT
 LANGUAGES = ("en", "de", "fr", "es", "it", "pt", "pl", "uk", "ru")
 
 
-def read_records(spark: SparkSession, path: str, schema: T.StructType = REPORT) -> DataFrame:
-    """A JSON array of records (or JSON lines); records that do not fit keep their text in ``_corrupt_record``."""
+def read_records(spark: SparkSession, path: str, schema: T.StructType = REPORT, lines: bool = False) -> DataFrame:
+    """Files of one JSON array of records each, or with ``lines`` of one record a line (which can be split); records that do not fit keep their text in ``_corrupt_record``."""
     s = T.StructType([*schema.fields, T.StructField("_corrupt_record", T.StringType())])
-    return spark.read.schema(s).option("multiLine", True).option("mode", "PERMISSIVE").json(path)
+    return spark.read.schema(s).option("multiLine", not lines).option("mode", "PERMISSIVE").json(path)
 
 
 def read_anchors(spark: SparkSession, path: str) -> DataFrame:

@@ -248,3 +248,77 @@ def test_linking_and_pipeline(spark):
     rep = spark.createDataFrame([(1, [mk(" Zelensky", "send aid now", "ua"), {"stakeholder": "z", "targets": []}]), (2, [mk("zelensky", "send aid now", None)])], "report_key long, positions " + REPORT["positions"].dataType.simpleString())
     c = post_process(rep, anchors, kb)["cleaned"].collect()
     assert len(c) == 1 and c[0].country_code == "UA" and c[0].targets[0].target == "Farmers" and c[0].report_key == 1
+
+
+def test_order_keys(spark):
+    from stancelake.functions.text import order_key
+
+    rows = [(-(2**63), 0), (-5, 7), (-5, 1_000), (0, 0), (3, 99_999), (3, 100_001), (10**18, 2)]
+    df = spark.createDataFrame(rows, "a long, b int").withColumn("k", order_key("a", "b"))
+    assert [(r.a, r.b) for r in df.orderBy("k").collect()] == rows and df.select("k").distinct().count() == len(rows)
+
+
+def test_closed_form_negatives(spark):
+    from stancelake.operators import evaluate as ev
+
+    rows = [(1, "a"), (1, "b"), (2, "b"), (2, "c"), (3, "d"), (3, "e"), (4, "e"), (4, "d"), (5, "f"), (5, "g")]
+    df = spark.createDataFrame(rows, "k int, x string")
+    assert ev.negative_count(df, "k", "x").first().n == ev.negative_pairs(df, "k", "x").count()
+    pred = spark.createDataFrame([("a", "b"), ("c", "b"), ("g", "f"), ("a", "c"), ("e", "d"), ("f", "a"), ("a", "a")], "a string, b string")
+    want = ev.confusion(ev.positive_pairs(df, "k", "x"), ev.negative_pairs(df, "k", "x"), pred).first()
+    assert ev.confusion_closed(df, "k", "x", pred).first().asDict() == want.asDict()
+
+
+def test_link_grid_equals_counting(spark):
+    import random
+
+    from stancelake.operators.evaluate import link_grid
+
+    r = random.Random(1)
+    rows = [(r.random() < 0.3, *[round(r.random(), 2) for _ in range(4)]) for _ in range(200)]
+    df = spark.createDataFrame(rows + [(None, 1.0, 1.0, 1.0, 1.0)], "gold boolean, m0 double, m1 double, m2 double, m3 double")
+    got = {(x.threshold, tuple(x.models), x.voting): (x.tp, x.fn, x.fp, x.tn) for x in link_grid(df, ["m0", "m1", "m2", "m3"], "gold", [0.3, 0.6]).collect()}
+    assert len(got) == 2 * 5 * 3
+    for (t, ms, v), c in got.items():
+        want = [0, 0, 0, 0]
+        for g, *s in rows:
+            yes = [s[int(m[1])] >= 1.0 - t for m in ms]
+            hit = {"all": all(yes), "majority": sum(yes) * 2 > len(yes), "any": any(yes)}[v]
+            want[(0 if hit else 1) if g else (2 if hit else 3)] += 1
+        assert c == tuple(want)
+
+
+def test_json_schema(spark):
+    from stancelake.schemas import conforms, from_json_schema
+
+    s = {"type": "object", "required": ["a"], "$defs": {"p": {"type": "object", "properties": {"n": {"type": ["null", "integer"]}}}}, "properties": {
+        "a": {"type": "string", "enum": ["x", "y"]}, "b": {"type": "array", "items": {"$ref": "#/$defs/p"}}, "c": {"type": "object", "additionalProperties": {"type": "number"}}, "d": {"anyOf": [{"type": "boolean"}, {"type": "null"}]}}}
+    t = from_json_schema(s)
+    assert t.simpleString() == "struct<a:string,b:array<struct<n:bigint>>,c:map<string,double>,d:boolean>"
+    rows = spark.createDataFrame([('{"a": "x"}',), ('{"a": "z"}',), ('{"b": []}',), ("no json",)], "j string").selectExpr(f"from_json(j, '{t.simpleString()}') as r")
+    assert [x.ok for x in rows.select(conforms("r", s).alias("ok")).collect()] == [True, False, False, False]
+
+
+def test_long_statements_are_kept():
+    import json
+
+    from stancelake.operators.extract import stub_extractor
+
+    who, what = "The " + "very " * 40 + "old council", "the plan " * 60
+    got = json.loads(stub_extractor(f"{who} rejected {what}."))["positions"][0]
+    assert got["stakeholder"] == who and got["targets"][0]["target"] == what.strip()
+
+
+def test_neighbours_by_a_score_of_ones_own(spark):
+    import numpy as np
+
+    from stancelake.operators.vectors import euclidean_score, knn, mean_pool
+
+    x = np.random.default_rng(3).standard_normal((60, 5)) * 3
+    df = spark.createDataFrame([(i, [float(v) for v in r], i % 4) for i, r in enumerate(x)], "id long, v array<double>, k int")
+    d = np.linalg.norm(x[:, None] - x[None], axis=2) + np.eye(60) * 1e9
+    got = knn(df.withColumnRenamed("id", "q"), df, 3, "q", "id", "v", block_rows=17, exclude_self=True, score=euclidean_score).collect()
+    assert {(r.q, r.id) for r in got} == {(i, int(j)) for i in range(60) for j in np.argsort(d[i])[:3]}
+    m = {r.k: r.embedding for r in mean_pool(df.withColumn("use", df.id > 7), ["k"], "v", mask="use").collect()}
+    assert all(np.allclose(m[k], x[[i for i in range(8, 60) if i % 4 == k]].mean(0)) for k in range(4))
+    assert mean_pool(df.where("false"), ["k"], "v").count() == 0

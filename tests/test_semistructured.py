@@ -45,6 +45,11 @@ def test_no_record(spark, bad):
     assert found(spark, [bad]) == {0: [(-2, -2)]}
 
 
+def test_blanks_behind_a_bracket():
+    for n in (10, 250, 5_000):
+        assert outermost_json("[" + " " * n + 'draft] {"title": "x"}') == {"title": "x"}
+
+
 def test_text_around_is_ignored():
     assert outermost_json('Here [draft]: {"a": 1} bye }') == {"a": 1}
     assert outermost_json('```json\n[{"a": [1]}]\n```') == [{"a": [1]}]
@@ -77,7 +82,10 @@ def test_empty_table(spark):
 def test_repeated_and_very_long(spark):
     p = json.dumps({"positions": [{"stakeholder": "s" * 200_000, "targets": ["t"] * 3_000}]})
     df = spark.createDataFrame([(7, p, ""), (7, p, "")], SCHEMA)
-    assert member_ordinals(df, "raw_id", "payload").count() == 6_000
+    # payloads under one key are one record's; under two keys each has its own rows
+    assert member_ordinals(df, "raw_id", "payload").count() == 3_000
+    other = spark.createDataFrame([(7, p, ""), (8, p, "")], SCHEMA)
+    assert member_ordinals(other, "raw_id", "payload").count() == 6_000
 
 
 def test_other_spec(spark):
