@@ -34,4 +34,19 @@ WITH t AS (SELECT DISTINCT id, regexp_extract_all(lower(concat_ws(' ', title, bo
 """
 
 QUERIES = {f.__name__: f for f in (p2_found, p2_groups)}
-SQL = {"p2_found": _SETS + "SELECT id_a, id_b FROM p"}
+_GROUPS = r"""
+WITH RECURSIVE t AS (SELECT DISTINCT id, regexp_extract_all(lower(concat_ws(' ', title, body)), '[\p{L}\p{N}]+') AS w FROM articles WHERE id IS NOT NULL),
+     k AS (SELECT w, row_number() OVER (ORDER BY min(id), len(w), array_to_string(w, ' ')) AS k FROM t WHERE len(w) >= 3 GROUP BY w),
+     m AS (SELECT id, k FROM t JOIN k USING (w)),
+     s AS (SELECT DISTINCT k, array_to_string(w[i:i+2], ' ') AS g FROM k, unnest(range(1, len(w) - 1)) AS u(i)),
+     n AS (SELECT k, count(*) AS n FROM s GROUP BY 1),
+     o AS (SELECT a.k AS ka, b.k AS kb, count(*) AS o FROM s a JOIN s b ON a.g = b.g AND a.k < b.k GROUP BY ALL),
+     e AS (SELECT ka, kb FROM o JOIN n na ON na.k = ka JOIN n nb ON nb.k = kb WHERE 3 * o >= na.n + nb.n),
+     b AS (SELECT ka AS u, kb AS v FROM e UNION ALL SELECT kb, ka FROM e),
+     r AS (SELECT k AS u, k AS l FROM k UNION SELECT b.v, r.l FROM r JOIN b ON b.u = r.u),
+     c AS (SELECT u AS k, min(l) AS c FROM r GROUP BY 1),
+     f AS (SELECT c.c, min(m.id) AS group_id FROM m JOIN c USING (k) GROUP BY 1),
+     d AS (SELECT u AS k, count(*) AS links FROM b GROUP BY 1)
+SELECT DISTINCT m.id, f.group_id, coalesce(d.links, 0) AS links FROM m JOIN c USING (k) JOIN f USING (c) LEFT JOIN d USING (k)
+"""
+SQL = {"p2_found": _SETS + "SELECT id_a, id_b FROM p", "p2_groups": _GROUPS}

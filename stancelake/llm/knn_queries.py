@@ -31,4 +31,9 @@ def p4_top5(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (p4_found, p4_top5)}
-SQL: dict[str, str] = {}
+_PAIRS = """
+WITH m AS (SELECT 'jina' AS model, row_id, CAST(jina_embeddings AS DOUBLE[]) AS v FROM df_max_views UNION ALL SELECT 'sentence_transformer', row_id, CAST(sentence_transformer_embeddings AS DOUBLE[]) FROM df_max_views),
+     u AS (SELECT * FROM m WHERE v IS NOT NULL AND list_dot_product(v, v) > 0),
+     s AS (SELECT a.model, a.row_id, b.row_id AS other_id, round(list_cosine_similarity(a.v, b.v), 12) AS s FROM u a JOIN u b ON a.model = b.model AND a.row_id <> b.row_id AND len(a.v) = len(b.v) WHERE a.row_id % 50 = 0)
+"""
+SQL = {"p4_top5": _PAIRS + "SELECT model, row_id, other_id, CAST(row_number() OVER (PARTITION BY model, row_id ORDER BY s DESC, other_id) AS INTEGER) AS rank, round(s, 6) AS similarity FROM s QUALIFY rank <= 5"}

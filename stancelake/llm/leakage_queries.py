@@ -33,7 +33,15 @@ WITH it AS (SELECT item_id, unnest([passage, question]) AS s FROM eval_items),
 """
 
 QUERIES = {f.__name__: f for f in (p9_found, p9_leaks, p9_items)}
+_PLACES = r"""
+WITH it AS (SELECT item_id, unnest(['passage', 'question']) AS field, unnest([passage, question]) AS s FROM eval_items),
+     iw AS (SELECT item_id, field, regexp_extract_all(lower(regexp_replace(s, '</?[A-Za-z][^<>]*>', ' ', 'g')), '[\p{L}\p{N}]+') AS w FROM it),
+     ig AS (SELECT item_id, field, array_to_string(w[i:i+7], ' ') AS g FROM iw, unnest(range(1, len(w) - 6)) AS t(i)),
+     dw AS (SELECT doc_id, regexp_extract_all(lower(regexp_replace(text, '</?[A-Za-z][^<>]*>', ' ', 'g')), '[\p{L}\p{N}]+') AS w FROM documents),
+     dg AS (SELECT doc_id, i - 1 AS pos, array_to_string(w[i:i+7], ' ') AS g FROM dw, unnest(range(1, len(w) - 6)) AS t(i))
+"""
 SQL = {
+    "p9_leaks": _PLACES + "SELECT doc_id, item_id, field, CAST(count(*) AS INTEGER) AS windows, CAST(min(pos) AS INTEGER) AS first_word FROM dg JOIN ig USING (g) GROUP BY 1, 2, 3",
     "p9_found": _PAIRS + "SELECT doc_id, item_id FROM hit",
     "p9_items": _PAIRS + "SELECT item_id, count(*) AS docs, min(doc_id) AS first_doc FROM hit GROUP BY item_id",
 }

@@ -18,9 +18,6 @@ from ..session import materialize
 from .names import KIND, PLACE, STOPS, TITLE, Form, Roles, Tokens, form, full_names, read
 from .trie_join import trie_join
 
-#: Bounds of the sets of roles held by every task (most frequent first).
-FIELDS, COUNTRIES, GIVEN = 2_000, 5_000, 20_000
-
 
 def token_rows(names: DataFrame) -> DataFrame:
     """``(name, weight, tok array, raw array, comma)`` of distinct names."""
@@ -58,10 +55,11 @@ def respell(rows: DataFrame) -> DataFrame:
     strong = w.where((F.length("word") >= 7) & (F.col("names") >= 2)).select("word")
     far = choose(trie_join(lone.select("word"), strong, 2))
     step = materialize(near.unionByName(far), "name-step")
-    for _ in range(2):
+    while True:  # chains halve in every round
         nxt = step.select(F.col("word").alias("canon"), F.col("canon").alias("up"))
-        step = materialize(step.join(nxt, "canon", "left").select("word", F.coalesce("up", "canon").alias("canon")).where("word <> canon"), "name-step")
-    return step
+        step = materialize(step.join(nxt, "canon", "left").select("word", F.coalesce("up", "canon").alias("canon"), F.col("up").isNotNull().alias("more")).where("word <> canon"), "name-step")
+        if not step.where("more").limit(1).count():
+            return step.select("word", "canon")
 
 
 def spelled(rows: DataFrame, canon: DataFrame) -> DataFrame:
@@ -72,7 +70,7 @@ def spelled(rows: DataFrame, canon: DataFrame) -> DataFrame:
 
 
 def learn_roles(rows: DataFrame, typed: DataFrame) -> Roles:
-    """Fields, countries and given names, from the company tokens keep; each set is bounded.
+    """Fields, countries and given names, from the company tokens keep; the whole sets, one entry a token of that role.
 
     ``typed`` has the tokens as typed: countries are what adjectives such as those in -n, -ic and -ish are made of.
     """
@@ -88,21 +86,23 @@ def learn_roles(rows: DataFrame, typed: DataFrame) -> Roles:
     back = pairs.where("body").join(deg.select(F.col("t").alias("p"), F.col("body_partners").alias("pd")), "p").groupBy("t").agg(F.avg("pd").alias("partner_degree"))
     # fields of bodies meet many places that themselves meet few fields; countries meet many fields and places alike
     body = back.join(deg, "t").where("body_partners >= 3")
-    f = body.where("body_partners >= 3 * partner_degree and free_partners <= body_partners").orderBy(F.desc("body_partners"), "t").limit(FIELDS).select("t").toPandas()
-    given = deg.where("free_partners >= 4 and free_partners > 2 * body_partners").orderBy(F.desc("free_partners"), "t").limit(GIVEN).select("t").toPandas()
+    f = body.where("body_partners >= 3 * partner_degree and free_partners <= body_partners").select("t").toPandas()
+    # a given name meets many family names, which meet few given names; a family name of many spellings is met by given names that meet many
+    free = pairs.where("not body").join(deg.select(F.col("t").alias("p"), F.col("free_partners").alias("pf")), "p").groupBy("t").agg(F.avg("pf").alias("free_degree"))
+    given = deg.join(free, "t").where("free_partners >= 4 and free_partners > 2 * body_partners and free_partners > free_degree").select("t").toPandas()
     adj = typed.select(F.explode("tok").alias("t")).distinct()
     stem = None
     for suf in ("n", "ik", "is"):
         s = adj.where(F.col("t").endswith(suf) & (F.length("t") > 5)).select(F.expr(f"substring(t, 1, length(t) - {len(suf)})").alias("t"))
         stem = s if stem is None else stem.unionByName(s)
-    land = stem.distinct().join(deg.where("body_partners >= 2"), "t").orderBy(F.desc("body_partners"), "t").limit(COUNTRIES).select("t").toPandas()
+    land = stem.distinct().join(deg.where("body_partners >= 2"), "t").select("t").toPandas()
     countries = frozenset(land["t"]) - frozenset(given["t"])
     return Roles(frozenset(given["t"]) - frozenset(f["t"]), frozenset(f["t"]) - countries, countries)
 
 
 def name_forms(rows: DataFrame, roles: Roles) -> DataFrame:
-    """``(name, weight, kind, a, b, c, initial, alts)``; alts: the given names an ambiguous nickname may stand for."""
-    held = rows.sparkSession.sparkContext.broadcast(roles)  # bounded sets
+    """``(name, weight, kind, a, b, c, initial, alts, sure)``; alts: the given names a nickname may stand for; sure: the given name is a whole one."""
+    held = rows.sparkSession.sparkContext.broadcast(roles)  # one entry a token of a role
 
     def run(batches: Iterable) -> Iterator:
         import pandas as pd
@@ -113,26 +113,30 @@ def name_forms(rows: DataFrame, roles: Roles) -> DataFrame:
             out = []
             for x in f:
                 full = full_names(x.b) if x.kind == "person" and x.b else frozenset()
-                out.append((x.kind, x.a, min(full) if len(full) == 1 else x.b, x.c, x.initial, sorted(full) if len(full) > 1 else []))
-            yield pd.concat([pdf[["name", "weight"]].reset_index(drop=True), pd.DataFrame(out, columns=["kind", "a", "b", "c", "initial", "alts"])], axis=1)
+                alts = sorted(full - {x.b})
+                out.append((x.kind, x.a, x.b, x.c, x.initial, alts, not alts and (len(x.b) > 4 or x.b in r.given)))
+            yield pd.concat([pdf[["name", "weight"]].reset_index(drop=True), pd.DataFrame(out, columns=["kind", "a", "b", "c", "initial", "alts", "sure"])], axis=1)
 
-    return rows.select("name", "weight", "tok", "raw", "comma").mapInPandas(run, "name string, weight long, kind string, a string, b string, c string, initial string, alts array<string>")
+    return rows.select("name", "weight", "tok", "raw", "comma").mapInPandas(run, "name string, weight long, kind string, a string, b string, c string, initial string, alts array<string>, sure boolean")
 
 
 def entities(forms: DataFrame) -> DataFrame:
     """``(name, entity)``; names whose form fits several entities stand alone."""
     persons = forms.where("kind = 'person'")
-    known = persons.where("b <> ''").groupBy("a").agg(F.collect_set("b").alias("givens"))
+    known = persons.where("b <> '' and sure").groupBy("a").agg(F.collect_set("b").alias("givens"))
     # a single word is the family name of a person if there is one of that name, else a place
     single = forms.where("kind = 'single'").join(persons.select("a").distinct().withColumn("person", F.lit("person")), "a", "left")
     single = single.withColumn("kind", F.coalesce("person", F.lit("place"))).select(*forms.columns)
     persons = persons.unionByName(single.where("kind = 'person'"))
     p = persons.join(known, "a", "left").withColumn("givens", F.coalesce("givens", F.array().cast("array<string>")))
-    fits = F.filter("givens", lambda g: g.startswith(F.col("initial")) | (F.col("initial") == ""))
+    # a folded "ph" begins with f
+    fits = F.filter("givens", lambda g: g.startswith(F.col("initial")) | (F.col("initial") == "") | (F.col("initial") == "p") & g.startswith("f"))
     # a cut given name ("yev.") stands for the one it begins
     longer = F.filter("givens", lambda g: g.startswith(F.col("b")) & (F.length(g) > F.length("b") + 1))
     meant = F.array_intersect("givens", "alts")
-    p = p.withColumn("fits", fits).withColumn("b", F.when(F.size(meant) == 1, F.element_at(meant, 1)).when((F.col("b") != "") & (F.length("b") <= 4) & (F.size(longer) == 1), F.element_at(longer, 1)).otherwise(F.col("b")))
+    cut = (F.col("b") != "") & ~F.col("sure") & (F.length("b") <= 4) & (F.size(longer) == 1)
+    b = F.when(F.size(meant) == 1, F.element_at(meant, 1)).when(cut, F.element_at(longer, 1)).when(F.size("alts") == 1, F.element_at("alts", 1)).otherwise(F.col("b"))
+    p = p.withColumn("fits", fits).withColumn("b", b)
     given = F.when(F.col("b") != "", F.col("b")).when(F.size("fits") == 1, F.element_at("fits", 1)).when(F.size("givens") == 0, F.lit("?")).otherwise(F.concat(F.lit("!"), "name"))
     # of a family name without any given name, the initials tell persons apart
     lone = persons.where("b = '' and initial <> ''").groupBy("a").agg(F.collect_set("initial").alias("inits"))

@@ -11,7 +11,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from dataclasses import dataclass, field
-from functools import cache
+from functools import cache, cached_property
 
 from .trie_join import Trie
 
@@ -47,10 +47,15 @@ def sound(t: str) -> str:
     """A token as it sounds: transcriptions of one letter and doubled letters fall together."""
     t = t.replace("ph", "f")
     t = t[:1] + t[1:].replace("h", "") if t[:1] != "h" else t[1:].replace("h", "") and "h" + t[1:].replace("h", "")
-    t = t.replace("ou", "u").translate(str.maketrans("wyczq", "viksk"))
+    t = soft(t)
     return re.sub(r"(.)\1+", r"\1", t) or t
 
 
+def soft(t: str) -> str:
+    """The letters that transcriptions confuse fall together; doubled letters stay."""
+    return t.replace("ou", "u").translate(str.maketrans("wyczq", "viksk"))
+
+
 KIND = {sound(k): k for k in KINDS} | {sound(a): k for a, k in SHORT.items()}
 TITLE = frozenset(map(sound, TITLES))
 PLACE = frozenset(map(sound, PLACES))
@@ -71,10 +76,10 @@ _KINDS = Trie(k for k in KIND if len(k) >= 5)
 
 @cache
 def kind_of(t: str) -> str | None:
-    """The kind of body a token names, with at most one typing error in words of four letters or more."""
+    """The kind of body a token names, with at most one typing error or cut short, in words of four letters or more."""
     if t in KIND:
         return KIND[t]
-    hit = sorted({KIND[w] for w, _ in _KINDS.near(t, 1)}) if len(t) >= 4 else []
+    hit = sorted({KIND[w] for w, _ in _KINDS.near(t, 1)} or {KIND[w] for w in KIND if w.startswith(t)}) if len(t) >= 4 else []
     return hit[0] if len(hit) == 1 else None
 
 
@@ -112,13 +117,47 @@ def read(name: str) -> Tokens:
 
 @dataclass(frozen=True)
 class Roles:
-    """Which tokens act as given names, fields of bodies and countries; each set is bounded."""
+    """Which tokens act as given names, fields of bodies and countries; whole sets, as large as their vocabulary."""
 
     given: frozenset[str] = frozenset()
     fields: frozenset[str] = frozenset()
     countries: frozenset[str] = frozenset()
     family: frozenset[str] = field(default_factory=frozenset)
 
+    @cached_property
+    def _field_trie(self) -> Trie:
+        return Trie(f for f in self.fields if len(f) >= 4)
+
+    @cached_property
+    def _given_trie(self) -> Trie:
+        return Trie(g for g in self.given if len(g) >= 4)
+
+    def near_given(self, t: str) -> str | None:
+        """The one given name that a token of four letters or more is a single error away from."""
+        key = ("", t)
+        if key not in self._fields_read:
+            hit = [g for g, _ in self._given_trie.near(t, 1)] if len(t) >= 4 else []
+            self._fields_read[key] = hit[0] if len(hit) == 1 else None
+        return self._fields_read[key]
+
+    @cached_property
+    def _fields_read(self) -> dict[tuple[str, str], str | None]:
+        return {}
+
+    def near_field(self, t: str, raw: str) -> str | None:
+        """The one field that a token is a misspelling of: one error in words of four letters, two in longer ones."""
+        key = (t, raw)
+        if key not in self._fields_read:
+            best: dict[str, int] = {}
+            for x in {t, soft(raw)}:
+                if 4 <= len(x) <= 14:
+                    for f, d in self._field_trie.near(x, 1 if len(x) < 5 else 2):
+                        best[f] = min(d, best.get(f, 9))
+            least = min(best.values(), default=9)
+            hit = [f for f, d in best.items() if d == least]
+            self._fields_read[key] = hit[0] if len(hit) == 1 else None
+        return self._fields_read[key]
+
 
 @dataclass(frozen=True)
 class Form:
@@ -148,6 +187,12 @@ def form(tokens: Tokens, roles: Roles) -> Form:
     if kinds and len(tok) >= 2:
         i = kinds[0]
         kind = kind_of(tok[i])
+        if len(tok) >= 3 and not any(t in roles.fields for j, t in enumerate(tok) if j != i):
+            near = {j: roles.near_field(t, tokens.raw[j] if j < len(tokens.raw) else t) for j, t in enumerate(tok) if j != i and not country_of(t, roles)}
+            near = {j: f for j, f in near.items() if f}
+            if len(near) == 1:
+                for j, f in near.items():
+                    tok[j] = f
         rest = [country_of(t, roles) or t for j, t in enumerate(tok) if j != i]
         rest = [t for t in rest if t not in PLACE and len(t) > 2] or rest
         fields = [t for t in rest if t in roles.fields]
@@ -192,6 +237,9 @@ def form(tokens: Tokens, roles: Roles) -> Form:
             return Form("person", x, y)
         if initials:
             return Form("person", y, x)
+        near = roles.near_given(x), roles.near_given(y)
+        if bool(near[0]) != bool(near[1]):
+            return Form("person", y, near[0]) if near[0] else Form("person", x, near[1])
         return Form("other", " ".join(sorted(words)))
     if len(words) == 1:
         return Form("single", words[0])

@@ -104,7 +104,9 @@ class Reference:
         self.person: dict[str, list[tuple[frozenset[str], int]]] = defaultdict(list)
         self.body: dict[tuple[str, str], list[tuple[str, int]]] = defaultdict(list)
         self.place: dict[str, set[int]] = defaultdict(set)
+        self.sets: dict[int, set[frozenset[str]]] = defaultdict(set)
         for item, t, country in read_names:
+            self.sets[item].add(frozenset(t.tok))
             f = form(t, self.roles)
             if f.kind == "person" and f.b and (full_names(f.b), item) not in self.person[f.a]:
                 self.person[f.a].append((full_names(f.b), item))
@@ -154,21 +156,38 @@ class Reference:
         return sorted(out)
 
     def match(self, value: str) -> tuple[int, float]:
-        """(item, score); score 1 for a name itself, then mentions, then token sets; (-1, 0) if nothing fits."""
+        """(item, score); 1 for a name itself, else the token-set similarity; (-1, 0) if nothing fits."""
         own = self.exact.get(value.strip().lower(), ())
         if len(own) == 1:
             return next(iter(own)), 1.0
         t = read(value)
         if not t.tok:
             return UNMATCHED, 0.0
-        for score, tokens in ((0.9, t), (0.8, self.respelled(t))):
+        for tokens in (t, self.respelled(t)):
             got = self._mentioned(tokens)
             if got is None:
                 got = self._by_roles(form(tokens, self.roles))
             if got is not None:
-                return got, score
+                return got, self.similarity(t, tokens, got)
         return UNMATCHED, 0.0
 
+    def similarity(self, typed: Tokens, read_: Tokens, item: int) -> float:
+        """Token-set similarity of a value and its entry, below 1: letters of shared tokens over letters of all.
+
+        A token that had to be respelt counts with the share of its letters that were right.
+        """
+        def share(own: frozenset[str]) -> float:
+            right = total = 0.0
+            for a, b in zip(typed.tok, read_.tok):
+                total += len(b)
+                if b in own:
+                    right += len(b) * (1 - edits(a, b) / max(len(a), len(b)))
+                elif any(x.startswith(b) for x in own):  # an initial or a cut word
+                    right += len(b)
+            return right / max(total + sum(len(x) for x in own if x not in read_.tok), 1e-9)
+
+        return round(0.1 + 0.89 * max(map(share, self.sets[item]), default=0.0), 4)
+
     def _mentioned(self, t: Tokens) -> int | None:
         ms = self.mentions(t.tok)
         if len(ms) == 2 and t.comma and t.tok[ms[1][0]] in self.roles.countries and ms[0][1] == t.comma:

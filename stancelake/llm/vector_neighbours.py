@@ -201,7 +201,7 @@ def nearest(vectors: DataFrame, k: int = 5, min_similarity: float | None = None,
     wide = WIDTH * near if width is None else width
     rows = part_rows or PART_BYTES // (4 * max((u.shape[1] for _, u in seen), default=1))
     outer = Hash(max(math.ceil(math.log2(max(most, 1) / rows) / BITS), 0) if most > rows else 0, wide, (seed, 0))
-    bits = max(math.ceil(math.log2(max(min(most, rows), 1) / cell_rows)), 1) if most > cell_rows else 1
+    bits = max(math.ceil(math.log2(max(min(most, rows), 1) / cell_rows)), 0)  # a table no larger than a bucket is one
     size = min(math.ceil(bits / BITS), 48)
     probes = probes_for(bits) if probes is None else probes
     index = Index(outer, near / wide, tuple(Hash(size, wide, (seed, 1 + t)) for t in range(tables)), probes)
@@ -341,6 +341,7 @@ def _searcher(index: Index, k: int, least: float | None, modulus: int):
         for a in range(0, len(q), 65_536):
             qq, hh = q[a : a + 65_536], h[a : a + 65_536]
             exact[a : a + 65_536] = np.where(group[qq] == group[hh], 1.0, np.einsum("ij,ij->i", raw[qq], raw[hh], dtype=np.float64) / (norm[qq] * norm[hh]))
+        exact = np.round(exact, 12)  # multiples of one vector are equally similar
         if least is not None:
             ok = exact >= least
             q, h, exact = q[ok], h[ok], exact[ok]
