@@ -86,6 +86,34 @@ def country_or_null(code: Column | str) -> Column:
     return F.nullif(F.upper(F.trim(c(code))), F.lit("NONE"))
 
 
+# Three-letter codes of countries, and other names of them.
+ISO3 = {
+    "algeria": "DZA", "argentina": "ARG", "austria": "AUT", "belgium": "BEL", "brazil": "BRA", "bulgaria": "BGR", "canada": "CAN", "chile": "CHL", "china": "CHN", "colombia": "COL", "croatia": "HRV", "czechia": "CZE", "denmark": "DNK", "egypt": "EGY",
+    "estonia": "EST", "ethiopia": "ETH", "finland": "FIN", "france": "FRA", "germany": "DEU", "greece": "GRC", "hungary": "HUN", "india": "IND", "indonesia": "IDN", "iran": "IRN", "iraq": "IRQ", "ireland": "IRL", "israel": "ISR", "italy": "ITA", "japan": "JPN",
+    "jordan": "JOR", "kenya": "KEN", "latvia": "LVA", "lithuania": "LTU", "mexico": "MEX", "moldova": "MDA", "morocco": "MAR", "mozambique": "MOZ", "netherlands": "NLD", "norway": "NOR", "peru": "PER", "poland": "POL", "portugal": "PRT", "romania": "ROU",
+    "russia": "RUS", "saudi arabia": "SAU", "serbia": "SRB", "slovakia": "SVK", "slovenia": "SVN", "south africa": "ZAF", "south korea": "KOR", "spain": "ESP", "sweden": "SWE", "switzerland": "CHE", "syria": "SYR", "turkey": "TUR", "ukraine": "UKR",
+    "united kingdom": "GBR", "united states": "USA", "venezuela": "VEN", "vietnam": "VNM"}
+COUNTRY_ALIASES = {
+    "america": "USA", "united states of america": "USA", "usa": "USA", "us": "USA", "u.s.": "USA", "great britain": "GBR", "britain": "GBR", "england": "GBR", "uk": "GBR", "russian federation": "RUS", "czech republic": "CZE", "holland": "NLD", "the netherlands": "NLD",
+    "türkiye": "TUR", "korea": "KOR", "deutschland": "DEU", "people's republic of china": "CHN"}
+
+
+def country_code(x: Column | str) -> Column:
+    """The three-letter code a typed country means: by name, other name or code, else by the one name within a single edit; null if none or several fit."""
+    s = F.lower(F.trim(c(x)))
+    known = {**ISO3, **COUNTRY_ALIASES, **{v.lower(): v for v in ISO3.values()}}
+    names = F.array(*[F.struct(F.lit(n).alias("n"), F.lit(v).alias("v")) for n, v in ISO3.items() if len(n) > 3])
+    near = F.array_distinct(F.transform(F.filter(names, lambda e: F.levenshtein(e["n"], s) <= 1), lambda e: e["v"]))
+    return F.coalesce(F.element_at(F.create_map(*[F.lit(y) for pair in known.items() for y in pair]), s), F.when((F.length(s) > 3) & (F.size(near) == 1), F.element_at(near, 1)))
+
+
+def collate(tokens: Column | str, length: int, pad: str = "<pad>") -> list[Column]:
+    """``tokens`` cut or padded to ``length``, and ``mask`` with 1 for real tokens and 0 for padding; null gives padding only."""
+    t = F.coalesce(F.slice(c(tokens), 1, length), F.array().cast("array<string>"))
+    gap = F.lit(length) - F.size(t)
+    return [F.concat(t, F.array_repeat(F.lit(pad), gap)).alias("tokens"), F.concat(F.transform(t, lambda _: F.lit(1)), F.array_repeat(F.lit(0), gap)).alias("mask")]
+
+
 def any_timestamp(x: Column | str) -> Column:
     """A timestamp given as ISO text, as epoch seconds or as epoch milliseconds; null otherwise."""
     s = F.trim(c(x))

@@ -1,7 +1,7 @@
 """Vectors: embedding, normalising, nearest neighbours of a query set, and exact similarity joins.
 
-Neither join holds a matrix of all pairs.  A query set meets the corpus in blocks;
-a self-join under a threshold is cut by pivots: with unit vectors of angle at most
+Neither join holds a matrix of all pairs.  Both are cut by pivots: of a query set, each
+query visits the cells its k-th best score so far cannot rule out; of a self-join under a threshold: with unit vectors of angle at most
 theta apart, a vector can only meet members of a pivot's cell if its angle to that
 pivot is at most 2 theta more than to its own.
 """
@@ -15,6 +15,8 @@ from collections.abc import Callable, Iterable, Iterator
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..session import materialize
+
 #: Rows of a block of the corpus or of a cell's task; pivots of a self-join at most.
 BLOCK_ROWS = 32_768
 CELL_ROWS = 4_096
@@ -138,26 +140,119 @@ def _usable(df: DataFrame, vec: str) -> DataFrame:
 
 def knn(queries: DataFrame, corpus: DataFrame, k: int, query_id: str, corpus_id: str, vec: str, by: list[str] | None = None,
         min_score: float | None = None, block_rows: int = BLOCK_ROWS, exclude_self: bool = False, score: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None) -> DataFrame:
-    """``(by, query_id, corpus_id, score, rank)``: the k most similar corpus rows of every query, in doubles.
-
-    ``by`` (e.g. the model) must agree between the sides.  The corpus is cut into hashed blocks of about
-    ``block_rows`` and each query visits every block once, so no side is broadcast; a block keeps k
-    rows a query and the best of all blocks are merged.  Ties go to the smaller corpus id.  Vectors
-    without direction take no part; vectors of different length are never compared.  ``score`` takes two
-    matrices of raw vectors and gives their similarities, larger for nearer; the cosine is the default.
+    """``(by, query_id, corpus_id, score, rank)``: the k most similar corpus rows of every query, exactly, in doubles.
+
+    ``by`` (e.g. the model) must agree between the sides.  A corpus of more than ``block_rows`` rows is cut
+    into the cells of at most MAX_PIVOTS pivots (a bounded sample).  A query first visits the cell of its
+    nearest pivot; its k-th score there bounds the angle, and it then visits only the cells that reach into
+    that angle.  Cells and their queries beyond ``block_rows`` are split among tasks, so no side is broadcast
+    and no cell meets one task.  Ties go to the smaller corpus id.  Vectors without direction take no part;
+    vectors of different length are never compared.  ``score`` takes two matrices of raw vectors and gives
+    their similarities, larger for nearer; the cosine is the default.  Another score has no such bound: its
+    queries visit every block.
     """
     by = by or []
     q = _usable(queries, vec).select(*by, F.col(query_id).alias("_q"), F.col(vec).alias("_v"), F.size(vec).alias("_d"))
     c = _usable(corpus, vec).select(*by, F.col(corpus_id).alias("_c"), F.col(vec).alias("_v"), F.size(vec).alias("_d"))
-    blocks = max(1, math.ceil(corpus.count() / block_rows))
-    q = q.withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    # many queries are cut as well: the grid of blocks is fixed by both counts
-    qblocks = max(1, math.ceil(queries.count() / block_rows))
-    q = q.withColumn("_s", F.pmod(F.xxhash64("_q"), F.lit(qblocks)))
-    c = c.withColumn("_b", F.pmod(F.xxhash64("_c"), F.lit(blocks)).cast("int")).withColumn("_s", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(qblocks - 1).cast("long"))))
-    keys = [*by, "_d", "_b", "_s"]
+    search = _block_search(by, query_id, corpus_id, k, min_score, exclude_self, score)
     qt, ct = queries.schema[query_id].dataType.simpleString(), corpus.schema[corpus_id].dataType.simpleString()
     bt = "".join(f"`{b}` {queries.schema[b].dataType.simpleString()}, " for b in by)
+    out = f"{bt}`{query_id}` {qt}, `{corpus_id}` {ct}, score double"
+    w = Window.partitionBy(*by, query_id).orderBy(F.desc("score"), corpus_id)
+
+    def meet(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+        found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(search, out)
+        return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+    n = corpus.count()
+    if n <= block_rows or score is not None:
+        # a grid of blocks of both sides, fixed by their counts
+        blocks, qblocks = max(1, math.ceil(n / block_rows)), max(1, math.ceil(queries.count() / block_rows))
+        left = q.withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn("_s", F.pmod(F.xxhash64("_q"), F.lit(qblocks)))
+        right = c.withColumn("_b", F.pmod(F.xxhash64("_c"), F.lit(blocks)).cast("int")).withColumn("_s", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(qblocks - 1).cast("long"))))
+        return meet(left, right, [*by, "_d", "_b", "_s"])
+    spark = queries.sparkSession
+    pivots = min(MAX_PIVOTS, 4 * math.ceil(n / block_rows))
+    drawn = c.select(*by, "_d", "_v").sample(min(1.0, 8 * pivots / n), 7).limit(pivots).collect()  # at most MAX_PIVOTS rows
+    held: dict[tuple, list] = {}
+    for r in drawn:
+        held.setdefault((*[r[b] for b in by], r["_d"]), []).append(np.asarray(r["_v"], np.float64))
+    sent = spark.sparkContext.broadcast({key: np.stack(v) / np.linalg.norm(np.stack(v), axis=1)[:, None] for key, v in held.items()})
+
+    def angles(pdf):
+        """(rows, angles to their group's pivots) of every group; one zero angle where a group has no pivot."""
+        for key, g in pdf.groupby([*by, "_d"], dropna=False, sort=False):
+            p = sent.value.get(tuple(x.item() if hasattr(x, "item") else x for x in key))
+            yield g, np.zeros((len(g), 1)) if p is None else np.arccos(np.clip(_unit(g["_v"]) @ p.T, -1, 1))
+
+    def place(batches: Iterable) -> Iterator:
+        for pdf in batches:
+            for g, a in angles(pdf):
+                own = a.argmin(axis=1)
+                yield g.assign(_cell=own.astype(np.int32), _a=a[np.arange(len(a)), own])
+
+    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in c.schema.fields)
+    placed = materialize(c.mapInPandas(place, f"{ddl}, _cell int, _a double"), "knn-corpus")
+    keys = [*by, "_d", "_cell"]
+    sizes = placed.groupBy(*keys).agg(F.count("*").alias("n"), F.max("_a").alias("radius")).collect()  # one row a pivot and group
+    reach: dict[tuple, dict[int, float]] = {}
+    for r in sizes:
+        reach.setdefault((*[r[b] for b in by], r["_d"]), {})[r["_cell"]] = r["radius"]
+    known = spark.sparkContext.broadcast(reach)
+
+    def visit(first: bool):
+        def run(batches: Iterable) -> Iterator:
+            import pandas as pd
+
+            for pdf in batches:
+                for g, a in angles(pdf):
+                    cells = known.value.get(tuple(x.item() if hasattr(x, "item") else x for x in g[[*by, "_d"]].iloc[0]), {})
+                    names = np.array(sorted(cells), np.int64)
+                    if not len(names):
+                        continue
+                    a = a[:, names]
+                    near = a.argmin(axis=1)
+                    if first:
+                        yield g.assign(_cell=names[near].astype(np.int32))
+                        continue
+                    radius = np.array([cells[x] for x in names])
+                    ok = a - radius[None] <= np.arccos(np.clip(g["_k"].to_numpy(np.float64), -1, 1))[:, None] + 1e-6
+                    ok[np.arange(len(a)), near] = False
+                    i, j = np.nonzero(ok)
+                    yield pd.DataFrame(g.drop(columns=["_k"]).iloc[i]).assign(_cell=names[j].astype(np.int32))
+
+        return run
+
+    qddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in q.schema.fields)
+
+    def search_cells(asked: DataFrame) -> DataFrame:
+        """Every query meets all blocks of its cell; blocks and queries of a cell are split by their numbers."""
+        asked = materialize(asked, "knn-asked")
+        many = asked.groupBy(*keys).agg(F.ceil(F.count("*") / block_rows).cast("int").alias("_qs"))
+        blocks = placed.groupBy(*keys).agg(F.ceil(F.count("*") / block_rows).cast("int").alias("_bs"))
+        split = many.join(blocks, [*by, "_d", "_cell"])  # one row a cell
+        left = asked.join(F.broadcast(split), keys).withColumn("_b", F.explode(F.sequence(F.lit(0), F.col("_bs") - 1))).withColumn("_s", F.pmod(F.xxhash64("_q"), F.col("_qs")).cast("int"))
+        right = placed.join(F.broadcast(split), keys).withColumn("_b", F.pmod(F.xxhash64("_c"), F.col("_bs")).cast("int")).withColumn("_s", F.explode(F.sequence(F.lit(0), F.col("_qs") - 1)))
+        cols = [*by, "_q", "_v", "_d", "_cell", "_b", "_s"]
+        return meet(left.select(*cols), right.select(*[x if x != "_q" else "_c" for x in cols]), [*keys, "_b", "_s"])
+
+    near = materialize(search_cells(q.mapInPandas(visit(True), f"{qddl}, _cell int")), "knn-first")
+    kth = near.groupBy(*by, F.col(query_id).alias("_q")).agg(F.when(F.count("*") >= k, F.min("score")).otherwise(F.lit(-1.0)).alias("_k"))
+    if min_score is not None:
+        kth = kth.withColumn("_k", F.greatest("_k", F.lit(float(min_score))))
+    # a query without any hit so far knows no bound
+    same = [q[b].eqNullSafe(kth[b]) for b in by]
+    cond = q["_q"] == kth["_q"]
+    for x in same:
+        cond = cond & x
+    bounded = q.join(kth, cond, "left").select(*[q[x] for x in q.columns], F.coalesce(kth["_k"], F.lit(-1.0 if min_score is None else float(min_score))).alias("_k"))
+    more = search_cells(bounded.mapInPandas(visit(False), f"{qddl}, _cell int"))
+    both = near.unionByName(more).drop("rank")
+    return both.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
+def _block_search(by: list[str], query_id: str, corpus_id: str, k: int, min_score: float | None, exclude_self: bool, score):
+    """The k best rows of a block for each of its queries."""
 
     def search(left, right):
         import pandas as pd
@@ -185,9 +280,7 @@ def knn(queries: DataFrame, corpus: DataFrame, k: int, query_id: str, corpus_id:
             out[b] = left[b].iloc[0]
         return out[cols]
 
-    found = q.groupBy(*keys).cogroup(c.groupBy(*keys)).applyInPandas(search, f"{bt}`{query_id}` {qt}, `{corpus_id}` {ct}, score double")
-    w = Window.partitionBy(*by, query_id).orderBy(F.desc("score"), corpus_id)
-    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return search
 
 
 def similarity_pairs(df: DataFrame, id_col: str, vec: str, threshold: float, seed: int = 7) -> DataFrame:

@@ -122,6 +122,49 @@ def kb_records(spark: SparkSession, d: str) -> DataFrame:
     return p.select("item_id", "main_label", "description", F.element_at("labels", 1).alias("first_label"), F.size("en_aliases").alias("n_aliases"))
 
 
+@query("SELECT item_id, main_label FROM (SELECT DISTINCT item_id, CASE WHEN item_id % 10 = 3 THEN NULL ELSE 'item ' || item_id END AS main_label FROM kb_items)")
+def kb_fetched(spark: SparkSession, d: str) -> DataFrame:
+    """Reference items by a lookup handed in; some keys fail alone."""
+
+    def fetch(keys: list) -> list:
+        if any(k % 10 == 3 for k in keys):
+            raise OSError("no answer")
+        return ['{"entities": {"Q%d": {"labels": {"en": {"language": "en", "value": "item %d"}}}}}' % (k, k) for k in keys]
+
+    got = io.fetch_records(table(spark, d, "kb_items", "item_id"), "item_id", fetch)
+    return io.parse_kb(got, "item_id", "payload").select("item_id", "main_label")
+
+
+@query("SELECT item_id, m.model, CAST(m.dim AS INTEGER) AS dim, 1 AS n FROM kb_items, (SELECT 'a' AS model, 16 AS dim UNION ALL SELECT 'b', 24) m")
+def embeddings_resumed(spark: SparkSession, d: str) -> DataFrame:
+    """Texts embedded in parts; a second run embeds only what is missing, so nothing is there twice."""
+    from ..operators.vectors import hashed_embedding
+
+    path = _folder(spark, "resumed")
+    k = table(spark, d, "kb_items", "item_id", "main_label")
+    models = {"a": hashed_embedding(16), "b": hashed_embedding(24, 4)}
+    io.embed_resumed(k.where("item_id % 2 = 0"), "item_id", "main_label", models, path, 2)
+    all_ = io.embed_resumed(k, "item_id", "main_label", models, path)
+    return all_.groupBy("item_id", "model").agg(F.max(F.size("embedding")).alias("dim"), F.count("*").cast("int").alias("n"))
+
+
+@query("""WITH t AS (SELECT doc_id, string_split(lower(text), ' ')[1:8] AS w FROM documents WHERE text IS NOT NULL) SELECT doc_id, array_to_string(list_resize(w, 8, '<pad>'), ' ') AS tokens, CAST(len(w) AS INTEGER) AS real FROM t""")
+def padded_tokens(spark: SparkSession, d: str) -> DataFrame:
+    """The first tokens of texts brought to one length, with the number of real ones."""
+    t = table(spark, d, "documents", "doc_id", "text").where("text is not null").select("doc_id", F.split(F.lower("text"), " ").alias("w"))
+    c = t.select("doc_id", *X.collate("w", 8))
+    return c.select("doc_id", F.array_join("tokens", " ").alias("tokens"), F.aggregate("mask", F.lit(0), lambda a, m: a + m).alias("real"))
+
+
+@query("""SELECT n.n_nationkey AS id, v.form, CASE WHEN v.form = 3 THEN NULL ELSE c.code END AS code FROM nation n, (SELECT unnest([0, 1, 2, 3]) AS form) v LEFT JOIN (VALUES ('ALGERIA','DZA'),('ARGENTINA','ARG'),('BRAZIL','BRA'),('CANADA','CAN'),('EGYPT','EGY'),('ETHIOPIA','ETH'),('FRANCE','FRA'),('GERMANY','DEU'),('INDIA','IND'),
+('INDONESIA','IDN'),('IRAN','IRN'),('IRAQ','IRQ'),('JAPAN','JPN'),('JORDAN','JOR'),('KENYA','KEN'),('MOROCCO','MAR'),('MOZAMBIQUE','MOZ'),('PERU','PER'),('CHINA','CHN'),('ROMANIA','ROU'),('SAUDI ARABIA','SAU'),('VIETNAM','VNM'),('RUSSIA','RUS'),('UNITED KINGDOM','GBR'),('UNITED STATES','USA')) c(name, code) ON c.name = n.n_name""")
+def country_codes(spark: SparkSession, d: str) -> DataFrame:
+    """Typed countries -> three-letter codes: by name, by code, with a letter twice, and a word that is none."""
+    n = table(spark, d, "nation", "n_nationkey", "n_name").select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("name"))
+    typed = F.array(F.concat(F.lit(" "), F.lower("name")), X.country_code(F.col("name")), F.concat(F.substring("name", 1, 3), F.substring("name", 3, 40)), F.concat(F.lit("the people of "), "name"))
+    return n.select("id", F.posexplode(typed).alias("form", "typed")).select("id", "form", X.country_code("typed").alias("code"))
+
+
 @query("SELECT n_nationkey AS id, n_name AS key, 2020 + n_nationkey % 3 AS start_year, 3 AS end_month FROM nation")
 def event_periods(spark: SparkSession, d: str) -> DataFrame:
     """Configured events with their search period split into dates."""

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import text as X
 from ..operators import dedup, nested, reports
-from ..schemas import vocabulary_violations
+from ..schemas import EMOTIONS, VOCABULARY, vocabulary_violations
 from ..sources.tables import table
 
 QUERIES: dict = {}
@@ -176,10 +176,11 @@ def norm_text(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "positions", "position_id", "stakeholder").select("position_id", X.pad_empty(X.normalize_text("stakeholder")).alias("name"))
 
 
-@query("""SELECT DISTINCT lower(political_issue) AS issue FROM reports WHERE political_issue IS NOT NULL AND lower(political_issue) NOT IN (SELECT lower(political_issue) FROM reports WHERE is_about_event AND political_issue IS NOT NULL)""")
+@query("SELECT DISTINCT target_item_id AS item_id FROM df_max_views WHERE target_item_id IS NOT NULL EXCEPT SELECT item_id FROM kb_items")
 def set_difference(spark: SparkSession, d: str) -> DataFrame:
-    r = table(spark, d, "reports", "political_issue", "is_about_event").where("political_issue is not null").select(F.lower("political_issue").alias("issue"), "is_about_event")
-    return r.select("issue").subtract(r.where("is_about_event").select("issue"))
+    """Items that anchors point to and the reference list lacks."""
+    a = table(spark, d, "df_max_views", "target_item_id").where("target_item_id is not null").withColumnRenamed("target_item_id", "item_id")
+    return a.subtract(table(spark, d, "kb_items", "item_id"))
 
 
 @query("SELECT DISTINCT country_name FROM positions WHERE country_name IS NOT NULL AND country_name IN (SELECT main_label FROM kb_items)")
@@ -206,18 +207,19 @@ def json_props(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""SELECT field, value, count(*) AS n FROM (SELECT 'stance' AS field, stance AS value FROM positions WHERE stance NOT IN ('Pro','Con','Neutral')
 UNION ALL SELECT 'sentiment', sentiment FROM positions WHERE sentiment NOT IN ('Positive','Negative','Neutral')
-UNION ALL SELECT 'context', context FROM positions WHERE context NOT IN ('Geographic','Social','Political','Economic','Not provided')) GROUP BY ALL""")
+UNION ALL SELECT 'context', context FROM positions WHERE context NOT IN ('Geographic','Social','Political','Economic','Not provided')
+UNION ALL SELECT 'emotion', emotion FROM positions WHERE emotion NOT IN ('Anger','Fear','Joy','Sadness','Disgust','Surprise')) GROUP BY ALL""")
 def vocabulary_check(spark: SparkSession, d: str) -> DataFrame:
-    return vocabulary_violations(table(spark, d, "positions", "stance", "sentiment", "context"))
+    return vocabulary_violations(table(spark, d, "positions", "stance", "sentiment", "context", "emotion"), VOCABULARY | {"emotion": EMOTIONS})
 
 
 @query(r"""WITH s AS (SELECT id, trim("@timestamp") AS s FROM articles), e AS (SELECT id, s, regexp_full_match(s, '[0-9]{9,14}') AS d, TRY_CAST(s AS BIGINT) AS n FROM s)
-SELECT id, CASE WHEN d THEN 'epoch' WHEN s IS NULL THEN 'none' ELSE 'text' END AS notation, count(*) AS n, CAST(sum(CASE WHEN d THEN CASE WHEN n >= 100000000000 THEN n // 1000 ELSE n END ELSE 0 END) AS BIGINT) AS epoch FROM e GROUP BY ALL""")
+SELECT id, CASE WHEN d THEN 'epoch' WHEN s IS NULL THEN 'none' ELSE 'text' END AS notation, count(*) AS n, CAST(sum(CASE WHEN d THEN CASE WHEN n >= 100000000000 THEN n // 1000 ELSE n END WHEN s IS NULL THEN 0 ELSE coalesce(epoch(coalesce(TRY_CAST(s AS TIMESTAMP), try_strptime(s, ['%d.%m.%Y %H:%M', '%d.%m.%Y']))), 0) END) AS BIGINT) AS epoch FROM e GROUP BY ALL""")
 def timestamp_notations(spark: SparkSession, d: str) -> DataFrame:
     a = table(spark, d, "articles", "id", "@timestamp").select("id", F.trim("`@timestamp`").alias("s"), X.any_timestamp("`@timestamp`").alias("t"))
     digits = F.col("s").rlike(r"^[0-9]{9,14}$")
     kind = F.when(digits, "epoch").when(F.col("s").isNull(), "none").otherwise("text")
-    return a.groupBy("id", kind.alias("notation")).agg(F.count("*").alias("n"), F.sum(F.when(digits, F.unix_timestamp("t")).otherwise(0)).alias("epoch"))
+    return a.groupBy("id", kind.alias("notation")).agg(F.count("*").alias("n"), F.sum(F.coalesce(F.unix_timestamp("t"), F.lit(0))).alias("epoch"))
 
 
 @query(f"""WITH d AS (SELECT position, {_STRIP} AS s FROM positions WHERE len(targets) > 0 AND stakeholder IS NOT NULL AND trim(stakeholder) <> '' AND position IS NOT NULL),

@@ -341,7 +341,9 @@ def cleaned_positions(spark: SparkSession, d: str) -> DataFrame:
     return c.select("report_key", "pos_no", "stakeholder", "position", "country_code", F.to_json("targets").alias("targets"))
 
 
-@query()
+@query(r"""WITH p AS (SELECT id, coalesce(author, 'Journalist') || ' of ' || source AS author, 'title: ####' || coalesce(title, '') || '####' || chr(10) || 'summary: ####' || coalesce(summary, '') || '####' || chr(10) || 'body: ####' || coalesce(body, '') || '####' AS t FROM articles)
+SELECT id, author, true AS is_about_event, CAST(len(regexp_extract_all(t, '[A-Z][^.!?\n]{2,}? (?:rejected|criticised|praised|defended|demanded|questioned|endorsed) [^.!?\n]{3,}')) AS INTEGER) AS positions FROM p
+WHERE len(regexp_extract_all(t, '[A-Z][^.!?\n]{2,}? (?:rejected|criticised|praised|defended|demanded|questioned|endorsed) [^.!?\n]{3,}')) > 0""")
 def extracted_reports(spark: SparkSession, d: str) -> DataFrame:
     """Reports from articles by the offline extractor."""
     from ..operators.extract import reports_from_articles

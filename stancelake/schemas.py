@@ -38,6 +38,7 @@ VOCABULARY = {
     "sentiment": ("Positive", "Negative", "Neutral"),
     "context": ("Geographic", "Social", "Political", "Economic", "Not provided"),
 }
+EMOTIONS = ("Anger", "Fear", "Joy", "Sadness", "Disgust", "Surprise")  # asked for, not enforced
 STANCE_TYPES = ("Positive", "Negative", "Neutral")
 
 
@@ -87,9 +88,9 @@ def conforms(col: str, schema: dict) -> Column:
     return F.coalesce(ok, F.lit(False))
 
 
-def vocabulary_violations(positions: DataFrame) -> DataFrame:
+def vocabulary_violations(positions: DataFrame, vocabulary: dict[str, tuple[str, ...]] = VOCABULARY) -> DataFrame:
     """``(field, value, n)``: values outside the closed vocabularies; null values are no violation."""
-    parts = [F.struct(F.lit(f).alias("field"), F.col(f).alias("value"), (F.col(f).isNotNull() & ~F.col(f).isin(*vs)).alias("bad")) for f, vs in VOCABULARY.items()]
+    parts = [F.struct(F.lit(f).alias("field"), F.col(f).alias("value"), (F.col(f).isNotNull() & ~F.col(f).isin(*vs)).alias("bad")) for f, vs in vocabulary.items()]
     rows = positions.select(F.explode(F.array(*parts)).alias("x")).where("x.bad")
     return rows.groupBy(F.col("x.field").alias("field"), F.col("x.value").alias("value")).agg(F.count("*").alias("n"))
 

@@ -63,6 +63,50 @@ def parse_kb(raw: DataFrame, id_col: str, json_col: str, languages: tuple[str, .
         low(F.flatten(keep(F.col("e.aliases")))).alias("aliases"), low(F.coalesce(F.col("e.aliases")["en"], F.array().cast(T.ArrayType(value)))).alias("en_aliases"))
 
 
+def fetch_records(keys: DataFrame, key: str, fetch: Callable[[list], list[str | None]], batch: int = 50) -> DataFrame:
+    """``(key, payload)`` of distinct keys by a lookup handed in, which answers a list of keys with a list of texts.
+
+    A batch that fails is asked key by key; keys that fail alone have a null payload.  The service is
+    called from the partitions, never from the driver.
+    """
+    kind = keys.schema[key].dataType.simpleString()
+
+    def one(k) -> str | None:
+        try:
+            return fetch([k])[0]
+        except Exception:
+            return None
+
+    def run(batches):
+        for pdf in batches:
+            for a in range(0, len(pdf), batch):
+                part = pdf.iloc[a : a + batch]
+                asked = part[key].tolist()
+                try:
+                    got = list(fetch(asked))
+                except Exception:
+                    got = [one(k) for k in asked]
+                yield part.assign(payload=got)
+
+    return keys.where(F.col(key).isNotNull()).select(key).distinct().mapInPandas(run, f"`{key}` {kind}, payload string")
+
+
+def embed_resumed(df: DataFrame, id_col: str, text: str, models: dict, path: str, parts: int = 1) -> DataFrame:
+    """``(id, model, embedding)`` kept at ``path``: only rows not embedded yet are sent to the models, in ``parts`` appended one by one.
+
+    What a broken run had finished is not asked for again.
+    """
+    from ..operators.vectors import embed
+
+    spark = df.sparkSession
+    for i in range(parts):
+        todo = df.select(id_col, text).where(F.pmod(F.xxhash64(id_col), F.lit(parts)) == i)  # one part after the other, all of them
+        if exists(spark, path):
+            todo = todo.join(spark.read.parquet(path).select(id_col).distinct(), id_col, "left_anti")
+        append_results(embed(todo, text, models).select(id_col, "model", "embedding"), path)
+    return spark.read.parquet(path)
+
+
 def read_config(path: str) -> dict:
     """Driver-side configuration (JSON; YAML where a YAML reader is installed)."""
     text = Path(path).read_text()

@@ -92,3 +92,31 @@ def test_normalize(spark):
     df = spark.createDataFrame([([3.0, 4.0],), ([0.0, 0.0],), (None,)], "v array<float>")
     assert [r.n for r in df.select(vectors.normalize("v").alias("n")).collect()] == [[0.6, 0.8], None, None]
     assert df.limit(1).select(F.round(vectors.cosine("v", "v"), 9).alias("c")).first().c == 1.0
+
+
+def test_knn_visits_only_cells_in_reach_and_stays_exact(spark):
+    r = np.random.default_rng(5)
+    centre = r.standard_normal((6, 8)) * 4
+    rows = []
+    for m in ("a", "b"):
+        x = centre[r.integers(0, 6, 150)] + 0.3 * r.standard_normal((150, 8))
+        x[:20] = x[0]  # copies of one vector
+        rows += [(m, i, [float(v) for v in y], "clash") for i, y in enumerate(x)]
+    rows += [("a", 900, [1.0, 2.0], "short"), ("a", 901, [2.0, 1.0], "short"), ("a", 902, None, "none"), ("b", 903, [0.0] * 8, "zero")]
+    c = spark.createDataFrame(rows, "model string, c long, v array<double>, score string")
+    q = c.withColumnRenamed("c", "q")
+    for least in (None, 0.95):
+        got = {}
+        for x in vectors.knn(q, c, 4, "q", "c", "v", by=["model"], block_rows=40, exclude_self=True, min_score=least).collect():
+            got.setdefault((x.model, x.q), []).append((x["rank"], x.c))
+        for m, i, v, _ in rows:
+            if v is None or not any(v):
+                assert (m, i) not in got
+                continue
+            u = np.asarray(v) / np.linalg.norm(v)
+            s = [(-round(float(u @ np.asarray(w) / np.linalg.norm(w)), 12), j) for n, j, w, _ in rows if n == m and j != i and w is not None and any(w) and len(w) == len(v)]
+            want = [j for t, j in sorted(s) if least is None or -t >= least][:4]
+            mine = [j for _, j in sorted(got.get((m, i), []))]
+            # rounding in the last place may order equally similar copies either way
+            near = dict((j, t) for t, j in s)
+            assert len(mine) == len(want) and all(abs(near[a] - near[b]) < 1e-9 for a, b in zip(mine, want))
