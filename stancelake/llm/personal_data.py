@@ -49,7 +49,7 @@ PHONE = re.compile(
     rf"|(?<![\w/\-])0\d{{2,4}}[/ \xa0\-]\d{{3}}(?:[ \xa0\-]?\d{{2}}){{2}}(?![\w/\-])"
     rf"|(?<![\w/\-])\+\d{{9,14}}(?!\w)")
 SPOKEN = re.compile(rf"\b(?:{'|'.join(_DIGIT_WORDS)})(?:[ \xa0\-](?:{'|'.join(_DIGIT_WORDS)})){{6,}}\b", re.I)
-_SPOKEN_SIGN = re.compile(rf"(?:{'|'.join(_DIGIT_WORDS)})[ \xa0\-](?:{'|'.join(_DIGIT_WORDS)})[ \xa0\-](?:{'|'.join(_DIGIT_WORDS)})", re.I)
+_SPOKEN_SIGN = re.compile(rf"(?:{'|'.join(_DIGIT_WORDS)})[ \xa0\-](?:{'|'.join(_DIGIT_WORDS)})[ \xa0\-](?:{'|'.join(_DIGIT_WORDS)})")  # of the lower-cased text
 # Words that make a name the name of a street.
 _EN = "Street|Avenue|Lane|Road|Drive|Close|Boulevard|Terrace|Square|Way|Court|Crescent|St\\.?|Rd\\.?|Ave\\.?|Ln\\.?|Blvd\\.?"
 _FR = "rue|avenue|place|boulevard|chemin|impasse|quai|allée|cours"
@@ -125,7 +125,7 @@ def form_spans(text: str, shapes: dict[str, str] | None = None) -> list[tuple[in
         if kind == "ID_NUMBER" or caption == "ID_NUMBER":
             add(a, b, "ID_NUMBER")
     for kind, sign, pattern in FORMS:
-        if sign.search(text):
+        if sign.search(text.lower() if sign is _SPOKEN_SIGN else text):
             for m in pattern.finditer(text):
                 add(*m.span(), kind)
     for a, b, kind, caption in found:
