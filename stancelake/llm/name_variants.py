@@ -15,7 +15,7 @@ from collections.abc import Iterable, Iterator
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..session import materialize
-from .names import KIND, PLACE, STOPS, TITLE, Form, Roles, Tokens, form, full_names, read
+from .names import KIND, PLACE, STOPS, TITLE, Roles, Tokens, form, full_names, is_code, read
 from .trie_join import trie_join
 
 
@@ -97,7 +97,8 @@ def learn_roles(rows: DataFrame, typed: DataFrame) -> Roles:
         stem = s if stem is None else stem.unionByName(s)
     land = stem.distinct().join(deg.where("body_partners >= 2"), "t").select("t").toPandas()
     countries = frozenset(land["t"]) - frozenset(given["t"])
-    return Roles(frozenset(given["t"]) - frozenset(f["t"]), frozenset(f["t"]) - countries, countries)
+    fields = frozenset(f["t"]) - countries
+    return Roles(frozenset(t for t in given["t"] if t not in fields and not is_code(t, fields)), fields, countries)
 
 
 def name_forms(rows: DataFrame, roles: Roles) -> DataFrame:

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Iterable
 from dataclasses import dataclass, field
 from functools import cache, cached_property
 
@@ -180,6 +181,17 @@ def country_of(t: str, roles: Roles) -> str | None:
     return None
 
 
+_FIRST = frozenset(k[0] for k in KIND)
+
+
+def is_code(t: str, fields: Iterable[str]) -> bool:
+    """A folded token made of a kind's first letter and the beginning of a field ("sjust" for a society of justice)."""
+    if t[:1] not in _FIRST or len(t) < 4:
+        return False
+    # folding drops h and runs equal letters together
+    return any(f.startswith(t) or len(t) >= 4 and f.replace("h", "").startswith(t[1:]) for f in fields)
+
+
 def form(tokens: Tokens, roles: Roles) -> Form:
     """The form of a name; see the module's text."""
     tok, comma = list(tokens.tok), tokens.comma

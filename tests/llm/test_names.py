@@ -105,3 +105,24 @@ def test_ambiguous_in_a_long_list(spark):
     k = spark.createDataFrame([(i, n, None, None, None, None) for i, n in kb], "item_id long, main_label string, labels array<string>, aliases array<string>, en_aliases array<string>, description string")
     df = spark.createDataFrame([("minister robert lindqvist",), ("minister robert lindqvest",)], "value string")
     assert {r.value: r.item_id for r in map_values(df, k, "value").collect()} == {"minister robert lindqvist": -1, "minister robert lindqvest": 20_000}
+
+
+def test_codes_and_cut_kinds():
+    from stancelake.llm.names import Roles, form, is_code, read, sound
+
+    fields = frozenset(map(sound, ["health", "water", "interior", "justice", "trade"]))
+    assert all(is_code(sound(x), fields) for x in ("aheal", "swate", "iinte", "sjust", "ctrad")) and not any(is_code(sound(x), fields) for x in ("sana", "walter", "anna", "irina", "tom"))
+    r = Roles(frozenset(map(sound, ["jacob", "irina", "walter"])), fields)
+    assert form(read("jcob bizizilalini"), r) == form(read("bizizilalini, jacob"), r)
+    assert form(read("leag. of bakers, gragritigruholm"), Roles(fields=frozenset({"bakers"}))) == form(read("gragritigruholm bakers league"), Roles(fields=frozenset({"bakers"})))
+    assert form(read("rorimutimere association of waatrr"), r) == form(read("association of water of rorimutimere"), r)
+    assert form(read("dalyarian society of hetlh"), r).b == form(read("society of health of dalyaria"), r).b
+
+
+def test_frequent_family_names_are_no_given_names(spark):
+    given = ["Walter", "Anna", "Jacob", "Irina", "Robert", "Samuel"]
+    rows = [f"{g} {f}" for i, g in enumerate(given) for f in [f"Kobra{x}sen" for x in ("li", "mu", "te", "vo", "za", "pe")]]
+    hot = ["Walter Dabosefocu", "Dabosefocu, Walter", "W. Dabosefocu", "Watler Dabosefocu", "Dabosefocu Walter", "Wal. Dabosefocu", "Walt Dabosefocu", "Dr Walter R. Dabosefocu"]
+    df = spark.createDataFrame([(x,) for x in rows + hot], "n string")
+    e = {r.name: r.entity for r in name_variants(df, "n").collect()}
+    assert len({e[x.lower()] for x in hot}) == 1 and len({e[x.lower()] for x in rows}) == len(rows)
