@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..operators.graph import connected_components
-from ..session import materialize
+from ..session import materialize, release
 
 WORD = r"[\p{L}\p{N}]+"
 #: A word is common, and no coordinate, if more than this share of the wordings use it; the share counts PRIOR wordings more.
@@ -96,13 +96,14 @@ def grid(texts: DataFrame, total: int) -> tuple[DataFrame, DataFrame]:
 
 
 def dense_cells(coords: DataFrame, total: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """``held (wid, a, b, cell, c)``, ``lone (wid, a, na, b)`` and ``cells (cell, a, na, b, c)``.
+    """``held (wid, a, b, cell, c)``, ``lone (wid, a, na, b)`` and ``cells (cell, a, na, b, c)``; ``coords`` is read to the end and released.
 
     ``cells`` are the dense ones.  A wording is held by the dense cells of its principal name, the one
     that its cells fill most; wordings without any are lone.
     """
     each = coords.select("wid", F.explode("names").alias("x"), "pairs").select("wid", F.col("x.a").alias("a"), F.col("x.na").alias("na"), F.explode("pairs").alias("b"))
-    each = materialize(each.withColumn("cell", F.xxhash64("a", "b")), "demand-grid")
+    stored = materialize(each, "demand-grid")
+    each = stored.withColumn("cell", F.xxhash64("a", "b"))
     often = coords.select(F.explode("pairs").alias("b")).groupBy("b").agg(F.count("*").alias("nb")).where("nb > 1")
     count = each.groupBy("cell", "a", "b").agg(F.count("*").alias("c"), F.first("na").alias("na")).where("c > 1").join(often, "b")
     outside = (F.col("nb") - F.col("c") + COMMON * 10) / (F.greatest(F.lit(total) - F.col("na"), F.lit(0)) + 10)
@@ -111,6 +112,7 @@ def dense_cells(coords: DataFrame, total: int) -> tuple[DataFrame, DataFrame, Da
     per = full.groupBy("wid", "a", "na").agg(F.max(F.coalesce("c", F.lit(1))).alias("top"), F.collect_list(F.struct("b", "cell", "c")).alias("own"))
     main = per.groupBy("wid").agg(F.max_by(F.struct("a", "na", "own"), F.struct(F.col("top") / F.col("na"), "top", "a")).alias("m"))
     main = materialize(main.select("wid", "m.a", "m.na", F.filter("m.own", lambda x: x["c"].isNotNull()).alias("dense"), "m.own"), "demand-main")
+    release(stored, coords)
     held = main.select("wid", "a", F.explode("dense").alias("x")).select("wid", "a", "x.b", "x.cell", "x.c")
     lone = main.where("size(dense) = 0").select("wid", "a", "na", F.explode("own").alias("x")).select("wid", "a", "na", "x.b")
     return held, lone, cells
