@@ -1,12 +1,14 @@
 """Near-duplicate texts: exact set-similarity join by T-occurrence search (DivideSkip).
 
 A text is the set of its word runs (shingles); every shingle has an inverted list.
-Two sets of Jaccard similarity t or more share at least ``T = ceil(t * n)``
-shingles, n being the size of either.  DivideSkip sets the L longest lists of a text
-aside, L = T / (mu * ln(longest list) + 1); a partner must then occur in at least
-``T - L`` of its short lists.  The short lists are merged inside token groups: their
-sorted runs fall into one order and equal entries are counted, the counts of a pair
-are added up over the groups, and pairs short of ``T - L`` end there.  The rest is
+Two sets of m and n shingles and Jaccard similarity t or more share at least
+``T = ceil(t / (1 + t) * (m + n))``.  DivideSkip sets the L longest lists of a text
+aside, L = ceil(t * n) / (mu * ln(longest list) + 1), and leaves ``need`` of them; a
+pair must then meet ``need`` times among the ``n - T + need`` shortest lists of either.
+That stretch depends on both sizes: half of the lists for the smallest partner, a third
+for one of the same size, so an entry meets only partners whose size leaves its place in
+the order inside.  The short lists are merged inside token groups, the counts of a pair
+are added up over the groups, and pairs short of ``need`` end there.  The rest is
 probed in the long lists by binary search.  A parity bitmap of each set, which bounds
 the overlap from above without error, keeps hopeless pairs inside their group.
 Nothing is sampled or capped: the order of the lists decides only how much work there
@@ -27,9 +29,13 @@ from ..session import materialize
 #: Entries of the broadcast table of the most frequent shingles (16 bytes each).  Any order of the
 #: lists is exact, so shingles outside the table are simply taken as rare.
 FREQUENT = 200_000
-#: Postings and pairs of postings that one token group aims at, pairs counted at a time, and the length beyond which a list is split among groups.
-GROUP_POSTINGS, GROUP_PAIRS, CHUNK_PAIRS = 400_000, 200_000_000, 500_000
-LONG_LIST = 4_096
+#: Postings and pairs of postings that one token group aims at, pairs compared at a time, and the length beyond which a list is split among groups.
+GROUP_POSTINGS, GROUP_PAIRS, CHUNK_PAIRS = 400_000, 400_000_000, 32_768
+LONG_LIST = 32_768
+#: Partners in one list from which on an entry is compared with them as a block; texts that the number of groups is reckoned from.
+BLOCK, SAMPLE = 256, 2_000
+#: Words of a bitmap that are compared at once.
+WORDS = 8
 #: DivideSkip's weight of the merge against the probes (a fixed value of the method).
 MU = 0.0085
 WORD_RUN = r"[\p{L}\p{N}]+"
@@ -58,13 +64,11 @@ def similar_pairs(sets: DataFrame, threshold: float) -> DataFrame:
     stats = sets.agg(F.count("*").alias("docs"), F.sum("n").alias("n"), F.percentile_approx("n", 0.9).alias("p90")).first()
     total = stats["n"] or 0
     bits = int(np.clip(2 ** math.ceil(math.log2(max(3 * (stats["p90"] or 1), 2))), 512, 8192))
-    groups = max(8, math.ceil(total * (1 - threshold) / GROUP_POSTINGS))
     lists = sets.select(F.explode("sh").alias("s")).groupBy("s").agg(F.count("*").alias("df")).where("df > 2")
     common = lists.orderBy(F.desc("df"), "s").limit(FREQUENT).toPandas()  # at most FREQUENT rows
     common = common.sort_values("s")
     df = common["df"].to_numpy(np.int64)
-    # pairs of postings that meet if every list is short, an upper bound of the merge's work
-    groups = max(groups, math.ceil(float((np.minimum(df, LONG_LIST) * df / 2).sum()) * (1 - threshold) / GROUP_PAIRS))
+    groups = _groups(sets, stats["docs"], total, threshold, common["s"].to_numpy(np.int64), df)
     held = spark.sparkContext.broadcast((common["s"].to_numpy(np.int64), df))
     routed = sets.mapInArrow(_router(held, threshold, bits, groups), _ROUTED)
     part = routed.groupBy("g").applyInArrow(_merger(threshold), "key_a string, key_b string, need int, c int")
@@ -75,7 +79,19 @@ def similar_pairs(sets: DataFrame, threshold: float) -> DataFrame:
     a = some.select(F.col("key").alias("key_a"), F.col("sh").alias("sh_a"))
     b = some.select(F.col("key").alias("key_b"), F.col("sh").alias("sh_b"))
     met = cand.join(a, "key_a").join(b, "key_b")
-    return met.select("key_a", "key_b", "c", "sh_a", "sh_b").mapInArrow(_prober(held, threshold), "key_a string, key_b string, shared int, similarity double")
+    return met.select("key_a", "key_b", "need", "c", "sh_a", "sh_b").mapInArrow(_prober(held, threshold), "key_a string, key_b string, shared int, similarity double")
+
+
+def _groups(sets: DataFrame, docs: int, total: int, t: float, known: np.ndarray, df: np.ndarray) -> int:
+    """How many token groups keep the postings and the pairs of one group near their aims, reckoned from some texts; results don't depend on it."""
+    share = min(1.0, SAMPLE / max(docs, 1))
+    some = sets.where(F.conv(F.substring("key", 1, 8), 16, 10).cast("double") < share * 2.0**32).select("sh").toPandas()["sh"]
+    pairs = 0.0
+    for x in some:
+        f = np.sort(_lengths(known, df, np.asarray(x)))
+        short = int(divide(np.array([len(f)]), f[-1:], t)[0][0])
+        pairs += float(f[:short].sum()) / 4  # about half of a list's entries are short ones, and each pair is met from one side
+    return max(8, math.ceil(total * (1 - t) / GROUP_POSTINGS), math.ceil(pairs / share / GROUP_PAIRS))
 
 
 def divide(n: np.ndarray, longest: np.ndarray, t: float) -> tuple[np.ndarray, np.ndarray]:
@@ -85,6 +101,11 @@ def divide(n: np.ndarray, longest: np.ndarray, t: float) -> tuple[np.ndarray, np
     return n - aside, need - aside
 
 
+def least_shared(m: np.ndarray, n: np.ndarray, t: float) -> np.ndarray:
+    """T of two sets of ``m`` and ``n`` shingles."""
+    return np.ceil((m + n) * (t / (1 + t)) - 1e-9).astype(np.int64)
+
+
 def _lengths(known: np.ndarray, df: np.ndarray, x: np.ndarray) -> np.ndarray:
     """Lengths of the lists of the shingles ``x``; those outside the table count as 0."""
     if not len(known):
@@ -120,18 +141,18 @@ def bitmap(sh: np.ndarray, bits: int) -> np.ndarray:
     return bitmaps(sh, np.zeros(len(sh), np.int64), 1, bits)[0]
 
 
-_ROUTED = "g int, keys binary, n binary, need binary, images binary, tok binary, doc binary, role binary"
+_ROUTED = "g int, keys binary, n binary, need binary, images binary, tok binary, doc binary, pos binary, role binary"
 
 
 def _router(held, t: float, bits: int, groups: int):
-    """One message a batch and token group: its texts (key, size, need, bitmap) and its postings (list, text, role)."""
+    """One message a batch and token group: its texts (key, size, need, bitmap) and its postings (list, text, place in the text's order, role)."""
 
     def run(batches: Iterable) -> Iterator:
         import pyarrow as pa
 
         known, df = held.value
         for batch in batches:
-            keys = np.frombuffer("".join(batch["key"].to_pylist()).encode(), "S32") if len(batch) else np.empty(0, "S32")
+            keys = np.frombuffer(bytes.fromhex("".join(batch["key"].to_pylist())), ">u8").reshape(-1, 2)
             col = batch["sh"]
             x = np.asarray(col.flatten())
             n = np.diff(np.asarray(col.offsets)).astype(np.int64)
@@ -141,30 +162,33 @@ def _router(held, t: float, bits: int, groups: int):
             o = np.lexsort((x, f, doc))
             first = np.cumsum(n) - n
             short, need = divide(n, f[o][first + n - 1], t)  # the longest list comes last
-            o = o[np.arange(len(x)) - np.repeat(first, n) < np.repeat(short, n)]
+            place = np.arange(len(x)) - np.repeat(first, n)
+            ok = place < np.repeat(short, n)
+            o, place = o[ok], place[ok].astype(np.int32)
             tok, d, f = x[o], doc[o], f[o]
             role = np.zeros(len(tok), np.uint8)
             c = -(-f // LONG_LIST)
             if (c > 1).any():  # a long list is cut into chunks of texts, and every two chunks meet in one list
                 split = np.flatnonzero(c > 1)
                 k = c[split]
-                own = np.array([int(y[:12], 16) for y in keys], np.int64)[d[split]] % k
+                own = (keys[:, 0] >> np.uint64(16)).astype(np.int64)[d[split]] % k
                 row, mine = np.repeat(split, k), np.repeat(own, k)
                 j = np.arange(len(row)) - np.repeat(np.cumsum(k) - k, k)
                 pair = np.minimum(j, mine) * np.repeat(k, k) + np.maximum(j, mine)
                 some = _mix(tok[row], 3).view(np.int64) ^ _mix(pair, 5).view(np.int64)
                 rest = np.flatnonzero(c <= 1)
+                place = np.concatenate([place[rest], place[row]])
                 tok, d, role = np.concatenate([tok[rest], some]), np.concatenate([d[rest], d[row]]), np.concatenate([role[rest], np.where(j == mine, 0, np.where(mine < j, 1, 2)).astype(np.uint8)])
             g = (_mix(tok, 7) % np.uint64(groups)).astype(np.int64)
             o = np.lexsort((d, g))
-            g, tok, d, role = g[o], tok[o], d[o], role[o]
+            g, tok, d, place, role = g[o], tok[o], d[o], place[o], role[o]
             cut = np.flatnonzero(np.append(True, g[1:] != g[:-1])) if len(g) else np.empty(0, np.int64)
             rows: list[tuple] = []
             for a, b in zip(cut, np.append(cut[1:], len(g))):
                 who, local = np.unique(d[a:b], return_inverse=True)
-                rows.append((int(g[a]), keys[who].tobytes(), n[who].astype(np.int32).tobytes(), need[who].astype(np.int32).tobytes(), images[who].tobytes(), tok[a:b].tobytes(), local.astype(np.int32).tobytes(), role[a:b].tobytes()))
-            cols = list(zip(*rows)) or [()] * 8
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *[pa.array(v, pa.binary()) for v in cols[1:]]], names=["g", "keys", "n", "need", "images", "tok", "doc", "role"])
+                rows.append((int(g[a]), keys[who].tobytes(), n[who].astype(np.int32).tobytes(), need[who].astype(np.int32).tobytes(), images[who].tobytes(), tok[a:b].tobytes(), local.astype(np.int32).tobytes(), place[a:b].tobytes(), role[a:b].tobytes()))
+            cols = list(zip(*rows)) or [()] * 9
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *[pa.array(v, pa.binary()) for v in cols[1:]]], names=["g", "keys", "n", "need", "images", "tok", "doc", "pos", "role"])
 
     return run
 
@@ -178,39 +202,66 @@ def _merger(t: float):
         def column(name: str, kind) -> np.ndarray:
             return np.frombuffer(b"".join(table[name].to_pylist()), kind)
 
-        keys, n, need, tok, role = column("keys", "S32"), column("n", np.int32).astype(np.int64), column("need", np.int32), column("tok", np.int64), column("role", np.uint8)
+        keys, n, need = column("keys", ">u8").astype(np.uint64).reshape(-1, 2), column("n", np.int32).astype(np.int64), column("need", np.int32).astype(np.int64)
+        tok, pos, role = column("tok", np.int64), column("pos", np.int32).astype(np.int64), column("role", np.uint8)
         many_docs = [len(x) // 4 for x in table["n"].to_pylist()]
         doc = np.concatenate([np.frombuffer(x, np.int32).astype(np.int64) + a for x, a in zip(table["doc"].to_pylist(), np.cumsum([0, *many_docs]))])
-        image = column("images", np.uint64).reshape(len(keys), -1)
+        image = column("images", np.uint64).reshape(len(keys), -1, WORDS)
         # texts by size: of a list, only the stretch of fitting sizes before an entry can hold a partner
-        o = np.lexsort((keys, n))
+        o = np.lexsort((keys[:, 1], keys[:, 0], n))
         place = np.empty(len(o), np.int64)
         place[o] = np.arange(len(o))
         keys, n, need, image, doc = keys[o], n[o], need[o], image[o], place[doc]
-        layers = np.ascontiguousarray(image.T)  # one word of every bitmap after the other
-        half = max(len(layers) // 2, 1)
+        share = (1 - t) / (1 + t)
 
-        def apart(x: np.ndarray, y: np.ndarray, words: np.ndarray) -> np.ndarray:
-            far = np.zeros(len(x), np.int32)
-            for w in words:
-                far += np.bitwise_count(w[x] ^ w[y])
-            return far
+        def apart(d: np.ndarray) -> np.ndarray:
+            """Bits set in each row of WORDS words: their counts are bytes of one word, added up in four lanes of 16 bits."""
+            v = np.bitwise_count(d).view(np.uint64).ravel()
+            v = (v & np.uint64(0x00FF00FF00FF00FF)) + ((v >> np.uint64(8)) & np.uint64(0x00FF00FF00FF00FF))
+            return (v * np.uint64(0x0001000100010001)) >> np.uint64(48)
 
         o = np.lexsort((doc, tok))  # every list is a run of ascending texts
-        tok, doc, role = tok[o], doc[o], role[o]
+        tok, doc, pos, role = tok[o], doc[o], pos[o], role[o]
         cut = np.flatnonzero(np.append(True, tok[1:] != tok[:-1]))
         begin = np.repeat(cut, np.diff(np.append(cut, len(tok))))
-        # first entry of the list that is large enough for each entry, by one binary search over (list, size)
         size = n[doc]
+        # entries whose place is inside for a partner of their size or more; each entry meets those before it whose size leaves its own place inside
+        held = np.flatnonzero(pos < size - least_shared(size, size, t) + need[doc])
+        before = np.cumsum(np.bincount(held, minlength=len(tok))) - np.bincount(held, minlength=len(tok))
+        most = np.floor((size - pos + need[doc] - 1 + 1e-6) * ((1 + t) / t)).astype(np.int64) - size
         least = np.ceil(t * size - 1e-9).astype(np.int64)
-        wide = int(size.max()) + 1
-        rank = np.searchsorted(begin * wide + size, begin * wide + least)
-        many = np.arange(len(tok)) - rank
-        share = (1 - t) / (1 + t)
+        wide = int(size.max()) + 2
+        order = (begin * wide + size)[held]
+        rank = np.searchsorted(order, begin * wide + least)
+        many = np.maximum(np.minimum(before, np.searchsorted(order, begin * wide + np.clip(most, 0, size), "right")) - rank, 0)
+        near = image[doc[held], 0]
+        large = n[doc[held]] * share + 1e-6
         found: list[np.ndarray] = []
-        # one text after the other: its lists are merged, entries whose bitmaps are too far apart fall out, the rest is counted
-        by = np.argsort(doc, kind="stable")
-        by = by[many[by] > 0]
+
+        def keep(x: np.ndarray, y: np.ndarray, far: np.ndarray) -> None:
+            """Of entries whose first words fit: roles, places, the rest of the bitmaps."""
+            r = role[x] + role[y]
+            i, j = doc[x], doc[y]
+            ok = ((r == 0) | (r == 3)) & (i != j)
+            short = np.minimum(need[i], need[j]) - least_shared(n[i], n[j], t)
+            ok &= (pos[x] < n[i] + short) & (pos[y] < n[j] + short)
+            i, j, far = i[ok], j[ok], far[ok]
+            for w in range(1, image.shape[1]):
+                far = far + apart(image[i, w] ^ image[j, w])
+                ok = far <= (n[i] + n[j]) * share + 1e-6
+                i, j, far = i[ok], j[ok], far[ok]
+            found.append(i * len(keys) + j)
+
+        # entries with many partners: a block of neighbours in memory each
+        for x in np.flatnonzero(many >= BLOCK):
+            for a in range(rank[x], rank[x] + many[x], CHUNK_PAIRS):
+                b = min(a + CHUNK_PAIRS, rank[x] + many[x])
+                far = apart(near[a:b] ^ image[doc[x], 0])
+                y = np.flatnonzero(far <= large[a:b] + size[x] * share)
+                if len(y):
+                    keep(np.full(len(y), x), held[y + a], far[y])
+        # the others together
+        by = np.flatnonzero((many > 0) & (many < BLOCK))
         work = np.cumsum(many[by])
         a = 0
         while a < len(by):
@@ -219,23 +270,16 @@ def _merger(t: float):
             k = many[p]
             x = np.repeat(p, k)
             y = np.arange(len(x)) - np.repeat(np.cumsum(k) - k, k) + np.repeat(rank[p], k)
-            r = role[x]
-            if r.any() or role[y].any():
-                q = role[y]
-                ok = (r == q) & (r == 0) | (r + q == 3)
-                x, y = x[ok], y[ok]
-            x, y = doc[x], doc[y]
-            most = (n[x] + n[y]) * share + 1e-9
-            far = apart(x, y, layers[:half])
-            ok = (far <= most) & (x != y)
-            x, y, far, most = x[ok], y[ok], far[ok], most[ok]
-            ok = far + apart(x, y, layers[half:]) <= most
-            found.append(x[ok] * len(keys) + y[ok])
+            far = apart(np.repeat(image[doc[p], 0], k, axis=0) ^ near[y])
+            ok = far <= large[y] + size[x] * share
+            keep(x[ok], held[y[ok]], far[ok])
             a = b
         pair, c = np.unique(np.concatenate(found), return_counts=True) if found else (np.empty(0, np.int64), np.empty(0, np.int64))
         x, y = pair // max(len(keys), 1), pair % max(len(keys), 1)
-        first, second = np.where(keys[x] > keys[y], keys[y], keys[x]), np.where(keys[x] > keys[y], keys[x], keys[y])
-        return pa.table({"key_a": pa.array(first.astype(str).tolist(), pa.string()), "key_b": pa.array(second.astype(str).tolist(), pa.string()), "need": pa.array(np.minimum(need[x], need[y]), pa.int32()), "c": pa.array(c, pa.int32())})
+        turn = (keys[x, 0] > keys[y, 0]) | (keys[x, 0] == keys[y, 0]) & (keys[x, 1] > keys[y, 1])
+        first, second = np.where(turn, y, x), np.where(turn, x, y)
+        text = lambda at: pa.array([keys[i].astype(">u8").tobytes().hex() for i in at], pa.string())
+        return pa.table({"key_a": text(first), "key_b": text(second), "need": pa.array(np.minimum(need[x], need[y]), pa.int32()), "c": pa.array(c, pa.int32())})
 
     return run
 
@@ -248,11 +292,8 @@ def _prober(held, t: float):
 
         known, df = held.value
 
-        def sides(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            f = _lengths(known, df, x)
-            o = np.lexsort((x, f))
-            short = int(divide(np.array([len(x)]), f[o[-1:]], t)[0][0])
-            return o[:short], o[short:]
+        def rarest(x: np.ndarray) -> np.ndarray:
+            return x[np.lexsort((x, _lengths(known, df, x)))]
 
         def within(x: np.ndarray, y: np.ndarray) -> int:
             at = np.minimum(np.searchsorted(y, x), len(y) - 1)
@@ -260,11 +301,12 @@ def _prober(held, t: float):
 
         for batch in batches:
             shared, sim = [], []
-            for c, x, y in zip(batch["c"].to_pylist(), batch["sh_a"], batch["sh_b"]):
+            for need, c, x, y in zip(batch["need"].to_pylist(), batch["c"].to_pylist(), batch["sh_a"], batch["sh_b"]):
                 x, y = np.asarray(x.values), np.asarray(y.values)
-                (xs, xl), (_, yl) = sides(x), sides(y)
+                short = need - int(least_shared(len(x), len(y), t))
+                xo, yo = rarest(x), rarest(y)
                 # the merge counted short with short; the long lists of one side are probed in all of the other, those of the other in the short ones
-                both = c + within(x[xl], y) + within(y[yl], np.sort(x[xs]))
+                both = c + within(xo[len(x) + short :], y) + within(yo[len(y) + short :], np.sort(xo[: len(x) + short]))
                 shared.append(both)
                 sim.append(both / (len(x) + len(y) - both))
             ok = np.array(sim) >= t - 1e-12 if sim else np.empty(0, bool)

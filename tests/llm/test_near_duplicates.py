@@ -78,3 +78,29 @@ def test_bitmaps_bound_the_difference():
         y = np.unique(np.concatenate([x[: r.integers(0, 150)], r.integers(-(2**62), 2**62, 60)]))
         far = int(np.bitwise_count(nd.bitmap(x, 1024) ^ nd.bitmap(y, 1024)).sum())
         assert far <= len(np.setxor1d(x, y))
+
+
+def test_the_merge_meets_partners_of_fitting_sizes_only(monkeypatch):
+    import collections
+    import types
+
+    import pyarrow as pa
+
+    r = random.Random(3)
+    phrases = [r.sample(range(10**6), 6) for _ in range(60)]  # shingles of phrases that all texts are made of
+    sets = [sorted({x for p in r.sample(phrases, r.choice([10, 11, 12, 13])) for x in p} | set(r.sample(range(10**7, 2 * 10**7), 25))) for _ in range(600)]
+    sets += [sorted(set(s[r.randrange(1, 20) :]) | {10**8 + i}) for i, s in enumerate(sets[:40])]
+    df = collections.Counter(x for s in sets for x in s)
+    known = np.array(sorted(x for x in df if df[x] > 2))
+    lengths = np.array([df[x] for x in known.tolist()])
+    batch = pa.RecordBatch.from_arrays([pa.array([f"{i:032x}" for i in range(len(sets))]), pa.array(sets, pa.list_(pa.int64()))], names=["key", "sh"])
+    routed = pa.Table.from_batches(nd._router(types.SimpleNamespace(value=(known, lengths)), 0.5, 512, 1)([batch]))
+    # pairs that meet anywhere in the short lists of both
+    tok = np.frombuffer(routed["tok"][0].as_py(), np.int64)
+    met = sum(k * (k - 1) // 2 for k in collections.Counter(tok.tolist()).values())
+    compared, count = [], np.bitwise_count
+    monkeypatch.setattr(np, "bitwise_count", lambda x: compared.append(x.size) or count(x))
+    got = {(int(p["key_a"], 16), int(p["key_b"], 16)) for p in nd._merger(0.5)(routed).to_pylist() if p["c"] >= p["need"]}
+    want = {(a, b) for (a, x), (b, y) in itertools.combinations(enumerate(map(set, sets)), 2) if 3 * len(x & y) >= len(x) + len(y)}
+    assert want and want <= got
+    assert sum(compared) / 8 < met / 3  # bitmaps of eight words
