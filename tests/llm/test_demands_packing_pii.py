@@ -226,3 +226,21 @@ def test_sanitised(spark):
     out = {r.doc_id: r.text for r in sanitise(df, "doc_id", "text").collect()}
     assert out[10_000] is None and all("Institute hosted the debate" in out[i] for i, _ in docs) and sum("[PERSON]" in t for t in out.values() if t) > 280
     assert find_spans(df.where("false"), "doc_id", "text").count() == 0
+
+
+def test_many_demands_of_one_name(spark):
+    rows, truth = demands(9)
+    r = random.Random(2)
+    first, second = words(r, 12), words(r, 12, "s")
+    helped, dates = ([f"{a} {b}" for a, b in zip(words(r, 20), words(r, 20, e))] for e in ("ers", "day"))
+    for k in range(120):  # twelve in each place, which share helpers and dates by chance
+        place = f"{SYLLABLES[k % 10].capitalize()}lidovurehaven"
+        thing, h, d = f"{first[k % 12]} {second[k // 10]}", r.choice(helped), r.choice(dates)
+        for _ in range(5):
+            s = r.choice(["the state ought to {a} the {t} in {p} to help {h} by {d}", "We demand that {p} will {a} its {t} for {h} until {d}", "it is time to {a} {p}'s {t} by {d} for {h}"])
+            truth[i := 9000 + len(rows)] = 1000 + k
+            rows.append((i, s.format(a=r.choice(ACTS[k % 3]), t=thing, p=place, h=h, d=d)))
+    m, _ = clusters(spark.createDataFrame(rows, "id long, text string"), "id", "text")
+    got = {x.id: x.cluster_id for x in m.collect()}
+    found, right = agreement({i: c for i, c in got.items() if i >= 9000}, {i: k for i, k in truth.items() if k >= 1000})
+    assert found >= 0.95 and right >= 0.95, (found, right)
