@@ -5,8 +5,9 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame, Window, functions as F
 
-from ..session import materialize
+from ..session import materialize, release
 from .graph import connected_components
+from .vectors import block_pairs, dots, grid_blocks, grid_sides, near_rows, unit_rows, usable
 
 
 def threshold_communities(items: DataFrame, pairs: DataFrame, weight: str | None = None, min_size: int = 1) -> DataFrame:
@@ -29,6 +30,92 @@ def threshold_communities(items: DataFrame, pairs: DataFrame, weight: str | None
     return _ranked(member)
 
 
+def vector_communities(rows: DataFrame, threshold: float) -> DataFrame:
+    """``(item, center, canonical)`` of ``rows (i, w, v)``: communities of vectors of cosine at least ``1 - threshold``, without a table of their pairs.
+
+    The closed form of ``threshold_communities`` on a grid of pairs of blocks.  Each pair of blocks gives its
+    rows' degrees and keeps their partners as places in the block, a few bytes each; with all degrees known,
+    it gives each row's best partner.  A centre that is a member of its own community is canonical: similarities end
+    at one, and it has the smallest id among rows of its direction.  Where the centre belongs to a larger one, its
+    members' similarities are computed.  Ids must be long integers; vectors without direction stand alone.
+    """
+    nodes = rows.select("i", F.col("w").cast("long").alias("w"))
+    dims = [(r["d"], r["n"]) for r in usable(rows, "v").groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).collect()]  # a few models' lengths
+    met = None
+    for d, n in sorted(dims):
+        part = usable(rows, "v").where(F.size("v") == d).select("i", F.col("w").cast("long").alias("w"), "v")
+        part = block_pairs(part, grid_blocks(n, d)).groupBy("_a", "_b").applyInArrow(_degrees(1.0 - threshold), "_d int, _a int, _b int, i long, deg long, near array<int>")
+        met = part if met is None else met.unionByName(part)
+    if met is None:
+        return nodes.select(F.col("i").alias("item"), F.col("i").alias("center"), F.col("i").alias("canonical"))
+    met = materialize(met, "met-blocks")
+    deg = nodes.select("i", F.col("w").alias("deg")).unionByName(met.select("i", "deg")).groupBy("i").agg(F.sum("deg").alias("deg"))
+    deg = materialize(deg, "degrees")
+    best = met.drop("deg").join(deg, "i").groupBy("_d", "_a", "_b").applyInArrow(_best_partner, "i long, deg long, center long")
+    best = best.unionByName(deg.select("i", "deg", F.col("i").alias("center"))).groupBy("i").agg(F.min(F.struct((-F.col("deg")).alias("d"), "center")).alias("b"))
+    best = materialize(best.select(F.col("i").alias("item"), F.col("b.center").alias("center")), "communities")
+    release(met, deg)
+    kept = best.where("item = center").select("center")
+    lost = best.join(kept, "center", "left_anti")
+    x, y = (rows.select(F.col("i").alias(k), F.col("v").alias(v)) for k, v in (("item", "_x"), ("center", "_y")))
+    scored = lost.join(x, "item").join(y, "center").select("item", "center", "_x", "_y").mapInArrow(_scores, "item long, center long, s double")
+    first = scored.groupBy("center").agg(F.min_by("item", F.struct(-F.col("s"), F.col("item"))).alias("first"))
+    return best.join(first, "center", "left").select("item", "center", F.coalesce("first", "center").alias("canonical"))
+
+
+def _degrees(least: float):
+    """A row's weight of partners in a pair of blocks, and the partners behind it as places among the rows of both by id."""
+
+    def meet(table):
+        import pyarrow as pa
+
+        t, p, q, x, y = grid_sides(table)
+        w = t["w"].to_numpy()
+        deg = np.zeros(len(w))
+        parts = [(np.zeros(0, np.int32), np.zeros(0, np.int32))]
+        for i, j in near_rows(x, y, least):
+            i, j = p[i], q[j]
+            deg += np.bincount(i, w[j], len(w)) + np.bincount(j, w[i], len(w))
+            parts.append((i.astype(np.int32), j.astype(np.int32)))
+        i, j = (np.concatenate(r) for r in zip(*parts))
+        near = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(np.bincount(i, minlength=len(w)))]).astype(np.int32), j[np.argsort(i, kind="stable")])
+        a, b = (np.full(len(w), t[k][0].as_py(), np.int32) for k in ("_a", "_b"))
+        return pa.table({"_d": np.full(len(w), x.shape[1], np.int32), "_a": a, "_b": b, "i": t["i"], "deg": deg.astype(np.int64), "near": near})
+
+    return meet
+
+
+def _scores(batches):
+    """Cosines of the vectors of pairs."""
+    import pyarrow as pa
+
+    for b in batches:
+        lengths = b["_x"].value_lengths().to_numpy()
+        for d in np.unique(lengths):
+            part = b.filter(pa.array(lengths == d))
+            x, y = unit_rows(part["_x"]), unit_rows(part["_y"])
+            s = dots(x, y, np.arange(len(x)), np.arange(len(y)))
+            yield pa.RecordBatch.from_arrays([part["item"], part["center"], pa.array(np.minimum(s, 1.0))], ["item", "center", "s"])
+
+
+def _best_partner(table):
+    """The partner of largest degree, the smallest id among equals, of each row of a pair of blocks that has one there."""
+    import pyarrow as pa
+
+    t = table.sort_by("i").combine_chunks()
+    ids, deg, near = t["i"].to_numpy(), t["deg"].to_numpy(), t["near"].combine_chunks()
+    order = np.lexsort((ids, -deg))
+    rank = np.empty(len(ids), np.int64)
+    rank[order] = np.arange(len(ids))
+    i, j = np.repeat(np.arange(len(ids)), near.value_lengths().to_numpy()), near.flatten().to_numpy()
+    best = np.full(len(ids), len(ids))
+    np.minimum.at(best, i, rank[j])
+    np.minimum.at(best, j, rank[i])
+    has = np.flatnonzero(best < len(ids))
+    at = order[best[has]]
+    return pa.table({"i": ids[has], "deg": deg[at], "center": ids[at]})
+
+
 def _ranked(member: DataFrame) -> DataFrame:
     # the canonical member needs an aggregate only; ranks are for description
     first = member.groupBy("center").agg(F.min_by("item", F.struct(-F.col("s"), F.col("item"))).alias("canonical"))

@@ -3,7 +3,8 @@
 Neither join holds a matrix of all pairs.  Both are cut by pivots: of a query set, each
 query visits the cells its k-th best score so far cannot rule out; of a self-join under a threshold: with unit vectors of angle at most
 theta apart, a vector can only meet members of a pivot's cell if its angle to that
-pivot is at most 2 theta more than to its own.
+pivot is at most 2 theta more than to its own.  Where that rules out little, as for text vectors under
+low thresholds, a self-join is a grid of pairs of blocks instead.
 """
 
 from __future__ import annotations
@@ -21,6 +22,12 @@ from ..session import materialize
 BLOCK_ROWS = 32_768
 CELL_ROWS = 4_096
 MAX_PIVOTS = 512
+#: Numbers of a block of a self-join (32 MB of doubles); blocks that give a small one enough tasks; rows drawn to foresee the visits of cells.
+BLOCK_VALUES = 4_194_304
+LEAST_BLOCKS = 8
+PROBES = 256
+#: N-grams whose hash a text model remembers.
+KEPT_NGRAMS = 200_000
 
 
 def normalize(vec: Column | str) -> Column:
@@ -28,7 +35,8 @@ def normalize(vec: Column | str) -> Column:
     v = F.col(vec) if isinstance(vec, str) else vec
     d = F.transform(v, lambda x: x.cast("double"))
     norm = F.sqrt(F.aggregate(d, F.lit(0.0), lambda a, x: a + x * x))
-    return F.when(norm > 0, F.transform(d, lambda x: x / norm))
+    # bound as a lambda's variable, or it would be computed anew for every element
+    return F.element_at(F.transform(F.array(norm), lambda n: F.when(n > 0, F.transform(d, lambda x: x / n))), 1)
 
 
 def cosine(a: Column | str, b: Column | str) -> Column:
@@ -80,14 +88,24 @@ def joint_models(vecs: list[Column | str]) -> Column:
 def hashed_embedding(dim: int = 96, ngram: int = 3, seed: int = 0) -> Callable[[list[str]], np.ndarray]:
     """A deterministic text model: signed hashed character n-grams of the padded lower-cased text."""
 
+    class Slots(dict):
+        """Twice the dimension of an n-gram, plus one if it counts negatively; kept for the first KEPT_NGRAMS."""
+
+        def __missing__(self, gram: str) -> int:
+            h = zlib.crc32(f"{seed}|{gram}".encode())
+            at = (h >> 1) % dim * 2 + 1 - (h & 1)
+            if len(self) < KEPT_NGRAMS:
+                self[gram] = at
+            return at
+
+    slots = Slots()
+
     def encode(texts: list[str]) -> np.ndarray:
         out = np.zeros((len(texts), dim), np.float32)
         for r, t in enumerate(texts):
             s = f"  {t.lower()} "
-            for n in (ngram - 1, ngram, ngram + 1):
-                for i in range(len(s) - n + 1):
-                    h = zlib.crc32(f"{seed}|{s[i : i + n]}".encode())
-                    out[r, (h >> 1) % dim] += 1.0 if h & 1 else -1.0
+            n = np.bincount([slots[s[i : i + n]] for n in (ngram - 1, ngram, ngram + 1) for i in range(len(s) - n + 1)], minlength=2 * dim)
+            out[r] = n[::2] - n[1::2]
         return out
 
     return encode
@@ -134,7 +152,88 @@ def _unit(rows) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1)[:, None]
 
 
-def _usable(df: DataFrame, vec: str) -> DataFrame:
+def _nearly(a: np.ndarray, b: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``(i, j, sure)``: rows of two blocks of unit vectors in single precision that may reach ``least``, and which of them surely do."""
+    slack = 1.2e-7 * (a.shape[1] + 4)  # of a product of unit vectors in single precision
+    s = a @ b.T
+    i, j = np.divmod(np.flatnonzero(s.ravel() >= np.float32(least - slack)), max(1, s.shape[1]))
+    return i, j, s[i, j] >= np.float32(least + slack)
+
+
+def dots(a: np.ndarray, b: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Products of the rows i of a and j of b in doubles, each alike wherever it stands."""
+    out = np.empty(len(i))
+    for x in range(0, len(i), 32_768):
+        at = slice(x, x + 32_768)
+        out[at] = np.einsum("ij,ij->i", a[i[at]], b[j[at]])
+    return out
+
+
+def near_rows(a: np.ndarray, b: np.ndarray, least: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """``(i, j)``, by and by: the rows of two blocks of unit vectors whose product in doubles is at least ``least``.
+
+    Single precision decides all but the products next to ``least``.  For one block with itself, pairs i < j.
+    """
+    a32 = a.astype(np.float32)
+    b32 = a32 if b is a else b.astype(np.float32)
+    for x in range(0, len(a), 1_024):
+        for y in range(x if b is a else 0, len(b), 8_192):
+            i, j, sure = _nearly(a32[x : x + 1_024], b32[y : y + 8_192], least)
+            i, j = i + x, j + y
+            if b is a:
+                ok = i < j
+                i, j, sure = i[ok], j[ok], sure[ok]
+            ask = np.flatnonzero(~sure)
+            sure[ask] = dots(a, b, i[ask], j[ask]) >= least
+            yield i[sure], j[sure]
+
+
+def block_pairs(rows: DataFrame, blocks: int) -> DataFrame:
+    """``rows (i, ...)`` once for every pair ``_a <= _b`` of blocks that their own block ``_own`` is part of."""
+    other = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    r = rows.withColumn("_own", F.pmod(F.xxhash64("i"), F.lit(blocks)).cast("int")).withColumn("_o", other)
+    return r.withColumn("_a", F.least("_own", "_o")).withColumn("_b", F.greatest("_own", "_o")).drop("_o")
+
+
+def grid_blocks(n: int, dim: int) -> int:
+    """Blocks of a self-join of n vectors: none above BLOCK_ROWS or BLOCK_VALUES, and enough of them to share the work."""
+    return max(1, math.ceil(n / max(1, min(BLOCK_ROWS, BLOCK_VALUES // max(1, dim)))), min(LEAST_BLOCKS, math.ceil(n / CELL_ROWS)))
+
+
+def unit_rows(v) -> np.ndarray:
+    """Unit vectors in doubles of an Arrow array of lists of one length."""
+    x = v.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(v), -1)
+    return x / np.linalg.norm(x, axis=1)[:, None]
+
+
+def grid_sides(table) -> tuple:
+    """``(table, p, q, x, y)`` of a pair of blocks: its rows by id, the places of the rows of either block among them, and their unit vectors ``v``; x is y for one block with itself."""
+    t = table.sort_by("i").combine_chunks()
+    x = unit_rows(t["v"].combine_chunks())
+    own = t["_own"].to_numpy()
+    p = np.flatnonzero(own == t["_a"][0].as_py())
+    if t["_a"][0].as_py() == t["_b"][0].as_py():
+        return t, p, p, x, x
+    q = np.flatnonzero(own == t["_b"][0].as_py())
+    return t, p, q, x[p], x[q]
+
+
+def _meet_blocks(threshold: float):
+    """Pairs between two blocks, or within one."""
+
+    def meet(table):
+        import pyarrow as pa
+
+        t, p, q, x, y = grid_sides(table)
+        ids = t["i"].combine_chunks()
+        parts = [(p[i], q[j], dots(x, y, i, j)) for i, j in near_rows(x, y, threshold)]
+        i, j, s = (np.concatenate([r[k] for r in parts]) if parts else np.zeros(0, kind) for k, kind in enumerate((np.int64, np.int64, np.float64)))
+        return pa.table({"i": ids.take(pa.array(np.minimum(i, j))), "j": ids.take(pa.array(np.maximum(i, j))), "s": s})
+
+    return meet
+
+
+def usable(df: DataFrame, vec: str) -> DataFrame:
     return df.where(F.col(vec).isNotNull() & F.exists(vec, lambda x: x != 0) & F.forall(vec, lambda x: x.isNotNull() & ~F.isnan(x)))
 
 
@@ -152,8 +251,8 @@ def knn(queries: DataFrame, corpus: DataFrame, k: int, query_id: str, corpus_id:
     queries visit every block.
     """
     by = by or []
-    q = _usable(queries, vec).select(*by, F.col(query_id).alias("_q"), F.col(vec).alias("_v"), F.size(vec).alias("_d"))
-    c = _usable(corpus, vec).select(*by, F.col(corpus_id).alias("_c"), F.col(vec).alias("_v"), F.size(vec).alias("_d"))
+    q = usable(queries, vec).select(*by, F.col(query_id).alias("_q"), F.col(vec).alias("_v"), F.size(vec).alias("_d"))
+    c = usable(corpus, vec).select(*by, F.col(corpus_id).alias("_c"), F.col(vec).alias("_v"), F.size(vec).alias("_d"))
     search = _block_search(by, query_id, corpus_id, k, min_score, exclude_self, score)
     qt, ct = queries.schema[query_id].dataType.simpleString(), corpus.schema[corpus_id].dataType.simpleString()
     bt = "".join(f"`{b}` {queries.schema[b].dataType.simpleString()}, " for b in by)
@@ -262,10 +361,21 @@ def _block_search(by: list[str], query_id: str, corpus_id: str, k: int, min_scor
             return pd.DataFrame({x: [] for x in cols})
         right = right.sort_values("_c", kind="stable")
         x = _unit(right["_v"]) if score is None else _raw(right["_v"])
+        single = x.astype(np.float32) if score is None and min_score is not None else None
         ids = right["_c"].to_numpy()
         parts = []
-        for a in range(0, len(left), 1_024):
-            part = left.iloc[a : a + 1_024]
+        step = max(1, 2 * BLOCK_VALUES // len(right))
+        for a in range(0, len(left), step):
+            part = left.iloc[a : a + step]
+            if score is None and min_score is not None:
+                u, q = _unit(part["_v"]), part["_q"].to_numpy()
+                i, j, _ = _nearly(u.astype(np.float32), single, min_score)
+                if len(i) <= 64 * len(part):  # few are left: no sorting of whole rows
+                    s = dots(u, x, i, j)
+                    ok = (s >= min_score) & ((q[i] != ids[j]) | (not exclude_self))
+                    f = pd.DataFrame({query_id: q[i[ok]], corpus_id: ids[j[ok]], "score": s[ok]})
+                    parts.append(f.sort_values([query_id, "score", corpus_id], ascending=[True, False, True], kind="stable").groupby(query_id, sort=False).head(k))
+                    continue
             s = _unit(part["_v"]) @ x.T if score is None else np.array(score(_raw(part["_v"]), x), np.float64)
             if exclude_self:
                 s[part["_q"].to_numpy()[:, None] == ids[None]] = -np.inf
@@ -289,15 +399,17 @@ def similarity_pairs(df: DataFrame, id_col: str, vec: str, threshold: float, see
     Up to CELL_ROWS rows are one matrix product in one task.  Larger inputs are cut by at most MAX_PIVOTS pivots (a
     bounded sample of the rows): a row goes to its nearest pivot's cell and to every other cell that
     can hold a partner.  Large cells are split among tasks by salting, so a hot cell never meets one
-    task.  Vectors without direction take no part; equal vectors are paired like any others.
+    task.  Where PROBES sampled rows would visit more cells than a grid has blocks, the rows meet in the grid of
+    all pairs of blocks.  Vectors without direction take no part; equal vectors are paired like any others.
     """
-    rows = _usable(df, vec).select(F.col(id_col).alias("i"), normalize(vec).alias("v"))
-    n = rows.count()
+    whole = usable(df, vec).select(F.col(id_col).alias("i"), F.col(vec).alias("v"))
+    n = whole.count()
+    rows = whole.select("i", normalize("v").alias("v"))
     kind = df.schema[id_col].dataType.simpleString()
     if n <= CELL_ROWS:  # counted: a bounded group
         one = rows.select(F.lit(0).alias("cell"), F.lit(0).alias("salt"), F.lit(0).alias("own"), F.lit(True).alias("at"), "i", "v")
         return one.groupBy("cell", "salt", F.size("v").alias("d")).applyInPandas(_meet(threshold), f"i {kind}, j {kind}, s double")
-    lengths = sorted(r["d"] for r in rows.select(F.size("v").alias("d")).distinct().collect())  # a few models' lengths
+    lengths = sorted(r["d"] for r in whole.select(F.size("v").alias("d")).distinct().collect())  # a few models' lengths
     if len(lengths) > 1:
         each = [similarity_pairs(df.where(F.size(vec) == d), id_col, vec, threshold, seed) for d in lengths]
         out = each[0]
@@ -305,9 +417,16 @@ def similarity_pairs(df: DataFrame, id_col: str, vec: str, threshold: float, see
             out = out.unionByName(other)
         return out
     pivots = min(MAX_PIVOTS, max(2, math.ceil(n / CELL_ROWS) * 2))
-    sample = rows.sample(min(1.0, 4 * pivots / n), seed).limit(pivots).toPandas()  # at most MAX_PIVOTS rows
-    p = np.stack(sample["v"].map(lambda v: np.asarray(v, np.float64)))
+    sample = whole.sample(min(1.0, 4 * (pivots + PROBES) / n), seed).limit(pivots + PROBES).toPandas()  # at most MAX_PIVOTS + PROBES rows
+    drawn = _unit(sample["v"])
+    p, probes = drawn[:pivots], drawn[pivots:]
     theta = math.acos(max(-1.0, min(1.0, threshold))) + 1e-9
+    seen = np.arccos(np.clip(probes @ p.T, -1, 1))
+    visits = (seen <= seen.min(axis=1)[:, None] + 2 * theta).sum(axis=1).mean() if len(probes) else len(p)
+    blocks = grid_blocks(n, lengths[0])
+    if visits > min(blocks, pivots / 2):
+        return block_pairs(whole, blocks).groupBy("_a", "_b").applyInArrow(_meet_blocks(threshold), f"i {kind}, j {kind}, s double")
+    rows = materialize(rows, "pair-rows")
     held = df.sparkSession.sparkContext.broadcast(p)
 
     def route(batches: Iterable) -> Iterator:
@@ -318,8 +437,11 @@ def similarity_pairs(df: DataFrame, id_col: str, vec: str, threshold: float, see
             v = np.stack(pdf["v"].map(lambda x: np.asarray(x, np.float64)))
             ang = np.arccos(np.clip(v @ piv.T, -1, 1))
             own = ang.argmin(axis=1)
-            r, c = np.nonzero(ang <= ang[np.arange(len(v)), own][:, None] + 2 * theta)
-            yield pd.DataFrame({"cell": c.astype(np.int32), "home": own[r] == c, "own": own[r].astype(np.int32), "i": pdf["i"].to_numpy()[r], "v": [pdf["v"].iloc[x] for x in r]})
+            visits, visited = np.nonzero(ang <= ang[np.arange(len(v)), own][:, None] + 2 * theta)
+            step = max(1, BLOCK_VALUES // v.shape[1])
+            for a in range(0, len(visits), step):  # a batch's copies can be many
+                r, c = visits[a : a + step], visited[a : a + step]
+                yield pd.DataFrame({"cell": c.astype(np.int32), "home": own[r] == c, "own": own[r].astype(np.int32), "i": pdf["i"].to_numpy()[r], "v": list(v[r])})
 
     routed = rows.mapInPandas(route, f"cell int, home boolean, own int, i {kind}, v array<double>")
     sizes = {r["cell"]: r["n"] for r in routed.where("home").groupBy("cell").agg(F.count("*").alias("n")).collect()}  # one row a pivot
