@@ -60,7 +60,9 @@ def vector_communities(rows: DataFrame, threshold: float) -> DataFrame:
     x, y = (rows.select(F.col("i").alias(k), F.col("v").alias(v)) for k, v in (("item", "_x"), ("center", "_y")))
     scored = lost.join(x, "item").join(y, "center").select("item", "center", "_x", "_y").mapInArrow(_scores, "item long, center long, s double")
     first = scored.groupBy("center").agg(F.min_by("item", F.struct(-F.col("s"), F.col("item"))).alias("first"))
-    return best.join(first, "center", "left").select("item", "center", F.coalesce("first", "center").alias("canonical"))
+    out = materialize(best.join(first, "center", "left").select("item", "center", F.coalesce("first", "center").alias("canonical")), "communities")
+    release(best)
+    return out
 
 
 def _degrees(least: float):

@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.text import augmented_entity, kb_description_text, order_key
-from ..session import materialize, spread
+from ..session import materialize, release, spread
 from .clustering import METHODS, cluster, conflicting, propagate, vector_communities
 from .vectors import embed, hashed_embedding, joint_models, knn, similarity_pairs
 from .voting import MODES, elect, votes
@@ -51,7 +51,9 @@ def elect_links(queries: DataFrame, corpus: DataFrame, cfg: LinkConfig) -> DataF
     c = materialize(embed(spread(corpus.select("row_id", "text")), "text", cfg.models), "link-corpus")
     near = knn(q, c, cfg.top_k, "u", "row_id", "embedding", by=["model"], min_score=1.0 - cfg.threshold if cfg.voting == "all" else None).withColumn("model_rank", F.element_at(rank, F.col("model")))
     won = elect(votes(near, "u", "row_id", cfg.top_k), "u", "row_id", len(cfg.models), cfg.threshold, cfg.voting)
-    return won.select("u", "row_id")
+    won = materialize(won.select("u", "row_id"), "link-won")
+    release(q, c)
+    return won
 
 
 def link_entities(occurrences: DataFrame, anchors: DataFrame, kb: DataFrame, cfg: LinkConfig | None = None) -> dict[str, DataFrame]:
@@ -87,6 +89,7 @@ def link_entities(occurrences: DataFrame, anchors: DataFrame, kb: DataFrame, cfg
     items = named.select(F.col("u").alias("i"))
     pairs = materialize(similarity_pairs(joint, "u", "v", 1.0 - cfg.threshold), "link-pairs")
     members = materialize(cluster(items, pairs, cfg.threshold, cfg.method), "link-members")
+    release(joint, pairs)
     labels = named.where("item_id is not null").select(F.col("u").alias("item"), F.struct("item_id", "page_id").alias("label"))
     labelled = propagate(members, labels)
     canonical = named.select(F.col("u").alias("canonical"), F.col("name").alias("canonical_name"))
@@ -111,6 +114,7 @@ def cluster_texts(texts: DataFrame, col: str, threshold: float, encoder: Encoder
     v = materialize(embed(spread(uniq.select("i", "w", "text")), "text", {"m": encoder}).select("i", "w", F.col("embedding").alias("v")), "text-vectors")
     if method == "fast":
         m = vector_communities(v, threshold)
+        release(v)
     else:
         pairs = materialize(similarity_pairs(v, "i", "v", 1.0 - threshold), "text-pairs")
         m = cluster(uniq.select("i", "w"), pairs, threshold, method, weight="w")

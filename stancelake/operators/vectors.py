@@ -16,15 +16,15 @@ from collections.abc import Callable, Iterable, Iterator
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..session import materialize
+from ..session import materialize, release
 
 #: Rows of a block of the corpus or of a cell's task; pivots of a self-join at most.
 BLOCK_ROWS = 32_768
 CELL_ROWS = 4_096
 MAX_PIVOTS = 512
-#: Numbers of a block of a self-join (32 MB of doubles); blocks that give a small one enough tasks; rows drawn to foresee the visits of cells.
-BLOCK_VALUES = 4_194_304
-LEAST_BLOCKS = 8
+#: Numbers of a block of a self-join (24 MB of doubles); blocks that give a small one enough tasks; rows drawn to foresee the visits of cells.
+BLOCK_VALUES = 3_145_728
+LEAST_BLOCKS = 6
 PROBES = 256
 #: N-grams whose hash a text model remembers.
 KEPT_NGRAMS = 200_000
@@ -189,33 +189,38 @@ def near_rows(a: np.ndarray, b: np.ndarray, least: float) -> Iterator[tuple[np.n
 
 
 def block_pairs(rows: DataFrame, blocks: int) -> DataFrame:
-    """``rows (i, ...)`` once for every pair ``_a <= _b`` of blocks that their own block ``_own`` is part of."""
+    """``rows (i, ...)`` once for every pair ``_a <= _b`` of blocks that their own block ``_own`` is part of; few pairs share a partition."""
     other = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
     r = rows.withColumn("_own", F.pmod(F.xxhash64("i"), F.lit(blocks)).cast("int")).withColumn("_o", other)
-    return r.withColumn("_a", F.least("_own", "_o")).withColumn("_b", F.greatest("_own", "_o")).drop("_o")
+    r = r.withColumn("_a", F.least("_own", "_o")).withColumn("_b", F.greatest("_own", "_o")).drop("_o")
+    return r.repartition(min(2_000, 2 * blocks * (blocks - 1) + 1), "_a", "_b")
 
 
 def grid_blocks(n: int, dim: int) -> int:
-    """Blocks of a self-join of n vectors: none above BLOCK_ROWS or BLOCK_VALUES, and enough of them to share the work."""
-    return max(1, math.ceil(n / max(1, min(BLOCK_ROWS, BLOCK_VALUES // max(1, dim)))), min(LEAST_BLOCKS, math.ceil(n / CELL_ROWS)))
+    """Blocks of a self-join of n vectors: none above BLOCK_VALUES, and enough of them to share the work."""
+    return max(1, math.ceil(n / max(1, BLOCK_VALUES // max(1, dim))), min(LEAST_BLOCKS, math.ceil(n / CELL_ROWS)))
 
 
 def unit_rows(v) -> np.ndarray:
     """Unit vectors in doubles of an Arrow array of lists of one length."""
     x = v.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(v), -1)
-    return x / np.linalg.norm(x, axis=1)[:, None]
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    return x
 
 
 def grid_sides(table) -> tuple:
     """``(table, p, q, x, y)`` of a pair of blocks: its rows by id, the places of the rows of either block among them, and their unit vectors ``v``; x is y for one block with itself."""
-    t = table.sort_by("i").combine_chunks()
-    x = unit_rows(t["v"].combine_chunks())
-    own = t["_own"].to_numpy()
+    import pyarrow.compute as pc
+
+    order = pc.sort_indices(table["i"])
+    t = table.drop_columns(["v"]).take(order).combine_chunks()
+    v, at, own = table["v"].combine_chunks(), order.to_numpy(), t["_own"].to_numpy()
     p = np.flatnonzero(own == t["_a"][0].as_py())
+    x = unit_rows(v.take(at[p]))
     if t["_a"][0].as_py() == t["_b"][0].as_py():
         return t, p, p, x, x
     q = np.flatnonzero(own == t["_b"][0].as_py())
-    return t, p, q, x[p], x[q]
+    return t, p, q, x, unit_rows(v.take(at[q]))
 
 
 def _meet_blocks(threshold: float):
@@ -324,7 +329,7 @@ def knn(queries: DataFrame, corpus: DataFrame, k: int, query_id: str, corpus_id:
 
     qddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in q.schema.fields)
 
-    def search_cells(asked: DataFrame) -> DataFrame:
+    def search_cells(asked: DataFrame, name: str) -> DataFrame:
         """Every query meets all blocks of its cell; blocks and queries of a cell are split by their numbers."""
         asked = materialize(asked, "knn-asked")
         many = asked.groupBy(*keys).agg(F.ceil(F.count("*") / block_rows).cast("int").alias("_qs"))
@@ -333,9 +338,11 @@ def knn(queries: DataFrame, corpus: DataFrame, k: int, query_id: str, corpus_id:
         left = asked.join(F.broadcast(split), keys).withColumn("_b", F.explode(F.sequence(F.lit(0), F.col("_bs") - 1))).withColumn("_s", F.pmod(F.xxhash64("_q"), F.col("_qs")).cast("int"))
         right = placed.join(F.broadcast(split), keys).withColumn("_b", F.pmod(F.xxhash64("_c"), F.col("_bs")).cast("int")).withColumn("_s", F.explode(F.sequence(F.lit(0), F.col("_qs") - 1)))
         cols = [*by, "_q", "_v", "_d", "_cell", "_b", "_s"]
-        return meet(left.select(*cols), right.select(*[x if x != "_q" else "_c" for x in cols]), [*keys, "_b", "_s"])
+        found = materialize(meet(left.select(*cols), right.select(*[x if x != "_q" else "_c" for x in cols]), [*keys, "_b", "_s"]), name)
+        release(asked)
+        return found
 
-    near = materialize(search_cells(q.mapInPandas(visit(True), f"{qddl}, _cell int")), "knn-first")
+    near = search_cells(q.mapInPandas(visit(True), f"{qddl}, _cell int"), "knn-first")
     kth = near.groupBy(*by, F.col(query_id).alias("_q")).agg(F.when(F.count("*") >= k, F.min("score")).otherwise(F.lit(-1.0)).alias("_k"))
     if min_score is not None:
         kth = kth.withColumn("_k", F.greatest("_k", F.lit(float(min_score))))
@@ -345,7 +352,8 @@ def knn(queries: DataFrame, corpus: DataFrame, k: int, query_id: str, corpus_id:
     for x in same:
         cond = cond & x
     bounded = q.join(kth, cond, "left").select(*[q[x] for x in q.columns], F.coalesce(kth["_k"], F.lit(-1.0 if min_score is None else float(min_score))).alias("_k"))
-    more = search_cells(bounded.mapInPandas(visit(False), f"{qddl}, _cell int"))
+    more = search_cells(bounded.mapInPandas(visit(False), f"{qddl}, _cell int"), "knn-more")
+    release(placed)
     both = near.unionByName(more).drop("rank")
     return both.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
@@ -358,7 +366,7 @@ def _block_search(by: list[str], query_id: str, corpus_id: str, k: int, min_scor
 
         cols = [*by, query_id, corpus_id, "score"]
         if not len(left) or not len(right):
-            return pd.DataFrame({x: [] for x in cols})
+            return pd.DataFrame({x: [] for x in cols}, dtype=object)
         right = right.sort_values("_c", kind="stable")
         x = _unit(right["_v"]) if score is None else _raw(right["_v"])
         single = x.astype(np.float32) if score is None and min_score is not None else None
@@ -386,6 +394,8 @@ def _block_search(by: list[str], query_id: str, corpus_id: str, k: int, min_scor
             f = f.sort_values([query_id, "score", corpus_id], ascending=[True, False, True], kind="stable").groupby(query_id, sort=False).head(n)
             parts.append(f)
         out = pd.concat(parts)
+        if not len(out):
+            return pd.DataFrame({x: [] for x in cols}, dtype=object)
         for b in by:
             out[b] = left[b].iloc[0]
         return out[cols]
@@ -475,7 +485,7 @@ def _meet(threshold: float):
                 ok = (own[gi] > cell) | (own[gi] == cell) & (ids[gi] > ids[gj])
                 gi, gj, sv = gi[ok], gj[ok], s[x[ok], y[ok]]
                 parts.append(pd.DataFrame({"i": np.where(ids[gi] < ids[gj], ids[gi], ids[gj]), "j": np.where(ids[gi] < ids[gj], ids[gj], ids[gi]), "s": sv}))
-        out = pd.concat(parts) if parts else pd.DataFrame({"i": [], "j": [], "s": []})
+        out = pd.concat(parts) if parts else pd.DataFrame({"i": [], "j": [], "s": []}, dtype=object)
         return out[out["s"] >= threshold]
 
     return meet

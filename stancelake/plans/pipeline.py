@@ -12,7 +12,7 @@ from ..operators.dedup import best_per_key, keep_first
 from ..operators.linking import LinkConfig, cluster_texts, link_entities
 from ..operators.nested import explode_positions, explode_targets, regroup, with_members
 from ..operators.vectors import hashed_embedding
-from ..session import materialize
+from ..session import materialize, release
 
 
 @dataclass
@@ -43,13 +43,14 @@ def post_process(reports: DataFrame, anchors: DataFrame, kb: DataFrame, cfg: Pos
     keep = [c for c in reports.columns if c != "positions"]
     pos = with_members(explode_positions(reports.select(*[F.col(f"`{c}`") for c in keep], "positions"), [f"`{c}`" for c in keep]), "targets")
     pos = pos.withColumn("ord", order_key("report_key", "pos_no")).withColumn("stakeholder", normalize_text("stakeholder"))
-    pos = materialize(pos, "pp-positions")
+    first = pos = materialize(pos, "pp-positions")
     table = materialize(anchor_table(anchors), "pp-anchors")
     link = lambda occ, t: link_entities(occ, table, kb, LinkConfig(threshold=t, voting=cfg.voting, method=cfg.method))
     who = link(pos.select("ord", F.col("stakeholder").alias("name")), cfg.stakeholders)
     pos = pos.join(who["occurrences"].select("ord", "final", F.struct("item_id", "page_id").alias("linked")), "ord", "left").withColumn("stakeholder", F.coalesce("final", "stakeholder")).drop("final")
     pmap = materialize(cluster_texts(pos, "position", cfg.positions, cfg.encoder, cfg.method), "pp-position-map")
     pos = materialize(replace_by_canonical(pos, "position", pmap), "pp-replaced")
+    release(first)
     t = explode_targets(pos, ["ord"]).withColumn("t_ord", F.concat("ord", order_key("target_no")))
     t = materialize(t, "pp-targets")
     whom = link(t.select(F.col("t_ord").alias("ord"), F.col("target").alias("name")), cfg.targets)

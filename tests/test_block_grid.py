@@ -70,6 +70,13 @@ def test_lists_may_end_at_the_least_score(spark):
         assert whole == {(a.q, a.c, a["rank"]) for a in knn(q, df, 5, "q", "c", "v", block_rows=block, min_score=0.97).collect()}
 
 
+def test_no_row_reaches_the_least_score(spark):
+    df = spark.createDataFrame([("m", "a", [1.0, 0.0]), ("m", "b", [0.0, 1.0])], "model string, c string, v array<float>")
+    q = spark.createDataFrame([("m", "x", [1.0, 1.0])], "model string, q string, v array<float>")
+    assert knn(q, df, 5, "q", "c", "v", by=["model"], min_score=0.9).count() == 0
+    assert [r.c for r in knn(q, df, 5, "q", "c", "v", by=["model"], min_score=0.7).orderBy("rank").collect()] == ["a", "b"]
+
+
 def test_remembered_ngrams_change_no_vector():
     def plain(t, dim, ngram, seed):
         out, s = np.zeros(dim, np.float32), f"  {t.lower()} "
